@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from stepfield.llm import q_chat
+from stepfield.llm import q_chat, q_media, q_quality
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-for _module in (q_chat,):
+for _module in (q_media, q_chat, q_quality):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
