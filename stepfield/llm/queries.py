@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from stepfield.llm import q_chat, q_media, q_quality
+from stepfield.llm import q_chat, q_media, q_packing, q_quality, q_urls
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-for _module in (q_media, q_chat, q_quality):
+for _module in (q_media, q_urls, q_chat, q_quality, q_packing):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
