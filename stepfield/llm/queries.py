@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from stepfield.llm import q_chat, q_decontaminate, q_licenses, q_media, q_packing, q_quality, q_secrets, q_urls
+from stepfield.llm import q_chat, q_decontaminate, q_licenses, q_media, q_packing, q_quality, q_secrets, q_simhash, q_urls
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-for _module in (q_media, q_urls, q_decontaminate, q_licenses, q_chat, q_secrets, q_quality, q_packing):
+for _module in (q_media, q_urls, q_decontaminate, q_licenses, q_chat, q_simhash, q_secrets, q_quality, q_packing):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
