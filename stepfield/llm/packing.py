@@ -30,8 +30,8 @@ CAPACITY = 2048
 SLACK = 1 / 256
 #: Texts a task packs at once, and rounds' limits: bins that one task of the last round may hold, partitions merged into one.
 GROUP_ITEMS, LAST_ITEMS, FAN_IN = 100_000, 100_000, 8
-#: Word parts whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Word parts whose ids a Python worker remembers, before it forgets all.
+REMEMBERED = 1_200_000
 #: Punctuation that the vocabulary's pattern always parts from a letter before it.
 TAIL = ".,!?;:*#$%&"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -48,26 +48,42 @@ class _Ids(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        low = part.translate(_LOWER)
-        core = low.rstrip(TAIL)
-        if core != low and core and core[-1].isalpha():
-            ids = self[core] + self[low[len(core) :]]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of letters alone, each of which ends with one word-end token: one call for all, cut at those tokens."""
+        ids = self.encode(" ".join(words))
+        ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+        if len(ends) == len(words):
+            data = ids.tobytes()
+            self.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
         else:
-            ids = self[low] if low != part else self.encode(part)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[part] = ids
-        return ids
+            self.update((w, self.encode(w).tobytes()) for w in words)
 
-    def of(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def _learn(self, parts: set[str]) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+        cut = {}
+        for part in parts:
+            low = part if "<|" in part else part.translate(_LOWER)  # lower-cased, a text may become a special token
+            core = low.rstrip(TAIL)
+            cut[part] = (core, low[len(core) :]) if core and core[-1].isalpha() else (low, "")
+        new = {x for pair in cut.values() for x in pair} - self.keys()
+        words = [x for x in new if x.isalpha()]
+        for at in range(0, len(words), 1000):
+            self._encode_words(words[at : at + 1000])
+        self.update((x, self.encode(x).tobytes()) for x in new if not x.isalpha())
+        self.update((part, self[core] + self[tail]) for part, (core, tail) in cut.items())
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        self._learn(set().union(*parts) - self.keys())
+        return [self.encode(t).tobytes() if any(s in t for s in self.special) else b"".join(map(self.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
 
 
 @cache
@@ -130,8 +146,9 @@ def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacit
     def run(batches):
         ids, items = _vocabulary(vocabulary), []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids.of(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, data in zip(batch.column(0).to_pylist(), ids.of(texts), strict=True):
+                data += end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     items.append((len(part) // 4, [(doc, piece, at // 4, len(part) // 4, zlib.crc32(part))]))
