@@ -95,51 +95,93 @@ def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def _bucket_links(radius: int):
     def run(batches):
         for b in batches:
-            links = [x for fps in b.column(0).to_pylist() for x in spanning_links(np.array(fps, np.int64), radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+            found = [(f, *x) for f, fps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in spanning_links(np.array(fps, np.int64), radius)]
+            columns = zip(*found, strict=True) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["f", "a", "b"])
 
     return run
 
 
 def _dealt(masks: list[int], radius: int):
-    """(t, fp) -> (mid, fp): the neighbours of fp within half the radius on the bits that table t doesn't look at."""
+    """(f, t, fp) -> (f, t, mid, fp): the neighbours of fp within half the radius on the bits that table t doesn't look at."""
 
     def run(batches):
         for b in batches:
-            for t, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for f, t, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 away = [1 << i for i in range(64) if not masks[t] >> i & 1]
                 flips = np.array([sum(c) for k in range(radius // 2 + 1) for c in combinations(away, k)], np.uint64)
                 mids = (flips ^ np.uint64(fp & (1 << 64) - 1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mids), t), pa.int32()), pa.array(mids), pa.array(np.full(len(mids), fp), pa.int64())], names=["t", "mid", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mids), f), pa.int32()), pa.array(np.full(len(mids), t), pa.int32()), pa.array(mids), pa.array(np.full(len(mids), fp), pa.int64())], names=["f", "t", "mid", "fp"])
 
     return run
 
 
-def links(classes: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Distinct fp -> links (a, b) that connect whatever fingerprints within the radius connect. The radius must be even."""
+def links(values: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Distinct (f, fp) -> links (f, a, b) that connect whatever fingerprints of the same f within the radius connect. f numbers
+    the kinds of fingerprints where texts have several. The radius must be even."""
     masks = covering_masks(radius)
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)))
-    dealt = classes.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
-    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(dealt.join(sizes, ["t", "key"]), "buckets")
-    small = shared.where(F.col("n") <= bucket_limit).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_bucket_links(radius), "a long, b long")
-    middle = shared.where(F.col("n") > bucket_limit).select("t", "fp").mapInArrow(_dealt(masks, radius), "t int, mid long, fp long")
-    hubs = middle.groupBy("t", "mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return small.unionByName(middle.join(hubs, ["t", "mid"]).select("a", F.col("fp").alias("b")))
+    dealt = values.select("f", "fp", F.explode(tables).alias("x")).select("f", "x.t", "x.key", "fp")
+    bucket = ["f", "t", "key"]
+    sizes = written(dealt.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    shared = written(dealt.join(sizes, bucket), "buckets")
+    small = shared.where(F.col("n") <= bucket_limit).groupBy(*bucket).agg(F.collect_list("fp").alias("fps")).select("f", "fps").mapInArrow(_bucket_links(radius), "f int, a long, b long")
+    middle = shared.where(F.col("n") > bucket_limit).select("f", "t", "fp").mapInArrow(_dealt(masks, radius), "f int, t int, mid long, fp long")
+    hubs = middle.groupBy("f", "t", "mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return small.unionByName(middle.join(hubs, ["f", "t", "mid"]).select("f", "a", F.col("fp").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp, component_id (the smallest doc_id reachable over links, its own included)."""
     marked = written(fingerprints(docs, shingle), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("root")), "classes")
-    found = connected_components(links(classes, radius, bucket_limit))
-    labelled = classes.join(found, F.col("fp") == F.col("a"), "left").select("fp", "root", F.coalesce("b", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("root").alias("component_id"))
-    return marked.join(labelled.join(least, "label").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    found = connected_components(links(classes.select(F.lit(0).alias("f"), "fp"), radius, bucket_limit).select("a", "b"))
+    return marked.join(_least(classes.withColumnRenamed("fp", "node"), found).withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def _least(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, root) and (a, b) of connected_components -> (node, component_id): the least root of the node's component."""
+    labelled = classes.join(found, F.col("node") == F.col("a"), "left").select("node", "root", F.coalesce("b", "node").alias("label"))
+    return labelled.join(labelled.groupBy("label").agg(F.min("root").alias("component_id")), "label").select("node", "component_id")
+
+
+def word_fingerprints(docs: DataFrame, kinds: int = 3) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, fps: SimHashes, by several hash functions, of a text's distinct long words (of six bytes or
+    more without punctuation; all words where fewer than eight are long). Unlike shingles, of which an edited word spoils
+    several, they keep near copies with one word in forty edited within a few bits. No shuffle."""
+    bounded_batches(docs.sparkSession)
+
+    def one(data: bytes) -> list[int]:
+        words = {w.strip(b".,!?;:*#$%&\"'()|") for w in data.lower().split()}
+        features = {w for w in words if len(w) >= 6}
+        features = features if len(features) >= 8 else words
+        if not features:
+            return [0] * kinds
+        hashes = np.array([[xxhash.xxh64_intdigest(w, seed) for w in features] for seed in range(kinds)], "<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(kinds, -1, 8), axis=2, bitorder="little")
+        return np.packbits(2 * bits.sum(1, np.int64) > len(features), axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+    def run(batches):
+        for b in batches:
+            fps = [one(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fps array<bigint>")
+
+
+def near_copies(docs: DataFrame, radius: int = RADIUS, kinds: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, component_id, where texts are linked if any of their word fingerprints are within the
+    radius. Fingerprints are nodes of the graph like texts are, so a fingerprint of many texts costs one row for each."""
+    marked = written(word_fingerprints(docs, kinds).withColumn("node", F.xxhash64("fps")), "fingerprints")
+    classes = written(marked.groupBy("node").agg(F.min("doc_id").alias("root"), F.first("fps").alias("fps")), "classes")
+    values = classes.select("node", F.posexplode("fps").alias("f", "fp"))
+    found = links(values.select("f", "fp").distinct(), radius, bucket_limit)
+    edges = found.select(F.xxhash64("f", "a").alias("a"), F.xxhash64("f", "b").alias("b")).unionByName(values.select(F.col("node").alias("a"), F.xxhash64("f", "fp").alias("b")))
+    return marked.join(_least(classes.select("node", "root"), connected_components(edges)), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, components: DataFrame) -> DataFrame:
     """docs with the row of the smallest doc_id of every component; rows of a null doc_id, which no result can name, stay."""
-    kept = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
+    kept = components.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
