@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stepfield.operators import assign as A
 from stepfield.operators import derive as V
 from stepfield.operators import graph as G
 from stepfield.operators import infer as I
 from stepfield.operators import trajectory as T
 from stepfield.plans.common import CELL, CELLS, EDGES, GRID, MOVES, STEPS, WALK, on_grid, r, rounded, steps, walk
 from stepfield.plans.registry import query
-from stepfield.operators import assign as A
 
 _STATS = f"m AS (SELECT {CELL} AS cell, count(*) AS k, sum(dx * dx + dy * dy) AS s, sum(dx) AS mx, sum(dy) AS my, avg(dt) AS dt, max(dt) AS dt_max FROM d GROUP BY 1)"
 _BASE = f"WITH {STEPS}, {MOVES}, {_STATS} "
@@ -158,7 +158,7 @@ def time_variation(spark, sf):
 
 
 _RING = (
-    "o AS (SELECT * FROM (VALUES (-1,-1,-1e0,1e0),(0,-1,2e0,0e0),(1,-1,1e0,1e0),(1,0,0e0,2e0),(1,1,-1e0,1e0),(0,1,-2e0,0e0),(-1,1,-1e0,-1e0),(-1,0,0e0,-2e0)) v(a, b, sx, sy)), "
+    "o AS (SELECT * FROM (VALUES (-1,-1,1e0,-1e0),(0,-1,2e0,0e0),(1,-1,1e0,1e0),(1,0,0e0,2e0),(1,1,-1e0,1e0),(0,1,-2e0,0e0),(-1,1,-1e0,-1e0),(-1,0,0e0,-2e0)) v(a, b, sx, sy)), "
 )
 
 
