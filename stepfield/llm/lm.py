@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from stepfield.llm.common import bounded_batches, written
 
 FOLDS, TEST_FOLD, EM_FOLD = 5, 1, 2
-CHUNK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 3_000_000, 2_000_000, 32
+CHUNK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 2_000_000, 32
 #: Bins of the events' estimates: steps per power of two, and the smallest power.
 STEPS, SMALLEST = 4, -48
 CONTEXT_BUCKETS = 32
@@ -128,12 +128,18 @@ def _runs(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted((keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets), side="right")
 
 
+def _rows(batch: pa.RecordBatch):
+    """One row at a time as a dict: a chunk's arrays take a hundred times the space of its row."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _send(buckets: int):
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("em", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 g = _grams(row["sequence"], row["hashes"])
                 trains = np.repeat(np.array(row["folds"]) != TEST_FOLD, row["lengths"])
                 for kind, at in ((UNIGRAM, g.seq), (BIGRAM, g.bigram)):
@@ -210,7 +216,7 @@ def _events(tokens: int):
 
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 g = _grams(row["sequence"], row["hashes"])
                 every, own = _totals(row, g, "total"), _totals(row, g, "em_total")
                 one, two = every[UNIGRAM] - own[UNIGRAM], every[BIGRAM] - own[BIGRAM]
@@ -245,7 +251,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _scores(tokens: int, types: int, weights: np.ndarray):
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 g = _grams(row["sequence"], row["hashes"])
                 total = _totals(row, g, "total")
                 one, two = total[UNIGRAM], total[BIGRAM]
