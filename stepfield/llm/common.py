@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,13 +18,15 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@cache
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='stepfield-')}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors share. Where that is unset (a
-    local session, as in tests), a temporary folder is set instead."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='stepfield-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    local session, as in tests), a temporary folder is taken."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{base.rstrip('/')}/stepfield/{name}-{uuid.uuid4().hex}"
 
 
