@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepfield.sources.storage import checkpointed
+
 
 def grid_edges(spark: SparkSession, nx: int, ny: int, diagonal: bool = False) -> DataFrame:
     """Edges of a grid numbered row by row: 4 neighbours of a cell, or 8."""
@@ -101,7 +103,7 @@ def sign_groups(edges: DataFrame, values: DataFrame, rounds: int = 200) -> DataF
         near = e.join(label.select(F.col("cell").alias("j"), "group"), "j").groupBy(F.col("i").alias("cell")).agg(F.min("group").alias("g"))
         low = label.join(near, "cell", "left").select("cell", F.least("group", F.coalesce("g", "group")).alias("group"))
         up = low.select(F.col("cell").alias("group"), F.col("group").alias("g"))
-        label = low.join(up, "group", "left").select("cell", F.least("group", F.coalesce("g", "group")).alias("group")).checkpoint()
+        label = checkpointed(low.join(up, "group", "left").select("cell", F.least("group", F.coalesce("g", "group")).alias("group")))
         now = label.agg(F.sum("group")).first()[0]
         if now == total:
             break

@@ -180,12 +180,12 @@ def spurious_zeta(maps: DataFrame, dt: float) -> DataFrame:
     return maps.withColumns({f"spurious_{c}": F.col(f"grad_{c}") * dt / F.sqrt("variance") for c in ("x", "y")})
 
 
-def conjugate_map(maps: DataFrame, dt: float, prior_weight: int = 4, dim: int = 2) -> DataFrame:
+def conjugate_map(maps: DataFrame, dt: float, prior_weight: int = 3, dim: int = 2) -> DataFrame:
     """snr() maps: the conjugate prior's mode of the diffusivity, with `prior_weight` pseudo-steps of the other cells' variance."""
     eta2 = prior_weight / (F.col("k") + prior_weight)
     v = 1 + prior_weight / F.col("k") * F.col("prior_variance") / F.col("variance")
     g3 = v + eta2 * (F.col("zeta_x") * F.col("zeta_x") + F.col("zeta_y") * F.col("zeta_y"))
-    p = dim * (F.col("k") + prior_weight + 1) / 2 - 1
+    p = dim * (F.col("k") + prior_weight - 1) / 2 - 1
     return maps.withColumn("map_diffusivity", F.col("k") * F.col("variance") * g3 / (4 * dt * (p + 1)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepfield.operators import assign as A
+from stepfield.operators import bayes as B
 from stepfield.operators import derive as V
 from stepfield.operators import graph as G
 from stepfield.operators import infer as I
@@ -83,7 +84,7 @@ def snr_maps(spark, sf):
     return rounded(m.select("cell", "k", F.round("variance", 3).alias("variance"), F.round("prior_variance", 3).alias("prior_variance"), "zeta_x", "zeta_y"))
 
 
-@query(_SNR + f"SELECT cell, {r('k * v * (1 + 4e0 / k * pv / v + 4e0 / (k + 4) * (zx * zx + zy * zy)) / (4 * (k + 4 + 1))', 'map_diffusivity', 3)} FROM q WHERE k > 1")
+@query(_SNR + f"SELECT cell, {r('k * v * (1 + 3e0 / k * pv / v + 3e0 / (k + 3) * (zx * zx + zy * zy)) / (4 * (k + 2))', 'map_diffusivity', 3)} FROM q WHERE k > 1")
 def conjugate_diffusivity(spark, sf):
     return rounded(I.conjugate_map(I.snr(_moves(spark, sf)).where("k > 1"), 1.0).select("cell", "map_diffusivity"), 3)
 
@@ -190,3 +191,20 @@ def border_cells(spark, sf):
 def infer_d_any_dt(spark, sf):
     """Irregular durations: the numerical optimum of each cell."""
     return rounded(I.infer_any_dt(on_grid(T.to_translocations(walk(spark, sf))).where("dt > 0"), "dd").select("cell", "k", "diffusivity", "a_x", "a_y"), 9)
+
+
+@query()
+def bayes_factors(spark, sf):
+    """Evidence for a force in each cell, from the step and the diffusivity gradient's signal-to-noise ratios."""
+    m = I.snr(_moves(spark, sf)).where("k > 1")
+    d = I.infer_d(_moves(spark, sf)).select("cell", "diffusivity").join(GRID.cells(spark), "cell")
+    both = m.join(V.gradient(d, G.grid_edges(spark, 10, 5), "diffusivity"), "cell", "left").fillna(0.0, ["grad_x", "grad_y"])
+    return rounded(B.bayes_factor(I.spurious_zeta(both, 1.0)).select("cell", "k", "lg_b", "force"), 4)
+
+
+@query()
+def force_groups(spark, sf):
+    """Groups of adjacent cells whose evidence has the same sign, and its sum."""
+    m = I.snr(_moves(spark, sf)).where("k > 1").select("cell", F.col("zeta_x").alias("value"))
+    groups = G.sign_groups(G.grid_edges(spark, 10, 5), m)
+    return rounded(I.group_sum(m, groups, "value").select("cell", "group", "group_value"), 4)

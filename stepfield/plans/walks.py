@@ -103,9 +103,9 @@ def full_trajectories_semi(spark, sf):
     return rounded(T.full_trajectories(cropped, df).select("n", "row_id", "x"))
 
 
-@query(f"WITH {WALK}, k AS (SELECT * FROM p WHERE x > 480) SELECT n, row_id FROM k WHERE n IN (SELECT n FROM k GROUP BY n HAVING count(*) > 1)")
+@query(f"WITH {WALK}, k AS (SELECT * FROM p WHERE x > 300) SELECT n, row_id FROM k WHERE n IN (SELECT n FROM k GROUP BY n HAVING count(*) > 1)")
 def singleton_anti(spark, sf):
-    return T.drop_singletons(walk(spark, sf).where("x > 480")).select("n", "row_id")
+    return T.drop_singletons(walk(spark, sf).where("x > 300")).select("n", "row_id")
 
 
 @query(f"WITH {WALK} SELECT n, row_id, CAST(round_even((t - (SELECT min(t) FROM p)) / 3600e0, 0) AS BIGINT) AS frame FROM p")
