@@ -34,6 +34,8 @@ GROUP_ITEMS, LAST_ITEMS, FAN_IN = 100_000, 100_000, 8
 REMEMBERED = 1_200_000
 #: Punctuation that the vocabulary's pattern always parts from a letter before it.
 TAIL = ".,!?;:*#$%&"
+#: The parting is only used behind Latin letters below this, whose normal and lower-case forms are letters.
+LETTERS = "\u0180"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
 _MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]))
@@ -72,7 +74,7 @@ class _Ids(dict):
         for part in parts:
             low = part if "<|" in part else part.translate(_LOWER)  # lower-cased, a text may become a special token
             core = low.rstrip(TAIL)
-            cut[part] = (core, low[len(core) :]) if core and core[-1].isalpha() else (low, "")
+            cut[part] = (core, low[len(core) :]) if core[-1:].isalpha() and core[-1] < LETTERS and core[-1].lower().isalpha() else (low, "")
         new = {x for pair in cut.values() for x in pair} - self.keys()
         words = [x for x in new if x.isalpha()]
         for at in range(0, len(words), 1000):
