@@ -145,7 +145,7 @@ def _least(classes: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(labelled.groupBy("label").agg(F.min("root").alias("component_id")), "label").select("node", "component_id")
 
 
-def word_fingerprints(docs: DataFrame, kinds: int = 3) -> DataFrame:
+def word_fingerprints(docs: DataFrame, kinds: int = 4) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fps: SimHashes, by several hash functions, of a text's distinct long words (of six bytes or
     more without punctuation; all words where fewer than eight are long). Unlike shingles, of which an edited word spoils
     several, they keep near copies with one word in forty edited within a few bits. No shuffle."""
@@ -169,7 +169,7 @@ def word_fingerprints(docs: DataFrame, kinds: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fps array<bigint>")
 
 
-def near_copies(docs: DataFrame, radius: int = RADIUS, kinds: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_copies(docs: DataFrame, radius: int = RADIUS, kinds: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, component_id, where texts are linked if any of their word fingerprints are within the
     radius. Fingerprints are nodes of the graph like texts are, so a fingerprint of many texts costs one row for each."""
     marked = written(word_fingerprints(docs, kinds).withColumn("node", F.xxhash64("fps")), "fingerprints")
