@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,6 +29,8 @@ from stepfield.llm.common import bounded_batches, written
 CAPACITY = 2048
 #: A bin with at most this share of its capacity free is done before the last round.
 SLACK = 1 / 256
+#: Bytes of text tokenised at once.
+TEXT_BYTES = 8 << 20
 #: Texts a task packs at once, and rounds' limits: bins that one task of the last round may hold, partitions merged into one.
 GROUP_ITEMS, LAST_ITEMS, FAN_IN = 100_000, 100_000, 8
 #: Word parts whose ids a Python worker remembers, before it forgets all.
@@ -72,7 +75,7 @@ class _Ids(dict):
             self.clear()
         cut = {}
         for part in parts:
-            low = part if "<|" in part else part.translate(_LOWER)  # lower-cased, a text may become a special token
+            low = _lower(part)
             core = low.rstrip(TAIL)
             cut[part] = (core, low[len(core) :]) if core[-1:].isalpha() and core[-1] < LETTERS and core[-1].lower().isalpha() else (low, "")
         new = {x for pair in cut.values() for x in pair} - self.keys()
@@ -82,10 +85,39 @@ class _Ids(dict):
         self.update((x, self.encode(x).tobytes()) for x in new if not x.isalpha())
         self.update((part, self[core] + self[tail]) for part, (core, tail) in cut.items())
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*parts) - self.keys())
-        return [self.encode(t).tobytes() if any(s in t for s in self.special) else b"".join(map(self.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
+    def of(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text. A batch's distinct parts are looked up once, and spread over the texts by index."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        missing = set(distinct) - self.keys()
+        if missing:
+            self._learn(missing if len(self) <= REMEMBERED else set(distinct))
+        known = [self[p] for p in distinct]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        ends = np.cumsum(sizes[at])
+        spread = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - (ends - sizes[at]), sizes[at])]
+        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
+        out = [spread[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k in np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist():
+            text = texts[k].as_py()
+            if any(s in text for s in self.special):
+                out[k] = self.encode(text).tobytes()
+        return out
+
+
+def _lower(part: str) -> str:
+    """A-Z, and in texts of Latin-1 all letters, lower-cased; not where that may make a special token."""
+    if "<|" in part:
+        return part
+    if part.isascii():
+        return part.lower()
+    try:
+        part.encode("latin-1")
+    except UnicodeEncodeError:
+        return part.translate(_LOWER)
+    return part.lower()
 
 
 @cache
@@ -140,6 +172,18 @@ def _packed(items: list, capacity: int, last: bool, step: int = 2000) -> Iterato
         yield made.slice(k, step)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Batches joined until their texts have TEXT_BYTES: the more texts, the fewer of their parts are distinct."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.column(1).nbytes for x in held) >= TEXT_BYTES:
+            yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
+            held = []
+    if held:
+        yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
+
+
 def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """docs (doc_id, text) -> BINS of the first round. Each task cuts its texts into pieces and packs them; full pieces are bins of their own."""
     bounded_batches(docs.sparkSession)
@@ -147,9 +191,8 @@ def tokenize_and_pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacit
 
     def run(batches):
         ids, items = _vocabulary(vocabulary), []
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, data in zip(batch.column(0).to_pylist(), ids.of(texts), strict=True):
+        for docs_ids, texts in _grouped(batches):
+            for doc, data in zip(docs_ids.to_pylist(), ids.of(pc.fill_null(texts, "")), strict=True):
                 data += end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
