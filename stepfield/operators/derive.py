@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +102,17 @@ def grid_curl(maps: DataFrame, nx: int, ny: int, fx: str, fy: str, width: float,
     field = maps.select((F.floor(F.col("cell") / ny)).alias("gx"), (F.col("cell") % ny).alias("gy"), F.col(fx).alias("fx"), F.col(fy).alias("fy")).where("fx is not null and fy is not null")
     turn = at.join(field, ["gx", "gy"]).groupBy("cell").agg(F.count("*").alias("k"), F.sum(F.col("fx") * F.col("tx") + F.col("fy") * F.col("ty")).alias("c"))
     return turn.where("k = 8").select("cell", (F.col("c") / (4 * width * height)).alias("curl"))
+
+
+def quadratic_gradient(maps: DataFrame, edges: DataFrame, value: str) -> DataFrame:
+    """(cell, grad_x, grad_y): least-squares quadratic surface through a cell and its neighbours, in coordinates about the cell, which must lie on
+    it; with too few neighbours the surface of least norm. A group is one cell's neighbourhood."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        dx, dy, dv = (table.column(a).to_numpy() - table.column(b).to_numpy() for a, b in (("jx", "ix"), ("jy", "iy"), ("jv", "iv")))
+        a = np.stack([dx, dy, dx * dx, dx * dy, dy * dy], 1)
+        g = np.linalg.lstsq(a, dv, rcond=None)[0]
+        return pa.table({"cell": table.column("i").slice(0, 1).cast(pa.int32()), "grad_x": [float(g[0])], "grad_y": [float(g[1])]})
+
+    near = _near(maps, edges, value).select(F.col("i").cast("int"), *(F.col(c).cast("double") for c in ("ix", "iy", "iv", "jx", "jy", "jv")))
+    return near.groupBy("i").applyInArrow(fit, "cell int, grad_x double, grad_y double")

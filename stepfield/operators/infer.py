@@ -212,3 +212,38 @@ MODES = {"d": infer_d, "dd": infer_dd, "ddrift": infer_dd, "df": infer_df, "unsm
 def group_sum(maps: DataFrame, groups: DataFrame, column: str) -> DataFrame:
     """Sum of a column over each group of cells."""
     return maps.join(groups, "cell").withColumn(f"group_{column}", F.sum(column).over(Window.partitionBy("group")))
+
+
+def _ball(p: np.ndarray) -> tuple[np.ndarray, float]:
+    """A ball that holds all points: through two far ones, then grown to each point outside."""
+    a = p[((p - p[0]) ** 2).sum(1).argmax()]
+    b = p[((p - a) ** 2).sum(1).argmax()]
+    centre, radius = (a + b) / 2, float(np.hypot(*(a - b))) / 2
+    for q in p:
+        d = float(np.hypot(*(q - centre)))
+        if d > radius:
+            radius, centre = (radius + d) / 2, centre + (q - centre) * (d - radius) / (2 * d)
+    return centre, radius
+
+
+def spherical_volume(points: DataFrame, edges: DataFrame, dim: int = 2) -> DataFrame:
+    """(cell, radius, volume): a ball about each cell's points, enlarged to the nearest point of a neighbouring cell; its area (dim 2) or volume (dim 3).
+    Balls come from one group per cell; the nearest foreign point from a join of neighbours on the cell, reduced to a minimum."""
+
+    def run(table: pa.Table) -> pa.Table:
+        centre, radius = _ball(np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], 1))
+        return pa.table({"cell": table.column("cell").slice(0, 1), "b_x": [float(centre[0])], "b_y": [float(centre[1])], "r": [float(radius)]})
+
+    own = points.where("cell is not null and x is not null and y is not null").select(F.col("cell").cast("int").alias("cell"), "x", "y")
+    balls = own.groupBy("cell").applyInArrow(run, "cell int, b_x double, b_y double, r double")
+    near = edges.select(F.col("i").alias("cell"), "j").join(balls, "cell").join(own.withColumnRenamed("cell", "j"), "j")
+    foreign = near.groupBy("cell").agg(F.min(F.hypot(F.col("x") - F.col("b_x"), F.col("y") - F.col("b_y"))).alias("d"))
+    r = F.greatest("r", F.coalesce("d", "r"))
+    volume = F.lit(np.pi) * r * r if dim == 2 else F.lit(4 / 3 * np.pi) * r * r * r
+    return balls.join(foreign, "cell", "left").select("cell", r.alias("radius"), volume.alias("volume"))
+
+
+def density(counts: DataFrame, volumes: DataFrame, scale: float = 1.0, least: float = 0.0) -> DataFrame:
+    """Points per volume; cells of no more than the least volume have none."""
+    v = F.when(F.col("volume") > least, F.col("volume"))
+    return counts.join(volumes.select("cell", "volume"), "cell").select("cell", (F.col("k") / v * scale).alias("density"))

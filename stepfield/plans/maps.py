@@ -208,3 +208,16 @@ def force_groups(spark, sf):
     m = I.snr(_moves(spark, sf)).where("k > 1").select("cell", F.col("zeta_x").alias("value"))
     groups = G.sign_groups(G.grid_edges(spark, 10, 5), m)
     return rounded(I.group_sum(m, groups, "value").select("cell", "group", "group_value"), 4)
+
+
+@query()
+def quadratic_gradient(spark, sf):
+    return rounded(V.quadratic_gradient(*_map(spark, sf), "value"), 4)
+
+
+@query()
+def spherical_density(spark, sf):
+    """Points per area of the balls about each cell's points."""
+    df = on_grid(walk(spark, sf))
+    volumes = I.spherical_volume(df, G.grid_edges(spark, 10, 5))
+    return rounded(I.density(A.counts(df, GRID.cells(spark)), volumes, least=1e-9), 6)

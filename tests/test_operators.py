@@ -193,3 +193,17 @@ def test_error_variance():
     assert C.squared_error(sigma=0.1) == pytest.approx(0.01)
     with pytest.raises(ValueError, match="both"):
         C.squared_error(0.1, 0.01)
+
+
+def test_quadratic_gradient_of_a_surface(spark):
+    g = tessellate.Grid(0.0, 0.0, 1.0, 1.0, 5, 5)
+    maps = g.cells(spark).withColumn("v", 3 * F.col("c_x") - F.col("c_y") + 2 * F.col("c_x") * F.col("c_y"))
+    got = {r.cell: (r.grad_x, r.grad_y) for r in derive.quadratic_gradient(maps, graph.grid_edges(spark, 5, 5, diagonal=True), "v").collect()}
+    assert got[12] == (pytest.approx(3 + 2 * 2.5), pytest.approx(-1 + 2 * 2.5))
+
+
+def test_spherical_volume(spark):
+    points = spark.createDataFrame([(0, 0.0, 0.0), (0, 2.0, 0.0), (0, 1.0, 0.5), (1, 4.0, 0.0), (2, 9.0, 9.0)], "cell int, x double, y double")
+    edges = spark.createDataFrame([(0, 1), (1, 0)], "i int, j int")
+    got = {r.cell: r.radius for r in infer.spherical_volume(points, edges).collect()}
+    assert got == {0: pytest.approx(3.0), 1: pytest.approx(2.0), 2: 0.0}

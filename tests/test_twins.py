@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from stepfield.plans.registry import ORACLE, QUERIES
+from stepfield.plans.registry import ORACLE, QUERIES  # filled by the import above
 from tests.conftest import SF
 
 
