@@ -11,7 +11,7 @@ from stepfield.plans.registry import query
 from stepfield.streaming import windows
 
 
-@query(f"WITH {WALK} SELECT CAST(floor(t / 86400) AS BIGINT) AS day, {CELL} AS cell, count(*) AS k, {r('avg(x)', 'm_x', 4)} FROM p GROUP BY 1, 2")
+@query(f"WITH {WALK} SELECT CAST(floor(t / 86400) AS BIGINT) AS day, {CELL} AS cell, count(*) AS k, {r('avg(x)', 'm_x')} FROM p GROUP BY 1, 2")
 def streamed_cell_counts(spark, sf):
     """Counts per cell and day from a file stream over the events, run to its end; the result is as large as its windows, not the stream."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
@@ -21,4 +21,4 @@ def streamed_cell_counts(spark, sf):
     name = f"stream_{uuid.uuid4().hex}"
     windows.cell_counts(places, "1 day", late="2 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     day = F.floor(F.unix_seconds("window.start") / 86400)
-    return rounded(spark.table(name).select(day.alias("day"), "cell", "k", "m_x"), 4)
+    return rounded(spark.table(name).select(day.alias("day"), "cell", "k", "m_x"))
