@@ -209,11 +209,22 @@ def convex_hull(df: DataFrame, key: str = "n") -> DataFrame:
 def all_features(df: DataFrame, lags: Sequence[int] = LAGS) -> DataFrame:
     """Every feature, joined on n; all parts share the partitioning by n."""
     out = spans(df)
-    for part in (step_moments(df), msd_fit(df, lags), drift(df), displacement_pdf_fit(df, lags), gyration(df), efficiency(df), axis_kurtosis(df), angle_features(df), step_autocorrelation(df), gaussianity_features(df, lags), ergodicity(df)):
+    for part in (step_moments(df), msd_fit(df, lags), drift(df), displacement_pdf_fit(df, lags), gyration(df), efficiency(df), axis_kurtosis(df), angle_features(df), step_autocorrelation(df), gaussianity_features(df, lags), ergodicity(df), escape_distances(df)):
         out = out.join(part.select("n", *(c for c in part.columns if c not in out.columns)), "n", "left")
     return out
 
 
+def escape_distances(df: DataFrame, rows: int = 100) -> DataFrame:
+    """Distances that a quarter, a half and three quarters of a trajectory's positions are left behind by: quantiles of the farthest later
+    distance from each position. Of longer trajectories `rows` positions count, those of the smallest hash, so a row's array is bounded."""
+    w = Window.partitionBy("n").orderBy(F.xxhash64("row_id"), "row_id")
+    kept = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= rows)
+    p = kept.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("t", "row_id", "x", "y"))).alias("p"))
+    far = F.expr("transform(p, (a, i) -> coalesce(array_max(transform(slice(p, i + 2, size(p)), b -> sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))), 0D))")
+    m = p.select("n", F.explode(far).alias("m"))
+    return m.groupBy("n").agg(*(F.percentile("m", F.lit(1 - q)).alias(f"escape_{k}") for q, k in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+
+
 def per_duration(features: DataFrame, names: Sequence[str], root: bool = False) -> DataFrame:
     """Features divided by the duration, or its root."""
     d = F.col("t_max") - F.col("t_min")

@@ -133,6 +133,14 @@ def trajectory_spans(spark, sf):
     return rounded(X.spans(walk(spark, sf)).where("size > 2"), 3)
 
 
+@query(
+    f"WITH {WALK}, {_RANKED}, m AS (SELECT a.n, a.i, coalesce(max(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))), 0) AS m FROM q a LEFT JOIN q b ON b.n = a.n AND b.i > a.i GROUP BY a.n, a.i) "
+    f"SELECT n, {r('quantile_cont(m, 0.75)', 'escape_q1', 4)}, {r('quantile_cont(m, 0.5)', 'escape_median', 4)}, {r('quantile_cont(m, 0.25)', 'escape_q3', 4)} FROM m GROUP BY n"
+)
+def escape_distances(spark, sf):
+    return rounded(X.escape_distances(walk(spark, sf)), 4)
+
+
 @query()
 def convex_hull(spark, sf):
     return rounded(X.convex_hull(walk(spark, sf)))
