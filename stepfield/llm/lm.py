@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from stepfield.llm.common import bounded_batches, written
 
 FOLDS, TEST_FOLD, EM_FOLD = 5, 1, 2
-CHUNK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 2_000_000, 32
+CHUNK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 2_000_000, 32
 #: Bins of the events' estimates: steps per power of two, and the smallest power.
 STEPS, SMALLEST = 4, -48
 CONTEXT_BUCKETS = 32
@@ -46,7 +46,7 @@ def fold(doc_id: Column) -> Column:
 
 def _pack(a: np.ndarray) -> bytes:
     """An integer array, byte planes apart, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
@@ -118,8 +118,8 @@ def _grams(sequence: bytes, hashes: bytes) -> _Grams:
     seq, h = _unpack(sequence, "<u4"), _unpack(hashes, "<u8")
     before = np.concatenate([np.zeros(1, np.uint32), seq[:-1]])  # a text ends with 0, which is also the next one's start
     codes, bigram = np.unique(before.astype(np.uint64) << np.uint64(32) | seq, return_inverse=True)
-    context, word = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return _Grams(seq, context, word, bigram, {UNIGRAM: _mixed(h), BIGRAM: _mixed(_mixed(h[context] * _A) + h[word])})
+    context, word = (codes >> np.uint64(32)).astype(np.int32), (codes & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    return _Grams(seq, context, word, bigram.astype(np.int32), {UNIGRAM: _mixed(h), BIGRAM: _mixed(_mixed(h[context] * _A) + h[word])})
 
 
 def _runs(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
