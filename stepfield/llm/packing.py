@@ -34,7 +34,7 @@ TEXT_BYTES = 8 << 20
 #: Texts a task packs at once, and rounds' limits: bins that one task of the last round may hold, partitions merged into one.
 GROUP_ITEMS, LAST_ITEMS, FAN_IN = 100_000, 100_000, 8
 #: Word parts whose ids a Python worker remembers, before it forgets all.
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 #: Punctuation that the vocabulary's pattern always parts from a letter before it.
 TAIL = ".,!?;:*#$%&"
 #: The parting is only used behind Latin letters below this, whose normal and lower-case forms are letters.
