@@ -208,6 +208,12 @@ def point_adjacency(spark, sf):
     return rounded(G.point_adjacency(on_grid(walk(spark, sf).where("n < 40")), G.grid_edges(spark, 10, 5), 2.0))
 
 
+@query()
+def point_adjacency_all(spark, sf):
+    """All walks; the SQL twin of point_adjacency, whose all-pairs join is slow, covers those of n < 40."""
+    return rounded(G.point_adjacency(on_grid(walk(spark, sf)), G.grid_edges(spark, 10, 5), 2.0))
+
+
 @query(f"WITH {WALK}, {EDGES}, b AS (SELECT * FROM (VALUES (0, 0e0, 100e0, 0e0, 50e0), (1, 50e0, 200e0, 20e0, 90e0)) v(cell, x_min, x_max, y_min, y_max)) SELECT row_id, cell FROM p JOIN b ON x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max")
 def box_join(spark, sf):
     boxes = spark.createDataFrame([(0, 0.0, 100.0, 0.0, 50.0), (1, 50.0, 200.0, 20.0, 90.0)], "cell int, x_min double, x_max double, y_min double, y_max double")

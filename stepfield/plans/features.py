@@ -216,6 +216,22 @@ def mutual_links(spark, sf):
     return R.mutual_links(R.next_frame_candidates(df, 10.0)).select("a", "b")
 
 
+def _candidates(spark, sf):
+    return R.next_frame_candidates(walk(spark, sf).withColumn("frame", F.floor(F.col("t") / 86400.0)), 10.0)
+
+
+@query()
+def next_frame_candidates_all(spark, sf):
+    """All walks; next_frame_candidates and its SQL twin cover those of n < 60."""
+    return rounded(_candidates(spark, sf))
+
+
+@query()
+def mutual_links_all(spark, sf):
+    """All walks; mutual_links and its SQL twin cover those of n < 60."""
+    return R.mutual_links(_candidates(spark, sf)).select("a", "b")
+
+
 @query()
 def density_peaks(spark, sf):
     return rounded(R.density_peaks(walk(spark, sf), 10.0, 25.0, 5.0))

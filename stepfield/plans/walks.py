@@ -141,6 +141,13 @@ def join_by_values(spark, sf):
     return T.join_by_values(df.where("row_id % 3 = 0").select("n", "row_id", "x", "y", "t"), df.select("x", "y", "t", "source")).select("n", "row_id", "source")
 
 
+@query()
+def join_by_values_all(spark, sf):
+    """All rows looked up; join_by_values and its SQL twin look up every third."""
+    df = walk(spark, sf)
+    return T.join_by_values(df.select("n", "row_id", "x", "y", "t"), df.select("x", "y", "t", "source")).select("n", "row_id", "source")
+
+
 @query(f"WITH {WALK} SELECT n, row_id FROM p WHERE n IN (SELECT n FROM p GROUP BY n HAVING count(DISTINCT x) > 60 AND max(sqrt(x * x + y * y)) < 495)")
 def useful_walks(spark, sf):
     return T.useful(walk(spark, sf), 60, 495.0).select("n", "row_id")
