@@ -32,6 +32,12 @@ from stepfield.llm.graph import connected_components
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Distinct fingerprints that are compared within one row.
 BUCKET_LIMIT = 4096
+#: Minimum hashes of a text's five-word shingles, hashes of one band, and the share that a link's hashes agree in at least.
+HASHES, BAND, AGREE = 128, 4, 0.65
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, HASHES, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+_TERMS = _RNG.integers(0, 1 << 63, HASHES, np.uint64)[:, None]
+_PLACES = _RNG.integers(0, 1 << 63, 5, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -169,14 +175,85 @@ def word_fingerprints(docs: DataFrame, kinds: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fps array<bigint>")
 
 
+def minimum_hashes(data: bytes) -> np.ndarray | None:
+    """The HASHES minimum hashes of a text's five-word shingles (A-Z lower-cased); None for a text of no words."""
+    words = data.lower().split()
+    if not words:
+        return None
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    k = min(len(_PLACES), len(h))
+    mixed = sum(h[i : len(h) - k + 1 + i] * _PLACES[i] for i in range(k))
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed, least = np.unique(mixed), np.full(HASHES, (1 << 32) - 1, np.uint64)
+    for at in range(0, len(mixed), 2048):
+        least = np.minimum(least, ((mixed[at : at + 2048] * _FACTORS + _TERMS) >> np.uint64(32)).min(1))
+    return least
+
+
+def shingle_signatures(docs: DataFrame) -> DataFrame:
+    """docs (node, text) -> node, sig (16 bits of each minimum hash), keys (a hash of each band). No shuffle."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            rows = [(n, m) for n, x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True) if (m := minimum_hashes(x or b"")) is not None]
+            sigs = [m.astype("<u2").tobytes() for _, m in rows]
+            keys = [[xxhash.xxh64_intdigest(part.tobytes()) - (1 << 63) for part in m.reshape(-1, BAND)] for _, m in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "sig", "keys"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, sig binary, keys array<bigint>")
+
+
+def _agreeing(batches):
+    """(nodes, sigs) of a bucket -> spanning links of nodes whose hashes agree in AGREE of all."""
+    for b in batches:
+        out = []
+        for nodes, sigs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            m = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), HASHES)
+            free = np.arange(len(nodes))
+            while len(free):
+                stack, free = [int(free[0])], free[1:]
+                while stack and len(free):
+                    u = stack.pop()
+                    near = (m[free] == m[u]).sum(1) >= AGREE * HASHES
+                    out += [(nodes[u], nodes[v]) for v in free[near].tolist()]
+                    stack += free[near].tolist()
+                    free = free[~near]
+        columns = zip(*out, strict=True) if out else [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+
+def shingle_links(docs: DataFrame, bucket_limit: int = 1024) -> DataFrame:
+    """docs (node, text) -> links (a, b) of texts whose five-word shingles are alike. Texts that agree in a band of minimum hashes
+    are compared by all their hashes: two of similarity 0.8 share no band with a chance of 5e-8, and fall short of AGREE with one
+    of 1e-5. A bucket of more texts is compared in slices, each with the bucket's least text, cut otherwise in every band."""
+    every = written(shingle_signatures(docs), "signatures").dropDuplicates(["node"])
+    twins = written(every.groupBy("sig").agg(F.min("node").alias("a"), F.first("keys").alias("keys")), "signature-classes")
+    same = every.join(twins.select("sig", "a"), "sig").where("node <> a").select("a", F.col("node").alias("b"))
+    dealt = twins.select(F.col("a").alias("node"), F.posexplode("keys").alias("t", "key"))
+    sizes = written(dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "band-sizes")
+    slices = F.ceil(F.col("n") / bucket_limit).cast("bigint")
+    own = dealt.join(sizes, ["t", "key"]).where("node <> hub").select("t", "key", F.pmod(F.xxhash64("node", "t"), slices).alias("slice"), "node")
+    hubs = sizes.select("t", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("slice"), F.col("hub").alias("node"))
+    shared = own.unionByName(hubs).join(twins.select(F.col("a").alias("node"), "sig"), "node")
+    groups = shared.groupBy("t", "key", "slice").agg(F.collect_list("node").alias("nodes"), F.collect_list("sig").alias("sigs"))
+    return groups.select("nodes", "sigs").mapInArrow(_agreeing, "a long, b long").unionByName(same)
+
+
 def near_copies(docs: DataFrame, radius: int = RADIUS, kinds: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, component_id, where texts are linked if any of their word fingerprints are within the
-    radius. Fingerprints are nodes of the graph like texts are, so a fingerprint of many texts costs one row for each."""
+    radius, or by shingle_links. Fingerprints are nodes of the graph like texts are, so a fingerprint of many texts costs one row for each."""
     marked = written(word_fingerprints(docs, kinds).withColumn("node", F.xxhash64("fps")), "fingerprints")
     classes = written(marked.groupBy("node").agg(F.min("doc_id").alias("root"), F.first("fps").alias("fps")), "classes")
     values = classes.select("node", F.posexplode("fps").alias("f", "fp"))
     found = links(values.select("f", "fp").distinct(), radius, bucket_limit)
     edges = found.select(F.xxhash64("f", "a").alias("a"), F.xxhash64("f", "b").alias("b")).unionByName(values.select(F.col("node").alias("a"), F.xxhash64("f", "fp").alias("b")))
+    alike = shingle_links(docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text"), min(bucket_limit, 1024))
+    of = marked.where("doc_id is not null").select("doc_id", "node").dropDuplicates(["doc_id"])
+    alike = alike.join(of.select(F.col("doc_id").alias("a"), F.col("node").alias("na")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("node").alias("nb")), "b")
+    edges = edges.unionByName(alike.select(F.col("na").alias("a"), F.col("nb").alias("b")))
     return marked.join(_least(classes.select("node", "root"), connected_components(edges)), "node").select("doc_id", "component_id")
 
 
