@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns and the token-efficiency test.
 
-Strings that a byte-pair vocabulary cannot compress are random: a run of key characters whose characters per token fall
-below `ratio` is exposed, after known digests and identifiers are excluded (hexadecimal digests by their length, UUIDs,
+Strings that a byte-pair vocabulary cannot compress are random: a run of key characters, a part of it between separators, or a
+window of it, whose characters per token fall below `ratio` is exposed, after known digests and identifiers are excluded (hexadecimal digests by their length, UUIDs,
 plain numbers, words, and names made of words). Patterns that an Arrow batch's texts do not match at all, by a linear-time
 scan, are not tried text by text. Places are code points, ends exclusive; kinds are listed in KINDS order.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,8 +30,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Runs that the token-efficiency test looks at, and the characters per token below which a run is random.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 RATIO = 2.0
+#: Least characters of a random place.
+LEAST = 16
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
+_PART = re.compile(r"[A-Za-z0-9]+")
+_KNOWN_PART = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])", re.IGNORECASE)
 #: Names: words and numbers joined by separators, and camel case of whole words.
 NAME = re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+))*|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*[0-9]*")
 _SCANS = (r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "AKIA", "[0-9a-f]{16}", "[A-Za-z0-9+/_=-]{16}")
@@ -45,12 +50,60 @@ def _vocabulary(path: str, pattern: str) -> tiktoken.Encoding:
 
 def is_known(run: str) -> bool:
     """Digests, UUIDs, numbers and identifiers, which are no secrets."""
-    return not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or bool(DIGEST.fullmatch(run) or UUID.fullmatch(run) or NAME.fullmatch(run))
-
-
-def _tokens(run: str, encoding: tiktoken.Encoding, step: int = 512) -> int:
-    """Tokens of a run; a very long one is encoded in steps, as merges of one long piece take quadratic time."""
-    return sum(len(encoding.encode_ordinary(run[k : k + step])) for k in range(0, len(run), step))
+    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run) or NAME.fullmatch(run))
+
+
+def _lengths(run: str, encoding: tiktoken.Encoding, step: int = 512) -> list[int]:
+    """The tokens' lengths of a run; a very long one is encoded in steps, as merges of one long piece take quadratic time."""
+    return [len(encoding.decode_single_token_bytes(t)) for k in range(0, len(run), step) for t in encoding.encode_ordinary(run[k : k + step])]
+
+
+def _windows(run: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
+    """Stretches of whole tokens, of LEAST to 3 LEAST characters, below the ratio and clear of digests and UUIDs. A longer stretch
+    below it can be cut into such ones, one of which is below it too."""
+    lengths, out = _lengths(run, encoding), []
+    starts = [0, *accumulate(lengths)]
+    known = [m.span() for m in _KNOWN_PART.finditer(run)]
+    for i, a in enumerate(starts[:-1]):
+        for j in range(i + 1, len(starts)):
+            b = starts[j]
+            if b - a > 3 * LEAST:
+                break
+            if LEAST <= b - a < ratio * (j - i) and not any(a < y and x < b for x, y in known):
+                out.append((a, b))
+    return out
+
+
+def exposed(run: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
+    """Places of a run that are random: all of it, or its parts between separators, or parts in which a window is random; words at
+    the edges of the latter are left out."""
+    if is_known(run):
+        return []
+    if not _KNOWN_PART.search(run) and len(run) < ratio * len(_lengths(run, encoding)):
+        return [(0, len(run))]
+    parts, found = [m.span() for m in _PART.finditer(run)], []
+    word = lambda a, b: is_known(run[a:b]) and b - a >= ratio * len(_lengths(run[a:b], encoding))
+    for a, b in parts:
+        if b - a >= LEAST and not is_known(run[a:b]) and b - a < ratio * len(_lengths(run[a:b], encoding)):
+            found.append((a, b))
+    windows = [(a, b) for a, b in _windows(run, encoding, ratio) if not any(x < b and a < y for x, y in found)]
+    merged: list[list[int]] = []
+    for a, b in windows:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    for a, b in merged:
+        held = [p for p in parts if p[0] < b and a < p[1]]
+        while held and word(*held[0]):
+            held.pop(0)
+        while held and word(*held[-1]):
+            held.pop()
+        if held:
+            x, y = held[0][0], held[-1][1]
+            if y - x >= LEAST and not is_known(run[x:y]) and any(x <= c and d <= y for c, d in windows) and not any(x < d and c < y for c, d in found):
+                found.append((x, y))
+    return sorted(found)
 
 
 def spans(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO, tries: tuple[bool, ...] = (True,) * 4) -> list[tuple[int, int, int]]:
@@ -65,9 +118,8 @@ def spans(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO, tries: t
     if tries[3]:
         base = list(found)
         for m in RUN.finditer(text):
-            run = m[0]
-            if not is_known(run) and not any(a <= m.start() and m.end() <= b for a, _, b in base) and len(run) < ratio * _tokens(run, encoding):
-                found.append((m.start(), 3, m.end()))
+            if not any(a <= m.start() and m.end() <= b for a, _, b in base):
+                found += [(m.start() + a, 3, m.start() + b) for a, b in exposed(m[0], encoding, ratio)]
     return sorted(found)
 
 
