@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepfield.sources.storage import checkpointed
+
 #: Centres that are tried for every point as one literal array; more are looked up by grid bucket.
 FEW_CENTRES = 4096
 
@@ -27,26 +29,25 @@ def nearest(df: DataFrame, cells: DataFrame, few: int = FEW_CENTRES) -> DataFram
 
 def nearest_bucketed(df: DataFrame, cells: DataFrame, width: float | None = None) -> DataFrame:
     """The same for many centres: centres are dealt to the 3 x 3 buckets round their own; a centre found within a bucket's width is
-    the nearest, points without one are tried again with buckets twice as wide. df needs row_id."""
+    the nearest, points without one are tried again with buckets twice as wide, and those far from all centres with every centre at the end. Points of a null
+    coordinate have a null cell. df needs row_id."""
     k, x0, x1, y0, y1 = cells.agg(F.count("*"), F.min("c_x"), F.max("c_x"), F.min("c_y"), F.max("c_y")).first()
     width = width or max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) / k), 1e-9)
     far = max(x1 - x0, y1 - y0, width)
-    out, left = None, df
     names = df.columns
+    some = F.col("x").isNotNull() & F.col("y").isNotNull()
+    out = df.where(~some).select(*names, F.lit(None).cast(cells.schema["cell"].dataType).alias("cell"), F.lit(None).cast("double").alias("distance"))
+    left = df.where(some)
+    d = F.hypot(F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y"))
     while True:
         last = width > 4 * far
         b = [F.floor(F.col(c) / width).alias(n) for c, n in (("x", "_i"), ("y", "_j"))]
         around = F.expr("explode(flatten(transform(sequence(-1,1), i -> transform(sequence(-1,1), j -> named_struct('i', i, 'j', j)))))")
         dealt = cells.select("cell", "c_x", "c_y", around.alias("o")).select("cell", "c_x", "c_y", (F.floor(F.col("c_x") / width) + F.col("o.i")).alias("_i"), (F.floor(F.col("c_y") / width) + F.col("o.j")).alias("_j"))
-        if last:
-            tried = left.join(F.broadcast(cells.select("cell", "c_x", "c_y").limit(FEW_CENTRES)), F.lit(True)) if k <= FEW_CENTRES else left.select("*", *b).join(dealt, ["_i", "_j"])
-        else:
-            tried = left.select("*", *b).join(dealt, ["_i", "_j"])
-        d = F.hypot(F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y"))
-        best = tried.withColumn("_d", d).groupBy("row_id").agg(F.min(F.struct("_d", "cell")).alias("_b")).where(F.lit(last) | (F.col("_b._d") <= width))
-        got = left.join(best, "row_id").select(*names, F.col("_b.cell").alias("cell"), F.col("_b._d").alias("distance"))
-        out = got if out is None else out.unionByName(got)
-        left = left.join(best.select("row_id"), "row_id", "left_anti")
+        tried = left.join(F.broadcast(cells.select("cell", "c_x", "c_y")), F.lit(True)) if last else left.select("*", *b).join(dealt, ["_i", "_j"])
+        best = checkpointed(tried.withColumn("_d", d).groupBy("row_id").agg(F.min(F.struct("_d", "cell")).alias("_b")).where(F.lit(last) | (F.col("_b._d") <= width)))
+        out = out.unionByName(left.join(best, "row_id").select(*names, F.col("_b.cell").alias("cell"), F.col("_b._d").alias("distance")))
+        left = checkpointed(left.join(best.select("row_id"), "row_id", "left_anti"))
         if last or left.limit(1).count() == 0:
             return out
         width *= 2
