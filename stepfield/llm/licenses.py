@@ -1,6 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. A template is found in a block if the block holds at least `threshold` of the template's
+A block is a line of a text, or a window of as many consecutive words as 1 / `threshold` times the template's own, over line ends, so
+wrapped notices are found. A window that reaches the threshold holds a prefix word (see below), so only places near these are
+counted. A template is found in a block if the block holds at least `threshold` of the template's
 distinct words. Template words are ordered by the number of texts of the whole corpus that hold them, rarest first. A block
 that reaches the threshold must hold one of the first |T| - a + 1 words of the template (a: the words it needs), so only
 those are indexed; blocks of fewer than a words are passed over (length filter); and a first common word at places i and j
@@ -63,6 +65,7 @@ class Index:
     need: list[int]
     rank: dict[bytes, int]
     prefix: dict[bytes, list[tuple[int, int]]]
+    span: list[int]
 
     def best(self, block: list[bytes]) -> dict[int, float]:
         """The templates whose containment in the block reaches the threshold, and it."""
@@ -81,6 +84,41 @@ class Index:
                     found[t] = common / len(self.sets[t])
         return found
 
+    def wrapped(self, ws: list[bytes]) -> dict[int, float]:
+        """The templates whose containment in a window of the text's words reaches the threshold, and the best one."""
+        held, near, found = [(p, w) for p, w in enumerate(ws) if w in self.rank], defaultdict(list), {}
+        for k, (_, w) in enumerate(held):
+            for t, _ in self.prefix.get(w, ()):
+                near[t].append(k)
+        for t, starts in near.items():
+            mine, span, done = frozenset(self.sets[t]), self.span[t], 0
+            for k in starts:
+                if k < done:
+                    continue
+                low = k
+                while low > 0 and held[k][0] - held[low - 1][0] < span:
+                    low -= 1
+                inside, left, reach = Counter(), low, held[k][0]
+                for right in range(low, len(held)):
+                    place, w = held[right]
+                    if place - reach >= span:
+                        break
+                    if any(i == t for i, _ in self.prefix.get(w, ())):
+                        reach = place
+                    done = right + 1
+                    if w in mine:
+                        inside[w] += 1
+                    while place - held[left][0] >= span:
+                        gone = held[left][1]
+                        if gone in mine:
+                            inside[gone] -= 1
+                            if not inside[gone]:
+                                del inside[gone]
+                        left += 1
+                    if len(inside) >= self.need[t]:
+                        found[t] = max(found.get(t, 0.0), len(inside) / len(mine))
+        return found
+
 
 def build_index(templates, frequency: dict[bytes, int], threshold: float = THRESHOLD) -> Index:
     every = sorted({w for _, text in templates for w in words(text.encode())}, key=lambda w: (frequency.get(w, 0), w))
@@ -91,7 +129,7 @@ def build_index(templates, frequency: dict[bytes, int], threshold: float = THRES
     for t, s in enumerate(sets):
         for i, w in enumerate(s[: len(s) - need[t] + 1]):
             prefix[w].append((t, i))
-    return Index([label for label, _ in templates], sets, need, rank, dict(prefix))
+    return Index([label for label, _ in templates], sets, need, rank, dict(prefix), [math.ceil(len(words(text.encode())) / threshold) for _, text in templates])
 
 
 def word_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
@@ -139,6 +177,10 @@ def scan(docs: DataFrame, phrases=None, templates=TEMPLATES, threshold: float =
                 for t, c in index.best(words(line)).items():
                     labels.add(index.labels[t])
                     score = max(score, c)
+            if b"\n" in data:
+                for t, c in index.wrapped(ws).items():
+                    labels.add(index.labels[t])
+                    score = max(score, c)
         return len(ws), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
     def run(batches):
