@@ -18,15 +18,24 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def narrow_batches(spark: SparkSession) -> None:
+    """Longer batches, for rows of a few numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+
+
 @cache
 def _local_folder() -> str:
     return f"file://{tempfile.mkdtemp(prefix='stepfield-')}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors share. Where that is unset (a
-    local session, as in tests), a temporary folder is taken."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    """A new folder under spark.checkpoint.dir, which the driver and all executors share. Where that is unset, a
+    local session (as in tests) takes a temporary folder, and any other raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/stepfield/{name}-{uuid.uuid4().hex}"
 
 

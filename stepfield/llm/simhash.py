@@ -5,8 +5,9 @@ vector has an odd product with v. At most `radius` differing places give at most
 unknowns, so some v is even with all of them, and two fingerprints within the radius agree on every bit which that table
 looks at: no pair is missed.
 
-Equal fingerprints are merged first, so copies cost one row. Bucket sizes are counted; a bucket of at most `bucket_limit`
-distinct fingerprints is compared within one row, and gives a spanning forest of its links, not all pairs. Larger buckets
+Equal fingerprints are merged first, so copies cost one row. Rows are dealt and sorted by bucket once; a bucket of at most
+`bucket_limit` distinct fingerprints is compared as it passes by, and gives a spanning forest of its links (all links, in buckets
+of `SMALL_RUN`), not all pairs. Larger buckets
 take an exact way whose rows grow with the bucket's size, not its square: every fingerprint is dealt to its neighbours within
 half the radius on the bits that the table doesn't look at. Two fingerprints within the radius share such a neighbour, and
 any two that share one are within the radius, so each neighbour links its fingerprints in a star.
@@ -26,18 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfield.llm.common import bounded_batches, written
+from stepfield.llm.common import bounded_batches, narrow_batches, written
 from stepfield.llm.graph import connected_components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Distinct fingerprints that are compared within one row.
 BUCKET_LIMIT = 4096
-#: Minimum hashes of a text's five-word shingles, hashes of one band, and the share that a link's hashes agree in at least.
-HASHES, BAND, AGREE = 128, 4, 0.65
-_RNG = np.random.default_rng(SEED)
-_FACTORS = _RNG.integers(0, 1 << 63, HASHES, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-_TERMS = _RNG.integers(0, 1 << 63, HASHES, np.uint64)[:, None]
-_PLACES = _RNG.integers(0, 1 << 63, 5, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Fingerprints of a bucket up to which all of them are compared in one vectorised step.
+SMALL_RUN = 8
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -98,50 +95,104 @@ def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(signed[u]), int(signed[v])) for u, v in links]
 
 
-def _bucket_links(radius: int):
+def _run_links(radius: int, limit: int):
+    """Rows (key, fp) in order of key -> (big, a, b): links of every bucket of at most `limit` fingerprints, or (True, key, fp) for
+    each fingerprint of a larger one. A batch's last bucket waits for the next batch, so no more than `limit` rows are held back."""
+    names, none = ["big", "a", "b"], np.zeros(0, np.int64)
+
+    def pack(big: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), big)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+
+    def whole(k: np.ndarray, f: np.ndarray):
+        """Buckets that are complete."""
+        starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1]) if len(k) else none
+        sizes = np.diff(np.append(starts, len(k)))
+        few = np.repeat((sizes > 1) & (sizes <= min(SMALL_RUN, limit)), sizes)
+        ks, fs = k[few], f[few]
+        for d in range(1, SMALL_RUN):
+            at = np.flatnonzero(ks[d:] == ks[:-d])
+            if not len(at):
+                break
+            at = at[np.bitwise_count((fs[at] ^ fs[at + d]).view(np.uint64)) <= radius]
+            if len(at):
+                yield pack(False, fs[at], fs[at + d])
+        for r in np.flatnonzero((sizes > SMALL_RUN) | (sizes > limit)).tolist():
+            part = slice(starts[r], starts[r] + sizes[r])
+            if sizes[r] > limit:
+                yield pack(True, k[part], f[part])
+            elif found := spanning_links(f[part], radius):
+                yield pack(False, *np.array(found, np.int64).T)
+
     def run(batches):
+        k, f, over = none, none, None
         for b in batches:
-            found = [(f, *x) for f, fps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in spanning_links(np.array(fps, np.int64), radius)]
-            columns = zip(*found, strict=True) if found else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["f", "a", "b"])
+            nk, nf = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if over is not None:
+                n = int(np.searchsorted(nk, over, side="right"))
+                if n:
+                    yield pack(True, nk[:n], nf[:n])
+                nk, nf = nk[n:], nf[n:]
+                if not len(nk):
+                    continue
+                over = None
+            k, f = np.concatenate([k, nk]), np.concatenate([f, nf])
+            if not len(k):
+                continue
+            last = int(np.searchsorted(k, k[-1]))
+            yield from whole(k[:last], f[:last])
+            k, f = k[last:], f[last:]
+            if len(k) > limit:
+                yield pack(True, k, f)
+                k, f, over = none, none, int(k[0])
+        yield from whole(k, f)
 
     return run
 
 
 def _dealt(masks: list[int], radius: int):
-    """(f, t, fp) -> (f, t, mid, fp): the neighbours of fp within half the radius on the bits that table t doesn't look at."""
+    """(key, fp) -> (key, mid, fp): the neighbours of fp within half the radius on the bits that the key's table doesn't look at."""
+    flips = []
+    for m in masks:
+        away = [1 << i for i in range(64) if not m >> i & 1]
+        flips.append(np.array([sum(c) for k in range(radius // 2 + 1) for c in combinations(away, k)], np.uint64))
 
     def run(batches):
         for b in batches:
-            for f, t, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                away = [1 << i for i in range(64) if not masks[t] >> i & 1]
-                flips = np.array([sum(c) for k in range(radius // 2 + 1) for c in combinations(away, k)], np.uint64)
-                mids = (flips ^ np.uint64(fp & (1 << 64) - 1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mids), f), pa.int32()), pa.array(np.full(len(mids), t), pa.int32()), pa.array(mids), pa.array(np.full(len(mids), fp), pa.int64())], names=["f", "t", "mid", "fp"])
+            keys, fps = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for at in range(0, len(keys), 64):
+                k, f = keys[at : at + 64], fps[at : at + 64]
+                own = [flips[int(x) & (2 << radius) - 1] for x in k]
+                mids = np.concatenate([o ^ x for o, x in zip(own, f.view(np.uint64), strict=True)]).view(np.int64)
+                sizes = [len(o) for o in own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, sizes)), pa.array(mids), pa.array(np.repeat(f, sizes))], names=["key", "mid", "fp"])
 
     return run
 
 
 def links(values: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Distinct (f, fp) -> links (f, a, b) that connect whatever fingerprints of the same f within the radius connect. f numbers
-    the kinds of fingerprints where texts have several. The radius must be even."""
-    masks = covering_masks(radius)
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)))
-    dealt = values.select("f", "fp", F.explode(tables).alias("x")).select("f", "x.t", "x.key", "fp")
-    bucket = ["f", "t", "key"]
-    sizes = written(dealt.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    shared = written(dealt.join(sizes, bucket), "buckets")
-    small = shared.where(F.col("n") <= bucket_limit).groupBy(*bucket).agg(F.collect_list("fp").alias("fps")).select("f", "fps").mapInArrow(_bucket_links(radius), "f int, a long, b long")
-    middle = shared.where(F.col("n") > bucket_limit).select("f", "t", "fp").mapInArrow(_dealt(masks, radius), "f int, t int, mid long, fp long")
-    hubs = middle.groupBy("f", "t", "mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return small.unionByName(middle.join(hubs, ["f", "t", "mid"]).select("f", "a", F.col("fp").alias("b")))
+    """Distinct (f, fp) -> links (a, b) that connect whatever fingerprints of the same f within the radius connect. f numbers the
+    kinds of fingerprints where texts have several. The radius must be even. One shuffle of (key, fp), sorted by key; a key's
+    low bits are its table's number."""
+    spark, masks = values.sparkSession, covering_masks(radius)
+    keys = [F.xxhash64("f", F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))).bitwiseAND(F.lit(-(2 << radius))).bitwiseOR(F.lit(t)) for t, m in enumerate(masks)]
+    dealt = values.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    narrow_batches(spark)
+    found = written(dealt.mapInArrow(_run_links(radius, bucket_limit), "big boolean, a long, b long"), "bucket-links")
+    near, big = found.where("not big").select("a", "b"), found.where("big").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    if big.isEmpty():
+        bounded_batches(spark)
+        return near
+    middle = written(big.mapInArrow(_dealt(masks, radius), "key long, mid long, fp long"), "bucket-middles")
+    bounded_batches(spark)
+    hubs = middle.groupBy("key", "mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return near.unionByName(middle.join(hubs, ["key", "mid"]).where("a <> fp").select("a", F.col("fp").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp, component_id (the smallest doc_id reachable over links, its own included)."""
     marked = written(fingerprints(docs, shingle), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("root")), "classes")
-    found = connected_components(links(classes.select(F.lit(0).alias("f"), "fp"), radius, bucket_limit).select("a", "b"))
+    found = connected_components(links(classes.select(F.lit(0).alias("f"), "fp"), radius, bucket_limit))
     return marked.join(_least(classes.withColumnRenamed("fp", "node"), found).withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -149,116 +200,3 @@ def _least(classes: DataFrame, found: DataFrame) -> DataFrame:
     """(node, root) and (a, b) of connected_components -> (node, component_id): the least root of the node's component."""
     labelled = classes.join(found, F.col("node") == F.col("a"), "left").select("node", "root", F.coalesce("b", "node").alias("label"))
     return labelled.join(labelled.groupBy("label").agg(F.min("root").alias("component_id")), "label").select("node", "component_id")
-
-
-def word_fingerprints(docs: DataFrame, kinds: int = 4) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fps: SimHashes, by several hash functions, of a text's distinct long words (of six bytes or
-    more without punctuation; all words where fewer than eight are long). Unlike shingles, of which an edited word spoils
-    several, they keep near copies with one word in forty edited within a few bits. No shuffle."""
-    bounded_batches(docs.sparkSession)
-
-    def one(data: bytes) -> list[int]:
-        words = {w.strip(b".,!?;:*#$%&\"'()|") for w in data.lower().split()}
-        features = {w for w in words if len(w) >= 6}
-        features = features if len(features) >= 8 else words
-        if not features:
-            return [0] * kinds
-        hashes = np.array([[xxhash.xxh64_intdigest(w, seed) for w in features] for seed in range(kinds)], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(kinds, -1, 8), axis=2, bitorder="little")
-        return np.packbits(2 * bits.sum(1, np.int64) > len(features), axis=1, bitorder="little").view("<i8").ravel().tolist()
-
-    def run(batches):
-        for b in batches:
-            fps = [one(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fps"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fps array<bigint>")
-
-
-def minimum_hashes(data: bytes) -> np.ndarray | None:
-    """The HASHES minimum hashes of a text's five-word shingles (A-Z lower-cased); None for a text of no words."""
-    words = data.lower().split()
-    if not words:
-        return None
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    k = min(len(_PLACES), len(h))
-    mixed = sum(h[i : len(h) - k + 1 + i] * _PLACES[i] for i in range(k))
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed, least = np.unique(mixed), np.full(HASHES, (1 << 32) - 1, np.uint64)
-    for at in range(0, len(mixed), 2048):
-        least = np.minimum(least, ((mixed[at : at + 2048] * _FACTORS + _TERMS) >> np.uint64(32)).min(1))
-    return least
-
-
-def shingle_signatures(docs: DataFrame) -> DataFrame:
-    """docs (node, text) -> node, sig (16 bits of each minimum hash), keys (a hash of each band). No shuffle."""
-    bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            rows = [(n, m) for n, x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True) if (m := minimum_hashes(x or b"")) is not None]
-            sigs = [m.astype("<u2").tobytes() for _, m in rows]
-            keys = [[xxhash.xxh64_intdigest(part.tobytes()) - (1 << 63) for part in m.reshape(-1, BAND)] for _, m in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "sig", "keys"])
-
-    return docs.select("node", "text").mapInArrow(run, "node long, sig binary, keys array<bigint>")
-
-
-def _agreeing(batches):
-    """(nodes, sigs) of a bucket -> spanning links of nodes whose hashes agree in AGREE of all."""
-    for b in batches:
-        out = []
-        for nodes, sigs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            m = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), HASHES)
-            free = np.arange(len(nodes))
-            while len(free):
-                stack, free = [int(free[0])], free[1:]
-                while stack and len(free):
-                    u = stack.pop()
-                    near = (m[free] == m[u]).sum(1) >= AGREE * HASHES
-                    out += [(nodes[u], nodes[v]) for v in free[near].tolist()]
-                    stack += free[near].tolist()
-                    free = free[~near]
-        columns = zip(*out, strict=True) if out else [[]] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
-
-
-def shingle_links(docs: DataFrame, bucket_limit: int = 1024) -> DataFrame:
-    """docs (node, text) -> links (a, b) of texts whose five-word shingles are alike. Texts that agree in a band of minimum hashes
-    are compared by all their hashes: two of similarity 0.8 share no band with a chance of 5e-8, and fall short of AGREE with one
-    of 1e-5. A bucket of more texts is compared in slices, each with the bucket's least text, cut otherwise in every band."""
-    every = written(shingle_signatures(docs), "signatures").dropDuplicates(["node"])
-    twins = written(every.groupBy("sig").agg(F.min("node").alias("a"), F.first("keys").alias("keys")), "signature-classes")
-    same = every.join(twins.select("sig", "a"), "sig").where("node <> a").select("a", F.col("node").alias("b"))
-    dealt = twins.select(F.col("a").alias("node"), F.posexplode("keys").alias("t", "key"))
-    sizes = written(dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "band-sizes")
-    slices = F.ceil(F.col("n") / bucket_limit).cast("bigint")
-    own = dealt.join(sizes, ["t", "key"]).where("node <> hub").select("t", "key", F.pmod(F.xxhash64("node", "t"), slices).alias("slice"), "node")
-    hubs = sizes.select("t", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("slice"), F.col("hub").alias("node"))
-    shared = own.unionByName(hubs).join(twins.select(F.col("a").alias("node"), "sig"), "node")
-    groups = shared.groupBy("t", "key", "slice").agg(F.collect_list("node").alias("nodes"), F.collect_list("sig").alias("sigs"))
-    return groups.select("nodes", "sigs").mapInArrow(_agreeing, "a long, b long").unionByName(same)
-
-
-def near_copies(docs: DataFrame, radius: int = RADIUS, kinds: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, component_id, where texts are linked if any of their word fingerprints are within the
-    radius, or by shingle_links. Fingerprints are nodes of the graph like texts are, so a fingerprint of many texts costs one row for each."""
-    marked = written(word_fingerprints(docs, kinds).withColumn("node", F.xxhash64("fps")), "fingerprints")
-    classes = written(marked.groupBy("node").agg(F.min("doc_id").alias("root"), F.first("fps").alias("fps")), "classes")
-    values = classes.select("node", F.posexplode("fps").alias("f", "fp"))
-    found = links(values.select("f", "fp").distinct(), radius, bucket_limit)
-    edges = found.select(F.xxhash64("f", "a").alias("a"), F.xxhash64("f", "b").alias("b")).unionByName(values.select(F.col("node").alias("a"), F.xxhash64("f", "fp").alias("b")))
-    alike = shingle_links(docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text"), min(bucket_limit, 1024))
-    of = marked.where("doc_id is not null").select("doc_id", "node").dropDuplicates(["doc_id"])
-    alike = alike.join(of.select(F.col("doc_id").alias("a"), F.col("node").alias("na")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("node").alias("nb")), "b")
-    edges = edges.unionByName(alike.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    return marked.join(_least(classes.select("node", "root"), connected_components(edges)), "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """docs with the row of the smallest doc_id of every component; rows of a null doc_id, which no result can name, stay."""
-    kept = components.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))

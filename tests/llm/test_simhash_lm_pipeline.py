@@ -106,24 +106,6 @@ def test_large_buckets_take_the_exact_way(spark, shared):
     assert sizes[0] == sizes[1]
 
 
-def test_near_copies(spark, shared):
-    rng = np.random.default_rng(3)
-    words = ["".join(rng.choice(list("abcdefghijklmn"), 8)) for _ in range(3000)]
-    base = [rng.choice(words, 150).tolist() for _ in range(20)]
-    copies = []
-    for b in base[:10]:
-        c = list(b)
-        for at in rng.choice(150, 2, replace=False):
-            c[at] = "edited" + c[at]
-        copies.append(c)
-    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(100 + i, " ".join(c)) for i, c in enumerate(copies)] + [(200, ""), (201, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
-    assert sum(got[100 + i] == i for i in range(10)) >= 9 and all(got[i] == i for i in range(20)) and got[201] == 200
-    kept = simhash.keep_one(df.unionByName(df), simhash.near_copies(df.unionByName(df)))
-    assert kept.count() == len(set(got.values()))
-
-
 def slow_lm(texts):
     tokens = {i: [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None] for i, t in texts.items()}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]

@@ -2,7 +2,6 @@ import hashlib
 import re
 import zlib
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -221,7 +220,7 @@ def test_packing(spark, sf, shared, docs, empty, monkeypatch):
 
 
 def test_quality_query_covers_all(spark, sf):
-    n = duckdb.sql(f"SELECT count(*) FROM '{sf}/documents.parquet'").fetchone()[0]
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert q_quality.op9_quality_classifier(spark, sf).count() == n
 
 
