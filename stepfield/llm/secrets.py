@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from functools import cache
 from itertools import accumulate
 
@@ -36,8 +37,10 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z0-9]+")
 _KNOWN_PART = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])", re.IGNORECASE)
-#: Names: words and numbers joined by separators, and camel case of whole words.
-NAME = re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+))*|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*[0-9]*")
+#: Names: words and numbers joined by separators, or camel case of whole words. Neither pattern can match in two ways.
+_SEPARATORS = re.compile(r"[/_=+-]+")
+_WORD = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+")
+_CAMEL = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*[0-9]*")
 _SCANS = (r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "AKIA", "[0-9a-f]{16}", "[A-Za-z0-9+/_=-]{16}")
 
 
@@ -48,62 +51,73 @@ def _vocabulary(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_name(run: str) -> bool:
+    return bool(_CAMEL.fullmatch(run)) or all(map(_WORD.fullmatch, _SEPARATORS.split(run)))
+
+
 def is_known(run: str) -> bool:
     """Digests, UUIDs, numbers and identifiers, which are no secrets."""
-    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run) or NAME.fullmatch(run))
+    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run) or is_name(run))
+
+
+def _lengths(run: str, encoding: tiktoken.Encoding) -> list[int]:
+    """The lengths of the run's tokens; runs are ASCII."""
+    return [len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(run)]
 
 
-def _lengths(run: str, encoding: tiktoken.Encoding, step: int = 512) -> list[int]:
-    """The tokens' lengths of a run; a very long one is encoded in steps, as merges of one long piece take quadratic time."""
-    return [len(encoding.decode_single_token_bytes(t)) for k in range(0, len(run), step) for t in encoding.encode_ordinary(run[k : k + step])]
+def _touches(places: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the places, which are in order and apart, overlaps [a, b)."""
+    k = bisect_left(places, (b, 0)) - 1
+    return k >= 0 and places[k][1] > a
 
 
-def _windows(run: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
+def _windows(run: str, encoding: tiktoken.Encoding, ratio: float, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Stretches of whole tokens, of LEAST to 3 LEAST characters, below the ratio and clear of digests and UUIDs. A longer stretch
     below it can be cut into such ones, one of which is below it too."""
-    lengths, out = _lengths(run, encoding), []
-    starts = [0, *accumulate(lengths)]
-    known = [m.span() for m in _KNOWN_PART.finditer(run)]
+    starts, out = [0, *accumulate(_lengths(run, encoding))], []
     for i, a in enumerate(starts[:-1]):
         for j in range(i + 1, len(starts)):
             b = starts[j]
             if b - a > 3 * LEAST:
                 break
-            if LEAST <= b - a < ratio * (j - i) and not any(a < y and x < b for x, y in known):
+            if LEAST <= b - a < ratio * (j - i) and not _touches(known, a, b):
                 out.append((a, b))
     return out
 
 
 def exposed(run: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
     """Places of a run that are random: all of it, or its parts between separators, or parts in which a window is random; words at
-    the edges of the latter are left out."""
+    the edges of the latter are left out. Time grows with the run's length, times a constant."""
     if is_known(run):
         return []
-    if not _KNOWN_PART.search(run) and len(run) < ratio * len(_lengths(run, encoding)):
+    known = [m.span() for m in _KNOWN_PART.finditer(run)]
+    low = lambda a, b: b - a < ratio * len(_lengths(run[a:b], encoding))
+    if not known and low(0, len(run)):
         return [(0, len(run))]
-    parts, found = [m.span() for m in _PART.finditer(run)], []
-    word = lambda a, b: is_known(run[a:b]) and b - a >= ratio * len(_lengths(run[a:b], encoding))
-    for a, b in parts:
-        if b - a >= LEAST and not is_known(run[a:b]) and b - a < ratio * len(_lengths(run[a:b], encoding)):
-            found.append((a, b))
-    windows = [(a, b) for a, b in _windows(run, encoding, ratio) if not any(x < b and a < y for x, y in found)]
+    parts = [m.span() for m in _PART.finditer(run)]
+    found = [(a, b) for a, b in parts if b - a >= LEAST and not is_known(run[a:b]) and low(a, b)]
+    windows = [(a, b) for a, b in _windows(run, encoding, ratio, known) if not _touches(found, a, b)]
+    ends = list(accumulate((b for _, b in reversed(windows)), min))[::-1]  # the least end of this window and the later ones
     merged: list[list[int]] = []
     for a, b in windows:
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
+    more = []
     for a, b in merged:
-        held = [p for p in parts if p[0] < b and a < p[1]]
-        while held and word(*held[0]):
-            held.pop(0)
-        while held and word(*held[-1]):
-            held.pop()
-        if held:
-            x, y = held[0][0], held[-1][1]
-            if y - x >= LEAST and not is_known(run[x:y]) and any(x <= c and d <= y for c, d in windows) and not any(x < d and c < y for c, d in found):
-                found.append((x, y))
-    return sorted(found)
+        first, last = bisect_right(parts, a, key=lambda p: p[1]), bisect_left(parts, b, key=lambda p: p[0]) - 1
+        edge = lambda p: is_known(run[p[0] : p[1]]) and not low(*p)
+        while first <= last and edge(parts[first]):
+            first += 1
+        while last >= first and edge(parts[last]):
+            last -= 1
+        if first <= last:
+            x, y = parts[first][0], parts[last][1]
+            k = bisect_left(windows, (x, 0))
+            if y - x >= LEAST and not is_known(run[x:y]) and k < len(windows) and ends[k] <= y and not _touches(found, x, y) and not (more and more[-1][1] > x):
+                more.append((x, y))
+    return sorted(found + more)
 
 
 def spans(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO, tries: tuple[bool, ...] = (True,) * 4) -> list[tuple[int, int, int]]:
@@ -116,10 +130,14 @@ def spans(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO, tries: t
     if tries[2]:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if tries[3]:
-        base = list(found)
+        found.sort()
+        reach = list(accumulate((b for _, _, b in found), max))
+        random = []
         for m in RUN.finditer(text):
-            if not any(a <= m.start() and m.end() <= b for a, _, b in base):
-                found += [(m.start() + a, 3, m.start() + b) for a, b in exposed(m[0], encoding, ratio)]
+            k = bisect_right(found, m.start(), key=lambda s: s[0]) - 1
+            if k < 0 or reach[k] < m.end():
+                random += [(m.start() + a, 3, m.start() + b) for a, b in exposed(m[0], encoding, ratio)]
+        found += random
     return sorted(found)
 
 
