@@ -1,24 +1,30 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A passage of m bytes that occurs in a text with at most k edits leaves at least m + 1 - q (k + 1) of its q-grams unharmed,
-on diagonals (text place minus passage place) no more than k apart. So q-grams shared with a text are counted in bands of
+A passage of m bytes that occurs in a text with at most k edits (a tenth of m) leaves at least m + 1 - q (k + 1) of its q-grams
+unharmed, on diagonals (text place minus passage place) no more than k apart. So q-grams shared with a text are counted in bands of
 2k diagonals that begin every k diagonals; a band that reaches the bound is a region, and banded alignment of the passage
 in and around the region decides. Texts are compared lower-cased, with every run of other characters than letters and
 digits as one blank; q-grams are 8 bytes of UTF-8, so a q-gram is one 64-bit integer and needs no hashing.
 
+Three exact ways keep frequent q-grams from multiplying rows. Of q-grams with over HOT places, a passage leaves out as many as its
+bound can be lowered by, to no less than half. A passage that repeats a q-gram more than REPEATS times is counted by text place
+alone, without diagonals, and aligned with whole stretches of the text. Shared q-grams are counted in slices of SLICE rows. Passages of
+under `least` bytes, too short for the lemma, are looked up whole, at word boundaries and without edits, by one automaton.
+
 The passages are a query set: texts are never shuffled or compared with each other, each task looks its texts up in an
 index of passages. The passages' size is measured first; beyond `block_bytes` they are split into blocks by hash, each of
-which passes over the texts in turn, so no index exceeds the bound.
+which passes over the texts in turn, so no index exceeds the bound. The driver holds the passages of all blocks.
 
-Defined cases: null and empty texts match nothing; null passages, and passages of fewer than `least` bytes when normalised,
-are not searched; equal passages of several items are each reported; repeated rows are reported alike; a null doc_id stays
-null; empty tables give no rows; further columns are ignored.
+Defined cases: null and empty texts match nothing; null passages, and those of no letter or digit, are not searched; equal passages
+of several items are each reported; repeated rows are reported alike; a null doc_id stays null; of several places of a passage the
+one of fewest edits counts, then the first; empty tables give no rows; further columns are ignored by `find_contamination` and kept by `drop_contaminated`.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +33,10 @@ from pyspark.sql import functions as F
 from stepfield.llm.common import bounded_batches
 
 Q = 8
-#: Share of a passage's bytes that may be edited, and the least q-grams that a region shares; the smaller budget holds.
-EDITS, LEAST_SHARED = 0.1, 8
-LEAST_BYTES = 32
+#: Share of a passage's bytes that may be edited, and the bytes below which a passage must occur whole.
+EDITS, LEAST_BYTES = 0.1, 32
+#: Places beyond which a q-gram may be left out, repeats of a q-gram within a passage beyond which diagonals are not counted, and rows counted at a time.
+HOT, REPEATS, SLICE = 64, 16, 1 << 21
 BLOCK_BYTES = 8 << 20
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 22)
@@ -44,62 +51,177 @@ def _grams(data: bytes) -> np.ndarray:
     return np.ndarray((max(0, len(data) - Q + 1),), "<u8", data, strides=(1,)) if len(data) >= Q else np.zeros(0, "<u8")
 
 
+@dataclass
+class Places:
+    """For each key a run of (item, place) entries."""
+
+    runs: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+    def slices(self, at: np.ndarray, slot: np.ndarray):
+        """(text place, item, passage place) of all hits, SLICE rows at a time or those of one hit."""
+        run = self.runs[slot + 1] - self.runs[slot]
+        at, slot, run = at[run > 0], slot[run > 0], run[run > 0]
+        ends, first = np.cumsum(run), 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE, side="right")))
+            r = run[first:last]
+            entry = np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r) + np.repeat(self.runs[slot[first:last]], r)
+            yield np.repeat(at[first:last], r), self.item[entry], self.place[entry]
+            first = last
+
+
 @dataclass
 class Index:
-    """q-grams of a block of passages: sorted distinct keys, and for each the (item, place) pairs in one run."""
+    """q-grams of a block of passages: sorted distinct keys, with the places of passages and the items of repetitive passages; short passages."""
 
     ids: list[int]
     items: list[bytes]
     budget: np.ndarray
     bound: np.ndarray
     keys: np.ndarray
-    runs: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
+    places: Places
+    repetitive: Places
     known: np.ndarray
+    short: dict[str, list[int]]
+    automaton: object = None
+
+    def short_places(self, plain: bytes) -> dict[int, int]:
+        """Item -> end of its first place, of the short passages."""
+        if not self.short:
+            return {}
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for text, own in self.short.items():
+                self.automaton.add_word(f" {text} ", (text, own))
+            self.automaton.make_automaton()
+        text, seen = f" {plain.decode()} ", {}
+        for end, (_, own) in self.automaton.iter(text):
+            if own[0] not in seen:
+                place = len(text[1:end].encode())
+                seen |= dict.fromkeys(own, place)
+        return seen
+
+
+def _places(every: np.ndarray, item: np.ndarray, place: np.ndarray, keys: np.ndarray) -> Places:
+    order = np.argsort(every, kind="stable")
+    return Places(np.searchsorted(every[order], np.append(keys, keys[-1:] + np.uint64(1)) if len(keys) else keys, side="left").astype(np.int64), item[order], place[order])
 
 
-def build_index(passages: list[tuple[int, bytes]], edits: float = EDITS) -> Index:
+def build_index(passages: list[tuple[int, bytes]], edits: float = EDITS, least: int = LEAST_BYTES) -> Index:
+    """passages: (id, normalised text), none empty."""
     ids, items = [i for i, _ in passages], [x for _, x in passages]
     m = np.array([len(x) for x in items], np.int64)
-    budget = np.maximum(0, np.minimum((m * edits).astype(np.int64), (m + 1 - LEAST_SHARED) // Q - 1))
-    grams = [_grams(x) for x in items]
+    budget = (m * edits).astype(np.int64)
+    least = max(least, 2 * Q)
+    lost = (m >= least) & (m + 1 - Q * (budget + 1) < 1)
+    if lost.any():
+        raise ValueError(f"{edits} edits a byte are too many for q-grams of {Q} bytes")
+    budget[m < least] = 0
+    bound = np.maximum(1, m + 1 - Q * (budget + 1))
+    short: dict[str, list[int]] = {}
+    for k in np.flatnonzero(m < least).tolist():
+        short.setdefault(items[k].decode(), []).append(k)
+    grams = [_grams(x) if len(x) >= least else np.zeros(0, "<u8") for x in items]
     every = np.concatenate([*grams, np.zeros(0, "<u8")])
     item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-    place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
-    order = np.argsort(every, kind="stable")
-    keys, first = np.unique(every[order], return_index=True)
+    place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)]).astype(np.int64)
+    keys, key, total = np.unique(every, return_inverse=True, return_counts=True)
+    pairs, pair, own = np.unique(np.stack([item, key], 1), axis=0, return_inverse=True, return_counts=True)
+    repeats = np.zeros(len(items), bool)
+    repeats[pairs[own > REPEATS, 0]] = True
+    spare = bound - np.maximum(1, (bound + 1) // 2)
+    hot = np.flatnonzero((total[key] > HOT) & ~repeats[item])
+    hot = hot[np.lexsort((place[hot], -total[key[hot]], item[hot]))]
+    nth = np.arange(len(hot)) - np.searchsorted(item[hot], item[hot])
+    out = hot[nth < spare[item[hot]]]
+    bound -= np.bincount(item[out], minlength=len(items))
+    kept = ~repeats[item]
+    kept[out] = False
+    once = np.zeros(len(every), bool)
+    once[np.unique(pair.ravel(), return_index=True)[1]] = True
+    once &= repeats[item]
     known = np.zeros(1 << 22, bool)
-    known[(keys * _MIX) >> _SHIFT] = True
-    return Index(ids, items, budget, m + 1 - Q * (budget + 1), keys, np.append(first, len(every)), item[order], place[order], known)
+    known[(every[kept | once] * _MIX) >> _SHIFT] = True
+    return Index(ids, items, budget, bound, keys, *(_places(every[x], item[x], place[x], keys) for x in (kept, once)), known, short)
 
 
-def _regions(buffer: bytes, starts: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
-    """(text, item, first diagonal of the band) of every band that reaches the item's bound."""
+def _hits(buffer: bytes, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(text place, key) of the q-grams that are in the index."""
     grams = _grams(buffer)
     at = np.flatnonzero(index.known[(grams * _MIX) >> _SHIFT])
-    slot = np.searchsorted(index.keys, grams[at])
-    slot[slot == len(index.keys)] = 0
-    hit = index.keys[slot] == grams[at]
-    at, slot = at[hit], slot[hit]
-    if not len(at):
+    slot = np.minimum(np.searchsorted(index.keys, grams[at]), max(0, len(index.keys) - 1))
+    hit = index.keys[slot] == grams[at] if len(index.keys) else np.zeros(len(at), bool)
+    return at[hit], slot[hit]
+
+
+def _regions(at: np.ndarray, slot: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
+    """(text, item, first diagonal of the band) of every band that reaches the item's bound."""
+
+    def rows():
+        for place, item, own in index.places.slices(at, slot):
+            width = np.maximum(1, index.budget)[item]
+            diagonal = place - own
+            place, item, band = np.tile(place, 2), np.tile(item, 2), np.concatenate([diagonal // width, diagonal // width - 1])
+            cell = (((band * len(index.items) + item).astype(np.uint64) * _MIX) >> np.uint64(64 - 21)).astype(np.int64)
+            yield place, item, band, cell
+
+    tally, parts = np.zeros(1 << 21, np.int64), []
+    for *_, cell in rows():
+        tally += np.bincount(cell, minlength=1 << 21)
+    if not tally.any():
         return []
-    run = index.runs[slot + 1] - index.runs[slot]
-    at = np.repeat(at, run)
-    entry = np.arange(len(at)) - np.repeat(np.cumsum(run) - run, run) + np.repeat(index.runs[slot], run)
-    item = index.item[entry]
-    diagonal = at - index.place[entry]
-    width = np.maximum(1, index.budget)[item]
-    at, item, band = np.tile(at, 2), np.tile(item, 2), np.concatenate([diagonal // width, diagonal // width - 1])
-    cell = (((band * len(index.items) + item).astype(np.uint64) * _MIX) >> np.uint64(64 - 21)).astype(np.int64)
-    kept = np.bincount(cell, minlength=1 << 21)[cell] >= index.bound[item]  # bands may share a cell: none is missed
-    at, item, band = at[kept], item[kept], band[kept]
-    text = np.searchsorted(starts, at, side="right") - 1
-    regions, counts = np.unique(np.stack([text, item, band], 1), axis=0, return_counts=True)
+    for place, item, band, cell in rows():
+        kept = tally[cell] >= index.bound[item]  # bands may share a cell: none is missed
+        text = np.searchsorted(starts, place[kept], side="right") - 1
+        parts.append(np.unique(np.stack([text, item[kept], band[kept]], 1), axis=0, return_counts=True))
+    regions, at_region = np.unique(np.concatenate([r for r, _ in parts]), axis=0, return_inverse=True)
+    counts = np.bincount(at_region.ravel(), np.concatenate([n for _, n in parts]), len(regions))
     regions = regions[counts >= index.bound[regions[:, 1]]]
     return [(int(t), int(i), int(b * max(1, index.budget[i]))) for t, i, b in regions]
 
 
+def _stretches(at: np.ndarray, slot: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
+    """(text, item, from, to): stretches that hold as many q-grams of a repetitive passage, within its length, as it needs."""
+    out = []
+    parts = [(place, item) for place, item, _ in index.repetitive.slices(at, slot)]
+    if not parts:
+        return out
+    place, item = (np.concatenate(c) for c in zip(*parts, strict=True))
+    text = np.searchsorted(starts, place, side="right") - 1
+    order = np.lexsort((place, text, item))
+    place, item, text = place[order], item[order], text[order]
+    cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(text) != 0)) + 1
+    for own, i, t in zip(np.split(place, cuts), item[np.concatenate([[0], cuts])].tolist(), text[np.concatenate([[0], cuts])].tolist(), strict=True):
+        need, m, k = int(index.bound[i]), len(index.items[i]), int(index.budget[i])
+        if len(own) < need:
+            continue
+        first = np.flatnonzero(own[need - 1 :] - own[: len(own) - need + 1] <= m + k)
+        if not len(first):
+            continue
+        low, high = own[first] - m - k, own[first + need - 1] + m + k + Q
+        breaks = np.flatnonzero(low[1:] > np.maximum.accumulate(high)[:-1]) + 1
+        for a, b in zip(np.concatenate([[0], breaks]), np.append(breaks, len(low)), strict=True):
+            out.append((t, i, int(low[a] - starts[t]), int(high[a:b].max() - starts[t])))
+    return out
+
+
+def _best_place(item: bytes, text: bytes) -> tuple[int, int]:
+    """The least edits of an item at any place of a text, and the first end of such a place."""
+    if (at := text.find(item)) >= 0:
+        return 0, at + len(item)
+    t, slope = np.frombuffer(text, np.uint8), np.arange(len(text) + 1, dtype=np.int32)
+    cost = np.zeros(len(text) + 1, np.int32)
+    for i, c in enumerate(item, 1):
+        new = cost + 1
+        np.minimum(new[1:], cost[:-1] + (t != c), out=new[1:])
+        new[0] = i
+        cost = np.minimum.accumulate(new - slope) + slope
+    end = int(cost.argmin())
+    return int(cost[end]), end
+
+
 def _align(windows: list[bytes], items: list[bytes], bands: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """For each window the least edits of its item in it, over alignments that stay within the band's diagonals, and the
     place in the window where the best one ends. Columns are diagonals; all windows advance together, a passage byte at a time."""
@@ -128,14 +250,19 @@ def find(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int
     plain = [normalise(t) for t in texts]
     starts = np.cumsum([0, *(len(p) + 1 for p in plain)])[:-1]
     buffer = b"\x01".join(plain)
-    best: dict[tuple[int, int], tuple[int, int]] = {}
+    at, slot = _hits(buffer, index)
+    best: dict[tuple[int, int], tuple[int, int]] = {(t, i): (0, end) for t, p in enumerate(plain) for i, end in index.short_places(p).items()}
+    for text, item, low, high in _stretches(at, slot, starts, index):
+        edits, end = _best_place(index.items[item], plain[text][max(0, low) : high])
+        if edits <= index.budget[item]:
+            best[text, item] = min(best.get((text, item), (1 << 30, 0)), (edits, max(0, low) + end))
     open_regions = []
-    for text, item, diagonal in _regions(buffer, starts, index):
+    for text, item, diagonal in _regions(at, slot, starts, index):
         k, m = int(max(1, index.budget[item])), len(index.items[item])
         low, start, size = diagonal - k, int(starts[text]), len(plain[text])
-        at = buffer.find(index.items[item], max(start, low), min(start + size, low + m + 5 * k))
-        if at >= 0:
-            best[text, item] = min(best.get((text, item), (1 << 30, 0)), (0, at + m - start))
+        exact = buffer.find(index.items[item], max(start, low), min(start + size, low + m + 5 * k))
+        if exact >= 0:
+            best[text, item] = min(best.get((text, item), (1 << 30, 0)), (0, exact + m - start))
         else:
             open_regions.append((text, item, low - start))
     for b in range(0, len(open_regions), 1024):
@@ -161,9 +288,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int, least: int, edits: float):
     blocks = -(-int(total) // (block_bytes // 2)) if total > block_bytes else 1
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        passages = [(r.item_id, x) for r in mine.collect() if len(x := normalise(r.text)) >= least]
+        passages = [(r.item_id, x) for r in mine.collect() if (x := normalise(r.text))]
         if passages:
-            yield build_index(sorted(passages, key=lambda p: (p[0] is None, p[0] or 0, p[1])), edits)
+            yield build_index(sorted(passages, key=lambda p: (p[0] is None, p[0] or 0, p[1])), edits, least)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least: int = LEAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:

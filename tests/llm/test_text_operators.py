@@ -51,7 +51,7 @@ def test_contamination_against_brute_force():
 def test_contamination_rows(spark, docs, empty):
     bench = spark.createDataFrame([(1, " ".join(f"WORD{i % 977}" for i in range(100, 130)), "q"), (2, None, "q"), (3, "tiny", "q")], "item_id long, text string, text2 string")
     rows = decontaminate.find_contamination(docs, bench).collect()
-    assert {(r.doc_id, r.item_id, r.edits) for r in rows} == {(3, 1, 0)}
+    assert {(r.doc_id, r.item_id, r.edits, r.last_word) for r in rows} == {(3, 1, 0, 129)}
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 1
     blocks = decontaminate.find_contamination(docs, bench, block_bytes=16).collect()
