@@ -4,11 +4,13 @@ P(w | h) = l2 f(w | h) + l1 f(w) + l0 / (V + 1), with maximum-likelihood estimat
 and weights l for each bucket of the context's frequency (powers of two), learned by expectation-maximisation: counts of
 the training documents outside one fold are held against the events of that fold.
 
-Scale: texts become chunks of about `CHUNK_TOKENS` tokens, whose distinct n-grams are sent, as sorted 64-bit keys with
-counts, to the buckets of a hash partitioning; buckets add the counts up and answer every chunk with its keys' totals. So a
-key costs one entry per chunk however often it occurs, no key is hot, and nothing passes through the driver but the number
-of tokens, of types, and a table of events by quantised estimates whose size is fixed by its bins. Chunks, answers
-and their join are written or shuffled in compressed runs; lost executors cost tasks only.
+Scale: texts become chunks of about `CHUNK_TOKENS` tokens. A chunk's distinct n-grams are sent, as sorted 64-bit keys with counts
+that are cut by the keys' first BITS bits, to nodes that each take one range of keys from about 2^BITS chunks. Where there are more
+chunks than that, a node adds up what it gets and acts as a chunk of its range on the next level, cut by the next BITS bits; totals
+come back the same way. So every level sends 2^BITS rows a chunk at most, whose number grows with the input, and no node holds more
+n-grams than a chunk. A key costs one entry per chunk however often it occurs, no key is hot, and nothing passes through the driver
+but the number of tokens, of types, and a table of events by quantised estimates whose size is fixed by its bins. Chunks, answers
+and their join are written or shuffled in compressed runs; lost executors cost tasks only. Counts have 64 bits.
 
 Tokens: A-Z lower-cased, words cut at ASCII white space, then one end per text; the end also stands for the start of a text
 as a context. Keys are XXH64 values mixed in pairs; of n keys, n^2 / 2^65 pairs are confused on average.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from stepfield.llm.common import bounded_batches, written
 
 FOLDS, TEST_FOLD, EM_FOLD = 5, 1, 2
-CHUNK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 2_000_000, 32
+CHUNK_TOKENS, BITS = 2_000_000, 8
 #: Bins of the events' estimates: steps per power of two, and the smallest power.
 STEPS, SMALLEST = 4, -48
 CONTEXT_BUCKETS = 32
@@ -122,10 +124,11 @@ def _grams(sequence: bytes, hashes: bytes) -> _Grams:
     return _Grams(seq, context, word, bigram.astype(np.int32), {UNIGRAM: _mixed(h), BIGRAM: _mixed(_mixed(h[context] * _A) + h[word])})
 
 
-def _runs(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, ends): keys in order, and where each bucket's run ends; a bucket is a range of keys."""
-    order = np.argsort(keys)
-    return order, np.searchsorted((keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets), side="right")
+def _cut(keys: np.ndarray, bits: int) -> tuple[list[int], list[int], list[int]]:
+    """(range, start, end) of the ranges of sorted keys: those of the same first bits."""
+    first = keys >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.concatenate([[len(keys) > 0], first[1:] != first[:-1]]))
+    return first[starts].astype(np.int64).tolist(), starts.tolist(), np.append(starts[1:], len(keys)).tolist()
 
 
 def _rows(batch: pa.RecordBatch):
@@ -134,65 +137,135 @@ def _rows(batch: pa.RecordBatch):
         yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _send(buckets: int):
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("em", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
+PARTS = "kind int, range long, parent long, child long, em boolean, keys binary, counts binary, em_counts binary"
+NODES = "kind int, range long, child long, keys binary, counts binary, em_counts binary"
+ANSWERS = "kind int, range long, child long, em boolean, total binary, em_total binary, tokens long, types long, em_tokens long"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def _table(rows: list[tuple], ddl: str) -> pa.Table:
+    schema = _schema(ddl)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _send(groups: int):
+    """Chunks -> PARTS. A chunk of the EM fold is marked; its counts are those of the EM fold too."""
+    bits = BITS
 
     def run(batches):
         for b in batches:
             for row in _rows(b):
                 g = _grams(row["sequence"], row["hashes"])
                 trains = np.repeat(np.array(row["folds"]) != TEST_FOLD, row["lengths"])
+                parent = int(_mixed(np.array([row["chunk"]], np.uint64) * _A)[0] >> np.uint64(32)) % groups
                 for kind, at in ((UNIGRAM, g.seq), (BIGRAM, g.bigram)):
-                    keys = g.keys[kind]
-                    counts = np.bincount(at[trains], minlength=len(keys)).astype(np.uint32)
-                    order, ends = _runs(keys, buckets)
-                    out, start = [], 0
-                    for bucket, end in enumerate(ends.tolist()):
-                        if end > start:
-                            own = keys[order[start:end]]
-                            out.append((kind, bucket, row["chunk"], row["em"], _pack(np.diff(own, prepend=np.uint64(0))), _pack(counts[order[start:end]])))
-                        start = end
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return run, "kind int, bucket long, chunk long, em boolean, keys binary, counts binary"
-
-
-ANSWERS = "kind int, bucket long, chunk long, em boolean, total binary, em_total binary, tokens long, types long, em_tokens long"
-
-
-def _answer(rows: pa.Table) -> pa.Table:
-    """The totals of a bucket's keys, for each chunk in the order of its own keys; one more row has the bucket's sums."""
-    kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
-    keys = [np.cumsum(_unpack(k, "<u8"), dtype=np.uint64) for k in rows.column("keys").to_pylist()]
-    counts = [_unpack(c, "<u4") for c in rows.column("counts").to_pylist()]
-    em = rows.column("em").to_pylist()
-    sizes = [len(k) for k in keys]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    every = np.concatenate(counts).astype(np.float64)
-    total = np.bincount(at, every).astype(np.uint32)
-    em_total = np.bincount(at, every * np.repeat(em, sizes), len(total)).astype(np.uint32)
-    out, start = [(kind, bucket, None, None, None, None, int(total.sum()), int((total > 0).sum()), int(em_total.sum()))], 0
-    for chunk, own, n in zip(rows.column("chunk").to_pylist(), em, sizes, strict=True):
-        mine = at[start : start + n]
-        out.append((kind, bucket, chunk, own, _pack(total[mine]), _pack(em_total[mine]) if own else None, None, None, None))
-        start += n
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    names = ["kind", "bucket", "chunk", "em", "total", "em_total", "tokens", "types", "em_tokens"]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    order = np.argsort(g.keys[kind])
+                    keys, counts = g.keys[kind][order], np.bincount(at[trains], minlength=len(order)).astype(np.uint64)[order]
+                    out = [(kind, r, parent, row["chunk"], row["em"], _pack(np.diff(keys[x:y], prepend=np.uint64(0))), _pack(counts[x:y]), None) for r, x, y in zip(*_cut(keys, bits), strict=True)]
+                    yield from _table(out, PARTS).to_batches()
+
+    return run
+
+
+def _send_on(level: int):
+    """NODES of the level before -> PARTS of this one."""
+    fan, bits = BITS, BITS * level
+
+    def run(batches):
+        for b in batches:
+            for row in _rows(b):
+                keys = np.cumsum(_unpack(row["keys"], "<u8"), dtype=np.uint64)
+                counts, em = _unpack(row["counts"], "<u8"), _unpack(row["em_counts"], "<u8")
+                out = [(row["kind"], r, row["child"] >> fan, row["child"], True, _pack(np.diff(keys[x:y], prepend=np.uint64(0))), _pack(counts[x:y]), _pack(em[x:y])) for r, x, y in zip(*_cut(keys, bits), strict=True)]
+                yield from _table(out, PARTS).to_batches()
+
+    return run
+
+
+@dataclass
+class _Sum:
+    """The distinct keys of some PARTS, their totals, and for each part its keys' places among them."""
+
+    keys: np.ndarray
+    total: np.ndarray
+    em_total: np.ndarray
+    places: list[np.ndarray]
+
+
+def _keys(parts: pa.Table) -> list[np.ndarray]:
+    return [np.cumsum(_unpack(k, "<u8"), dtype=np.uint64) for k in parts.column("keys").to_pylist()]
+
+
+def _sum(parts: pa.Table) -> _Sum:
+    keys = _keys(parts)
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total, em_total = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.uint64)
+    places = np.split(at.ravel(), np.cumsum([len(k) for k in keys])[:-1])
+    for mine, counts, em, em_counts in zip(places, *(parts.column(c).to_pylist() for c in ("counts", "em", "em_counts")), strict=True):
+        own = _unpack(counts, "<u8")
+        total[mine] += own  # a part's keys are distinct
+        if em:
+            em_total[mine] += own if em_counts is None else _unpack(em_counts, "<u8")
+    return _Sum(distinct, total, em_total, places)
+
+
+def _told(parts: pa.Table, places: list[np.ndarray], total: np.ndarray, em_total: np.ndarray) -> list[tuple]:
+    named = zip(*(parts.column(c).to_pylist() for c in ("kind", "range", "child", "em")), places, strict=True)
+    return [(kind, r, child, em, _pack(total[mine]), _pack(em_total[mine]) if em else None, None, None, None) for kind, r, child, em, mine in named]
+
+
+def _answer(parts: pa.Table) -> pa.Table:
+    """All PARTS of a range -> ANSWERS: the totals of each part's keys in their order; one more row has the range's sums."""
+    s = _sum(parts)
+    sums = (parts.column("kind")[0].as_py(), parts.column("range")[0].as_py(), None, None, None, None, int(s.total.sum()), int((s.total > 0).sum()), int(s.em_total.sum()))
+    return _table([sums, *_told(parts, s.places, s.total, s.em_total)], ANSWERS)
+
+
+def _merge(parts: pa.Table) -> pa.Table:
+    """PARTS of one parent and range -> its row of NODES."""
+    s = _sum(parts)
+    kind, r, parent = (parts.column(c)[0].as_py() for c in ("kind", "range", "parent"))
+    return _table([(kind, r, parent, _pack(np.diff(s.keys, prepend=np.uint64(0))), _pack(s.total), _pack(s.em_total))], NODES)
+
+
+def _tell(parts: pa.Table, node: pa.Table) -> pa.Table:
+    """PARTS of a node, and the node's keys with the answers it got -> ANSWERS to the parts."""
+    if not parts.num_rows:
+        return _table([], ANSWERS)
+    keys, got = _keys(node)[0], sorted(node.column("answers")[0].as_py(), key=lambda a: a["range"])
+    total, em_total = (np.concatenate([_unpack(a[c], "<u8") for a in got]) for c in ("total", "em_total"))
+    return _table(_told(parts, [np.searchsorted(keys, k) for k in _keys(parts)], total, em_total), ANSWERS)
+
+
+def _totals_of(parts: DataFrame, groups: int, level: int = 1) -> tuple[DataFrame, DataFrame]:
+    """PARTS whose parents are numbered below `groups` -> (answers to them, sums of the ranges)."""
+    if groups == 1:
+        answers = written(parts.groupBy("kind", "range").applyInArrow(_answer, ANSWERS), "lm-answers")
+        return answers.where("child is not null"), answers.where("child is null")
+    nodes = written(parts.groupBy("kind", "range", "parent").applyInArrow(_merge, NODES), "lm-nodes")
+    answers, sums = _totals_of(nodes.mapInArrow(_send_on(level + 1), PARTS), -(-groups >> BITS), level + 1)
+    told = answers.groupBy("kind", F.shiftright("range", BITS).alias("range"), "child").agg(F.collect_list(F.struct("range", "total", "em_total")).alias("answers"))
+    ready = nodes.select("kind", "range", "child", "keys").join(told, ["kind", "range", "child"]).withColumnRenamed("child", "parent")
+    by = ["kind", "range", "parent"]
+    return written(parts.groupBy(*by).cogroup(ready.groupBy(*by)).applyInArrow(_tell, ANSWERS), "lm-answers"), sums
 
 
 def _with_answers(chunked: DataFrame, answers: DataFrame) -> DataFrame:
     """Each chunk with its answers; a chunk's answers are as many as its distinct n-grams at most."""
-    told = answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "total", "em_total")).alias("answers"))
+    told = answers.groupBy(F.col("child").alias("chunk")).agg(F.collect_list(F.struct("kind", "range", "total", "em_total")).alias("answers"))
     return chunked.join(told.hint("shuffle_hash"), "chunk")
 
 
 def _totals(row: dict, g: _Grams, column: str) -> dict[int, np.ndarray]:
     out = {}
     for kind, keys in g.keys.items():
-        mine = sorted((a for a in row["answers"] if a["kind"] == kind), key=lambda a: a["bucket"])
+        mine = sorted((a for a in row["answers"] if a["kind"] == kind), key=lambda a: a["range"])
         out[kind] = np.empty(len(keys), np.int64)
-        out[kind][np.argsort(keys)] = np.concatenate([_unpack(a[column], "<u4") for a in mine])
+        out[kind][np.argsort(keys)] = np.concatenate([_unpack(a[column], "<u8") for a in mine])
     return out
 
 
@@ -275,13 +348,9 @@ def _scores(tokens: int, types: int, weights: np.ndarray):
 def score(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> SCORES, one row per document."""
     chunked = written(chunks(docs), "lm-chunks")
-    size = chunked.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
-    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_TOKENS))
-    run, schema = _send(buckets)
-    sent = chunked.mapInArrow(run, schema)
-    answers = written(sent.groupBy("kind", "bucket").applyInArrow(_answer, ANSWERS), "lm-answers")
-    sums = answers.where(f"chunk is null and kind = {UNIGRAM}").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "em_tokens"))).first()
-    answers = answers.where("chunk is not null")
+    groups = max(1, -(-chunked.count() >> BITS))
+    answers, sums = _totals_of(chunked.mapInArrow(_send(groups), PARTS), groups)
+    sums = sums.where(f"kind = {UNIGRAM}").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "em_tokens"))).first()
     run, schema = _events(sums.tokens - sums.em_tokens)
     events = _with_answers(chunked.where("em"), answers.where("em")).mapInArrow(run, schema).groupBy("h", "b2", "b1").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights(np.array([tuple(r) for r in events], np.float64).reshape(-1, 4), sums.types)

@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from stepfield.llm import graph, lm, q_lm, q_simhash, secrets, simhash
@@ -114,8 +115,11 @@ def slow_lm(texts):
     return {i: (len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for i, t in tokens.items()}, tokens, train, c, n, v
 
 
-def test_language_model(spark, sf, shared, monkeypatch):
+@pytest.mark.parametrize("bits", [8, 2])
+def test_language_model(spark, sf, shared, monkeypatch, bits):
+    """With two bits a level, totals pass through several levels."""
     monkeypatch.setattr(lm, "CHUNK_TOKENS", 5000)
+    monkeypatch.setattr(lm, "BITS", bits)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     base, tokens, train, c, n, v = slow_lm(texts)
     seen = {}
@@ -137,6 +141,36 @@ def test_language_model(spark, sf, shared, monkeypatch):
     np.testing.assert_allclose(seen["w"].sum(1), 1)
 
 
+def parts(counts, ems=(False,)):
+    keys = np.array([5, 9, 1 << 63], np.uint64)
+    rows = [(1, 0, 0, k, em, lm._pack(np.diff(keys, prepend=np.uint64(0))), lm._pack(np.array(c, np.uint64)), None) for k, (c, em) in enumerate(zip(counts, ems, strict=True))]
+    return lm._table(rows, lm.PARTS)
+
+
+def test_counts_above_32_bits():
+    big = 3_000_000_000
+    sums, *rows = lm._answer(parts([[big, 1, 0], [big, 0, 0], [big, 2, 0]], [False, True, False])).to_pylist()
+    assert (sums["tokens"], sums["types"], sums["em_tokens"]) == (3 * big + 3, 2, big)
+    assert all(lm._unpack(r["total"], "<u8").tolist() == [3 * big, 3, 0] for r in rows)
+    node = lm._merge(parts([[big, 1, 0], [big, 0, 0]], [False, True])).to_pylist()[0]
+    assert lm._unpack(node["counts"], "<u8").tolist() == [2 * big, 1, 0] and lm._unpack(node["em_counts"], "<u8").tolist() == [big, 0, 0]
+
+
+def test_rows_sent_grow_with_the_input(spark, shared, monkeypatch):
+    """Twice the chunks, twice the rows, on both levels."""
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 60)
+    monkeypatch.setattr(lm, "BITS", 2)
+    sent = []
+    for docs in (400, 800):
+        rows = [(i, " ".join(f"w{(i * 7 + k * k) % 311}" for k in range(59))) for i in range(docs)]
+        chunked = lm.written(lm.chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "lm-chunks")
+        groups = -(-chunked.count() >> lm.BITS)
+        first = chunked.mapInArrow(lm._send(groups), lm.PARTS)
+        nodes = first.groupBy("kind", "range", "parent").applyInArrow(lm._merge, lm.NODES)
+        sent.append((first.count(), nodes.mapInArrow(lm._send_on(2), lm.PARTS).count()))
+    assert all(b <= 2.1 * a for a, b in zip(*sent, strict=True))
+
+
 def test_language_model_edges(spark, docs, empty, shared):
     rows = q_lm.lm.score(docs).collect()
     assert len(rows) == docs.count() and all(np.isfinite(r.score) and r.score <= 0 for r in rows)
