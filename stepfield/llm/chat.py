@@ -2,10 +2,11 @@
 
 A turn's content is an ordered array of parts (type, text, ref, units). A visitor flattens the parts into one string:
 text parts are escaped, every other part becomes an ordered placeholder `<|type_k|>`, and its reference and the number
-of tokens it expands to are recorded. Turns become `<|im_start|>role\\nbody<|im_end|>\\n`.
+of tokens it expands to are recorded. `typed_parts` finds the parts of a plain text: links to images, audio and documents, by their
+endings. Turns become `<|im_start|>role\\nbody<|im_end|>\\n`.
 
 Escaping is a bijection: in bodies one backslash is put into every `<`, backslashes, `|`, so that no body contains
-`<|`; in roles `\\`, newline and `<` become `\\s`, `\\n` and `\\l`. Control strings in user text can thus never end a turn.
+`<|`, also where a text part meets the next one, as neighbours are joined before they are escaped; in roles `\\`, newline and `<` become `\\s`, `\\n` and `\\l`. Control strings in user text can thus never end a turn.
 
 Defined cases: null text is empty, a null role is the empty role, turns of equal number are ordered by role and body,
 repeated rows stay, a null conv_id is a conversation of its own, an empty table gives no rows; further columns are
@@ -21,6 +22,10 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 PART = "array<struct<type:string,text:string,ref:string,units:bigint>>"
 #: Tokens that a placeholder expands to: a fixed number and a number for each unit (image tiles, audio seconds, pages).
 EXPANSION = {"image": (1, 256), "audio": (1, 50), "document": (1, 600)}
+#: Endings of links, and the links.
+ENDINGS = {"image": "png|jpg|jpeg|gif|webp", "audio": "mp3|wav|ogg|flac", "document": "pdf|doc|docx|odt"}
+LINK = r"https?://[^\x00-\x20<>\"'()\[\]|]+\.(" + "|".join(ENDINGS.values()) + ")"
+PLACEHOLDER = rf"<\|({'|'.join(EXPANSION)})_[0-9]+\|>"
 
 
 def text_part(text: Column) -> Column:
@@ -29,6 +34,27 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none.cast("string").alias("ref"), none.cast("bigint").alias("units"))).cast(PART)
 
 
+def typed_parts(text: Column) -> Column:
+    """A plain text as a content: its links to media, and the text between them."""
+    links, between = F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), F.split(text, LINK, -1)
+    none = F.lit(None)
+
+    def made(kind: Column, own: Column, ref: Column) -> Column:
+        return F.struct(kind.alias("type"), own.alias("text"), ref.alias("ref"), none.cast("bigint").alias("units"))
+
+    def kind(link: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, ends in ENDINGS.items():
+            out = F.when(link.rlike(rf"\.({ends})$"), name).otherwise(out)
+        return out
+
+    def one(piece: Column, i: Column) -> Column:
+        plain, link = made(F.lit("text"), piece, none.cast("string")), F.get(links, i)
+        return F.when(i < F.size(links), F.array(plain, made(kind(link), none.cast("string"), link))).otherwise(F.array(plain))
+
+    return F.when(F.contains(text, F.lit("://")), F.flatten(F.transform(between, one)).cast(PART)).otherwise(text_part(text))
+
+
 def escape_text(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
@@ -54,15 +80,16 @@ def _expanded(part: Column) -> Column:
 
 def flatten_parts(parts: Column) -> tuple[Column, Column]:
     """The visitor: (body, attachments). Attachments are numbered from 1 in order of appearance within the turn; a part
-    of a type not in EXPANSION, or null, is text."""
+    of a type not in EXPANSION, or null, is text. Parts are joined around marks, cut at these again and escaped, so text is
+    escaped as it stands in the body; a character of the marks' kind within texts is doubled while they are joined."""
     kinds = list(EXPANSION)
     attached = F.filter(parts, lambda p: p["type"].isin(kinds))
-
-    def piece(p: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(parts, 1, i + 1), lambda q: q["type"].isin(kinds)))
-        return F.when(p["type"].isin(kinds), F.concat(F.lit("<|"), p["type"], F.lit("_"), before.cast("string"), F.lit("|>"))).otherwise(escape_text(F.coalesce(p["text"], F.lit(""))))
-
-    body = F.when(F.size(parts) == 1, piece(parts[0], F.lit(0))).otherwise(F.array_join(F.transform(parts, piece), ""))
+    plain = lambda p: F.replace(F.coalesce(p["text"], F.lit("")), F.lit("\x01"), F.lit("\x01t"))
+    joined = F.array_join(F.transform(parts, lambda p: F.when(p["type"].isin(kinds), F.lit("\x01p")).otherwise(plain(p))), "")
+    pieces = F.transform(F.split(joined, "\x01p", -1), lambda x: escape_text(F.replace(x, F.lit("\x01t"), F.lit("\x01"))))
+    marked = F.transform(attached, lambda p, i: F.concat(F.get(pieces, i), F.lit("<|"), p["type"], F.lit("_"), (i + 1).cast("string"), F.lit("|>")))
+    whole = F.concat(F.array_join(marked, ""), F.element_at(pieces, -1))
+    body = F.when(F.size(parts) == 1, F.when(F.get(parts, F.lit(0))["type"].isin(kinds), whole).otherwise(escape_text(F.coalesce(F.get(parts, F.lit(0))["text"], F.lit(""))))).otherwise(whole)
     records = F.transform(attached, lambda p, i: F.struct((i + 1).cast("int").alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("tokens")))
     return body, records
 
@@ -88,17 +115,22 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The inverse for conversations of text parts: conv_id, turns array<struct<role,text,loss>>, parsed from `formatted`
-    alone but for the loss flag, which comes from the mask. A mask's start and length count code points within the
+    """The inverse: conv_id, turns array<struct<role,text,loss>>, parsed from `formatted` with the loss flag of the mask; placeholders
+    give way to their attachments' references. A mask's start and length count code points within the
     turn's segment, which begins behind `<|im_start|>`."""
     segments = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30)
-    parsed = F.zip_with(
-        segments,
-        F.col("mask"),
-        lambda s, m: F.struct(
+
+    def plain(body: Column, refs: Column) -> Column:
+        pieces = F.transform(F.split(body, PLACEHOLDER, -1), unescape_text)
+        return F.when(F.size(refs) == 0, unescape_text(body)).otherwise(F.concat(F.array_join(F.transform(refs, lambda r, i: F.concat(F.get(pieces, i), r)), ""), F.element_at(pieces, -1)))
+
+    def turn(s: Column, i: Column) -> Column:
+        m = F.get(F.col("mask"), i)
+        refs = F.transform(F.filter("attachments", lambda a: a["turn_index"] == i), lambda a: F.coalesce(a["ref"], F.lit("")))
+        return F.struct(
             unescape_role(F.substring_index(s, "\n", 1)).alias("role"),
-            unescape_text(F.substring(s, F.instr(s, "\n") + 1, F.length(s) - F.instr(s, "\n") - len(END))).alias("text"),
-            F.when(m["loss"], unescape_text(F.substring(s, (m["start"] + 1).cast("int"), m["length"].cast("int")))).otherwise("").alias("loss"),
-        ),
-    )
-    return formatted.withColumn("turns", parsed)
+            plain(F.substring(s, F.instr(s, "\n") + 1, F.length(s) - F.instr(s, "\n") - len(END)), refs).alias("text"),
+            F.when(m["loss"], plain(F.substring(s, (m["start"] + 1).cast("int"), m["length"].cast("int")), refs)).otherwise("").alias("loss"),
+        )
+
+    return formatted.withColumn("turns", F.transform(segments, turn))
