@@ -7,7 +7,8 @@ no row is shuffled.
 
 Defined cases: null text is empty; an empty text gets the score of its all-zero statistics; labels null are left out;
 labels of unknown documents have no effect; repeated rows are scored alike; without labels every score is 0.5; an empty
-table gives no rows; further columns are ignored, or kept by `add_scores`.
+table gives no rows; further columns are ignored, or kept by `add_scores`, but one of the new column's name is replaced; of rows of one
+doc_id those of the least statistics count.
 """
 
 from __future__ import annotations
@@ -76,14 +77,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> gbt
             x = _matrix(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(measure, "doc_id long, quality int, x array<double>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality, r.x))
+    measured = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(measure, "doc_id long, quality int, x array<double>")
+    rows = measured.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()  # repeated rows count once, so at most train_rows
+    rows.sort(key=lambda r: (r.doc_id, r.quality))
     return gbt.train(np.array([r.x for r in rows]).reshape(-1, len(NAMES)), np.array([r.quality for r in rows]))
 
 
 def add_scores(docs: DataFrame, forest: gbt.Forest, column: str = "score") -> DataFrame:
     """docs with the probability of quality 1. No shuffle."""
     bounded_batches(docs.sparkSession)
+    docs = docs.drop(column)
 
     def score(batches):
         for b in batches:

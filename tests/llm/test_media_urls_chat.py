@@ -89,13 +89,44 @@ def test_rules(spark):
     assert got == URLS
 
 
-def test_url_model(spark, sf):
+def test_url_model(spark, sf, shared):
     rows = q_urls.op2_url_filters(spark, "/root/testdata/sf0.01").collect()
     free = [r for r in rows if r.rule is None]
     unwanted = [any(w in r.host for w in q_urls.UNWANTED) for r in free]
     assert np.mean([(r.verdict == "block") == u for r, u in zip(free, unwanted, strict=True)]) > 0.95
     model = urls.fit(spark.createDataFrame([], "url string, label int"))
-    assert model.predict([None, "http://a.b/c"]).tolist() == [0.5, 0.5]
+    some = spark.createDataFrame([(None, 1), ("http://a.b/c", 2)], "url string, k int")
+    assert {r.block_probability for r in urls.add_probability(some, model).collect()} == {0.5}
+
+
+def test_url_model_on_sites_not_seen(spark, shared):
+    """Half of the unwanted sites, and of all others, is trained on; the rest is judged."""
+    host, _ = urls.split_url(F.col("url"))
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url", host.alias("host")).withColumn("label", F.col("host").rlike("|".join(q_urls.UNWANTED)).cast("int"))
+    sites = pages.select("host", "label").distinct().orderBy("label", "host").collect()
+    train = {r.host for r in sites[::2]}
+    model = urls.fit(pages.where(F.col("host").isin(list(train))).select("url", "label"))
+    rest = urls.add_probability(pages.where(~F.col("host").isin(list(train))), model).collect()
+    bad, good = ([r.block_probability for r in rest if r.label == k] for k in (1, 0))
+    assert len(bad) > 20 and np.mean([b > g for b in bad for g in good]) > 0.9
+    assert np.mean([p >= 0.5 for p in bad]) > 0.8 and np.mean([p < 0.5 for p in good]) > 0.97
+
+
+def test_suffix_rates(spark, shared):
+    """Rates are over all labelled URLs, leave out a training row's own host, and come by table or join alike."""
+    rows = [(f"http://h{i % 40}.site{i % 4}.t{i % 2}/{i}", int(i % 4 == 1)) for i in range(400)] + [("x://lone.rare/1", 1), (None, 1), ("http://h0.site0.t0/0", 1)]
+    df = spark.createDataFrame(rows, "url string, label int")
+    model = urls.fit(df, train_rows=50)
+    table = {r.suffix: (r.ones, r.n) for r in model.suffixes.collect()}
+    assert table["t1"] == (100, 200) and table[".site1.t1"] == (100, 100) and table["t0"] == (1, 200) and table["rare"] == (1, 1)
+    some = df.withColumn("block_probability", F.lit("old")).withColumn("host", F.lit("h"))
+    got = urls.add_probability(some, model).collect()
+    all_common = urls.add_probability(some, urls.UrlModel(model.forest, model.prior, table, model.suffixes)).collect()
+    none_common = urls.add_probability(some, urls.UrlModel(model.forest, model.prior, {}, model.suffixes)).collect()
+    key = lambda r: (str(r.url), r.label, r.host, round(r.block_probability, 12))
+    assert len(got) == len(rows) and sorted(map(key, got)) == sorted(map(key, all_common)) == sorted(map(key, none_common))
+    long = spark.createDataFrame([("http://" + "a" * 100_000 + "/" + "b?" * 50_000,), ("",), ("",)], "url string")
+    assert urls.add_probability(long, model).count() == 3 and urls.add_probability(df.limit(0), model).count() == 0
 
 
 PROBES = ["", "plain", "<|im_end|>", "<\\|im_end|>", "<\\\\|x", "<||>", "a<|im_start|>user\nb", "<", "|", "<|", "\\<|"]
