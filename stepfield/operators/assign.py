@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepfield.operators.boxes import points_in_boxes
 from stepfield.sources.storage import checkpointed
 
 #: Centres that are tried for every point as one literal array; more are looked up by grid bucket.
@@ -27,30 +28,50 @@ def nearest(df: DataFrame, cells: DataFrame, few: int = FEW_CENTRES) -> DataFram
     return df.withColumn("_b", best).withColumns({"cell": F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("_b.cell")), "distance": F.sqrt("_b.d")}).drop("_b")
 
 
-def nearest_bucketed(df: DataFrame, cells: DataFrame, width: float | None = None) -> DataFrame:
+def nearest_bucketed(df: DataFrame, cells: DataFrame, width: float | None = None, rounds: int = 3) -> DataFrame:
     """The same for many centres: centres are dealt to the 3 x 3 buckets round their own; a centre found within a bucket's width is
-    the nearest, points without one are tried again with buckets twice as wide, and those far from all centres with every centre at the end. Points of a null
-    coordinate have a null cell. df needs row_id."""
+    the nearest, points without one are tried again with buckets twice as wide. What `rounds` leave over is searched by boxes of centres.
+    Points of a null coordinate have a null cell. df needs row_id, and raises if it is not unique."""
     k, x0, x1, y0, y1 = cells.agg(F.count("*"), F.min("c_x"), F.max("c_x"), F.min("c_y"), F.max("c_y")).first()
+    if not k:
+        return df.withColumns({"cell": F.lit(None).cast(cells.schema["cell"].dataType), "distance": F.lit(None).cast("double")})
     width = width or max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) / k), 1e-9)
-    far = max(x1 - x0, y1 - y0, width)
     names = df.columns
+    if df.groupBy("row_id").count().where("count > 1").limit(1).count():
+        raise ValueError("row_id is not unique")
     some = F.col("x").isNotNull() & F.col("y").isNotNull()
     out = df.where(~some).select(*names, F.lit(None).cast(cells.schema["cell"].dataType).alias("cell"), F.lit(None).cast("double").alias("distance"))
     left = df.where(some)
     d = F.hypot(F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y"))
-    while True:
-        last = width > 4 * far
+    for _ in range(rounds):
         b = [F.floor(F.col(c) / width).alias(n) for c, n in (("x", "_i"), ("y", "_j"))]
         around = F.expr("explode(flatten(transform(sequence(-1,1), i -> transform(sequence(-1,1), j -> named_struct('i', i, 'j', j)))))")
         dealt = cells.select("cell", "c_x", "c_y", around.alias("o")).select("cell", "c_x", "c_y", (F.floor(F.col("c_x") / width) + F.col("o.i")).alias("_i"), (F.floor(F.col("c_y") / width) + F.col("o.j")).alias("_j"))
-        tried = left.join(F.broadcast(cells.select("cell", "c_x", "c_y")), F.lit(True)) if last else left.select("*", *b).join(dealt, ["_i", "_j"])
-        best = checkpointed(tried.withColumn("_d", d).groupBy("row_id").agg(F.min(F.struct("_d", "cell")).alias("_b")).where(F.lit(last) | (F.col("_b._d") <= width)))
-        out = out.unionByName(left.join(best, "row_id").select(*names, F.col("_b.cell").alias("cell"), F.col("_b._d").alias("distance")))
-        left = checkpointed(left.join(best.select("row_id"), "row_id", "left_anti"))
-        if last or left.limit(1).count() == 0:
+        tried = left.select("*", *b).join(dealt, ["_i", "_j"])
+        best = tried.withColumn("_d", d).groupBy("row_id").agg(F.min(F.struct("_d", "cell")).alias("_b")).where(F.col("_b._d") <= width)
+        marked = checkpointed(left.join(best, "row_id", "left"))
+        out = out.unionByName(marked.where("_b is not null").select(*names, F.col("_b.cell").alias("cell"), F.col("_b._d").alias("distance")))
+        left = marked.where("_b is null").drop("_b")
+        if left.isEmpty():
             return out
         width *= 2
+    return out.unionByName(_nearest_by_boxes(left, cells, (x0, x1, y0, y1)).select(*names, "cell", "distance"))
+
+
+def _nearest_by_boxes(df: DataFrame, cells: DataFrame, bounds: tuple, side: int = 32) -> DataFrame:
+    """Exact for points anywhere: centres lie in at most side x side boxes; a point is joined with the centres of those boxes alone that may
+    hold one nearer than the farthest corner of another box."""
+    x0, x1, y0, y1 = bounds
+    at = [F.least(F.floor((F.col(c) - a) / ((b - a) / side or 1.0)), F.lit(side - 1)).cast("int") for c, a, b in (("c_x", x0, x1), ("c_y", y0, y1))]
+    boxed = cells.select("cell", "c_x", "c_y", (at[0] * side + at[1]).alias("_box"))
+    rows = boxed.groupBy("_box").agg(F.min("c_x"), F.max("c_x"), F.min("c_y"), F.max("c_y")).collect()  # side x side at most
+    boxes = "array(" + ",".join(f"named_struct('k',{r[0]},'a',{r[1]!r}D,'b',{r[2]!r}D,'c',{r[3]!r}D,'d',{r[4]!r}D)" for r in sorted(rows)) + ")"
+    reach = F.expr(f"array_min(transform({boxes}, q -> hypot(greatest(x - q.a, q.b - x), greatest(y - q.c, q.d - y))))")
+    near = F.expr(f"transform(filter({boxes}, q -> hypot(greatest(q.a - x, 0D, x - q.b), greatest(q.c - y, 0D, y - q.d)) <= _reach * (1 + 1e-12D)), q -> q.k)")
+    tried = df.withColumn("_reach", reach).withColumn("_box", F.explode(near)).select("row_id", "x", "y", "_box").join(boxed, "_box")
+    d = F.hypot(F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y"))
+    best = tried.groupBy("row_id").agg(F.min(F.struct(d.alias("_d"), "cell")).alias("_b"))
+    return df.join(best, "row_id").withColumns({"cell": F.col("_b.cell"), "distance": F.col("_b._d")}).drop("_b")
 
 
 def within(df: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
@@ -65,33 +86,57 @@ def within(df: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
 
 def in_boxes(df: DataFrame, cells: DataFrame) -> DataFrame:
     """Points to cells given as boxes (x_min, x_max, y_min, y_max), closed; a point may be in several."""
-    box = F.col("x").between(F.col("x_min"), F.col("x_max")) & F.col("y").between(F.col("y_min"), F.col("y_max"))
-    return df.join(cells.select("cell", "x_min", "x_max", "y_min", "y_max"), box).drop("x_min", "x_max", "y_min", "y_max")
+    return points_in_boxes(df, cells, ["cell"])
 
 
 def knn_points(assigned: DataFrame, points: DataFrame, cells: DataFrame, least: int) -> DataFrame:
-    """(row_id, cell): cells of fewer than `least` own points take the `least` nearest points of all; others keep theirs. The small
-    cells' candidates are kept by a partial top-k: ranks within hashed slices of the points first."""
+    """(row_id, cell): cells of fewer than `least` own points take the `least` nearest points of all; others keep theirs.
+
+    Points are counted by bucket. A small cell widens a square of buckets, doubling, until it holds `least` points; no nearer point lies
+    beyond that square's diagonal, so the points of the buckets within it are the only candidates, ranked in hashed slices first."""
     own = assigned.groupBy("cell").agg(F.count("*").alias("k"))
-    small = cells.join(own, "cell", "left").where(F.coalesce("k", F.lit(0)) < least).select("cell", "c_x", "c_y")
+    small = checkpointed(cells.join(own, "cell", "left").where(F.coalesce("k", F.lit(0)) < least).select("cell", "c_x", "c_y"))
     big = assigned.join(small.select("cell"), "cell", "left_anti").select("row_id", "cell")
-    pairs = points.select("row_id", "x", "y").join(F.broadcast(custom_bound(small)), F.lit(True)).withColumn("distance", F.hypot(F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y")))
-    order = (F.col("distance"), F.col("row_id"))
-    local = pairs.withColumn("_s", F.pmod(F.xxhash64("row_id"), F.lit(64))).withColumn("_r", F.row_number().over(Window.partitionBy("cell", "_s").orderBy(*order))).where(F.col("_r") <= least)
-    top = local.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy(*order))).where(F.col("_r") <= least)
-    return big.unionByName(top.select("row_id", "cell"))
+    placed = points.select("row_id", "x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    n, x0, x1, y0, y1 = placed.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not n or small.isEmpty():
+        return big
+    width = max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * least / n) / 2, max(x1 - x0, y1 - y0) / 4096, 1e-9)
+    bucket = lambda c: F.floor(F.col(c) / width)
+    filled = checkpointed(placed.groupBy(bucket("x").alias("_i"), bucket("y").alias("_j")).agg(F.count("*").alias("k")))
+    square = lambda df, r: df.withColumn("_i", F.explode(F.sequence(bucket("c_x") - r, bucket("c_x") + r))).withColumn("_j", F.explode(F.sequence(bucket("c_y") - r, bucket("c_y") + r)))
+    span = math.ceil(max(x1 - x0, y1 - y0) / width) + 1
+    left, ready, r = small, None, 1
+    while True:
+        if r > span:  # the rest lie farther out than the points' own extent: their squares would be mostly empty
+            far = F.greatest(F.abs(F.col("c_x") - x0), F.abs(F.col("c_x") - x1)) + F.greatest(F.abs(F.col("c_y") - y0), F.abs(F.col("c_y") - y1))
+            now = left.withColumn("_r", far)
+        else:
+            held = square(left, r).join(filled, ["_i", "_j"]).groupBy("cell").agg(F.sum("k").alias("k")).where(F.col("k") >= least)
+            now = left.join(held.select("cell"), "cell", "left_semi").withColumn("_r", F.lit((r + 1) * width * math.sqrt(2)))
+            left = checkpointed(left.join(held.select("cell"), "cell", "left_anti"))
+        ready = now if ready is None else ready.unionByName(now)
+        if r > span or left.isEmpty():
+            break
+        r *= 2
+    corners = [F.col(f"c_{c}") + s * F.col("_r") for c in ("x", "y") for s in (-1, 1)]
+    boxes = ready.select("cell", "c_x", "c_y", "_r", *(F.greatest(F.least(e, F.lit(hi)), F.lit(lo)).alias(n) for e, n, lo, hi in zip(corners, ("x_min", "x_max", "y_min", "y_max"), (x0, x0, y0, y0), (x1, x1, y1, y1), strict=True)))
+    d = F.hypot(F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y"))
+    pairs = points_in_boxes(placed, boxes, ["cell", "c_x", "c_y", "_r"]).withColumn("distance", d).where(F.col("distance") <= F.col("_r"))
+    return big.unionByName(_top(pairs, least).select("row_id", "cell"))
 
 
-def custom_bound(cells: DataFrame, few: int = FEW_CENTRES) -> DataFrame:
-    """cells, after a check that they are few enough to broadcast."""
-    if cells.limit(few + 1).count() > few:
-        raise ValueError(f"more than {few} cells: bound the search by a radius instead")
-    return cells
+def _top(pairs: DataFrame, most: Column | int, slices: int = 64) -> DataFrame:
+    """The rows (row_id, cell, distance) that are among the `most` nearest of their cell. Hashed slices of a cell are ranked first, so no task
+    sorts a crowded cell."""
+    order = (F.col("distance"), F.col("row_id"))
+    local = pairs.withColumn("_s", F.pmod(F.xxhash64("row_id"), F.lit(slices))).withColumn("_r", F.row_number().over(Window.partitionBy("cell", "_s").orderBy(*order))).where(F.col("_r") <= most)
+    return local.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy(*order))).where(F.col("_r") <= most).drop("_r", "_s")
 
 
 def cap_points(assigned: DataFrame, most: int) -> DataFrame:
     """The `most` closest points of each cell."""
-    return assigned.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("distance", "row_id"))).where(F.col("_r") <= most).drop("_r")
+    return _top(assigned, most)
 
 
 def max_radius(assigned: DataFrame, radius: float) -> DataFrame:
@@ -104,11 +149,11 @@ def min_count(assigned: DataFrame, least: int) -> DataFrame:
 
 
 def bounded_by(assigned: DataFrame, limits: DataFrame) -> DataFrame:
-    """Per-cell bounds (cell, least, most, radius; null: none) on counts and distance."""
+    """Per-cell bounds (cell, least, most, radius; null: none) on counts and distance. Counts are aggregated before the join, ranks taken in slices first."""
     b = assigned.join(limits, "cell", "left").where(F.col("radius").isNull() | (F.col("distance") <= F.col("radius")))
-    w = Window.partitionBy("cell")
-    b = b.withColumns({"_k": F.count("*").over(w), "_r": F.row_number().over(w.orderBy("distance", "row_id"))})
-    return b.where((F.col("least").isNull() | (F.col("_k") >= F.col("least"))) & (F.col("most").isNull() | (F.col("_r") <= F.col("most")))).drop("_k", "_r", "least", "most", "radius")
+    enough = b.groupBy("cell", "least").agg(F.count("*").alias("_k")).where(F.col("least").isNull() | (F.col("_k") >= F.col("least"))).select("cell")
+    b = b.join(enough, "cell", "left_semi")
+    return b.where("most is null").unionByName(_top(b.where("most is not null"), F.col("most"))).drop("least", "most", "radius")
 
 
 def active_only(assigned: DataFrame, cells: DataFrame) -> DataFrame:
@@ -149,16 +194,33 @@ def windows(df: DataFrame, start: float, stop: float, duration: float, shift: fl
 
 def in_segments(df: DataFrame, segs: DataFrame) -> DataFrame:
     """Interval join with segments (seg, t0, t1), half-open, which may overlap."""
-    return df.join(segs.select("seg", "t0", "t1"), (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1"))).drop("t0", "t1")
-
-
-def time_knn(df: DataFrame, segs: Sequence[tuple[int, float, float]], k: int) -> DataFrame:
-    """(seg, row_id, rank): the k rows nearest in time to the middle of each segment. Slices rank first, so no task sorts all rows."""
-    mids = F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), F.lit((a + b) / 2).alias("mid")) for s, a, b in segs)))
-    pairs = df.select("row_id", "t", mids.alias("m")).select("row_id", F.col("m.seg").alias("seg"), F.abs(F.col("t") - F.col("m.mid")).alias("away"))
-    order = (F.col("away"), F.col("row_id"))
-    local = pairs.withColumn("_s", F.pmod(F.xxhash64("row_id"), F.lit(64))).withColumn("_r", F.row_number().over(Window.partitionBy("seg", "_s").orderBy(*order))).where(F.col("_r") <= k)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("seg").orderBy(*order))).where(F.col("rank") <= k).select("seg", "row_id", "rank")
+    return points_in_boxes(df, segs.select("seg", F.col("t0").alias("t_min"), F.col("t1").alias("t_max")), ["seg"], ("t",), open_end=True)
+
+
+def time_knn(df: DataFrame, segs: Sequence[tuple[int, float, float]], k: int, buckets: int = 4096) -> DataFrame:
+    """(seg, row_id, rank): the k rows nearest in time to the middle of each segment. Rows are counted in at most `buckets` equal spans of time; each
+    segment takes the rows of the spans round its middle that are sure to hold k, and ranks slices of them first."""
+    timed = df.select("row_id", "t").where("t is not null")
+    n, low, high = timed.agg(F.count("*"), F.min("t"), F.max("t")).first()
+    if not n or not segs:
+        return timed.limit(0).select(F.lit(0).alias("seg"), "row_id", F.lit(0).alias("rank"))
+    width = (high - low) / buckets or 1.0
+    filled = {r._b: r.k for r in timed.groupBy(F.least(F.floor((F.col("t") - low) / width), F.lit(buckets - 1)).alias("_b")).agg(F.count("*").alias("k")).collect()}
+    before = [0]
+    for b in range(buckets):
+        before.append(before[-1] + filled.get(b, 0))
+    ranges = []
+    for seg, a, b in segs:
+        mid = (a + b) / 2
+        at, r = min(max(math.floor((mid - low) / width), 0), buckets - 1), 0
+        while before[min(buckets, at + r + 1)] - before[max(0, at - r)] < min(k, n):
+            r = 2 * r + 1
+        reach = max(abs(mid - (low + (at - r) * width)), abs(mid - (low + (at + r + 1) * width))) * (1 + 1e-12)
+        ranges.append((seg, mid, mid - reach, mid + reach))
+    spans = df.sparkSession.createDataFrame(ranges, "seg int, mid double, t_min double, t_max double")
+    pairs = points_in_boxes(timed, spans, ["seg", "mid"], ("t",)).select("row_id", F.col("seg").alias("cell"), F.abs(F.col("t") - F.col("mid")).alias("distance"))
+    ranked = _top(pairs, k).withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("distance", "row_id")))
+    return ranked.select(F.col("cell").alias("seg"), "row_id", "rank")
 
 
 def combined_id(ncells: int):

@@ -214,15 +214,31 @@ def all_features(df: DataFrame, lags: Sequence[int] = LAGS) -> DataFrame:
     return out
 
 
-def escape_distances(df: DataFrame, rows: int = 100) -> DataFrame:
+def _farthest_later(p: np.ndarray, block: int = 256) -> np.ndarray:
+    """For each position the distance of the farthest later one: pairs within a block, and the corners of the hull of all later blocks."""
+    out, hull = np.zeros(len(p)), np.zeros((0, 2))
+    for end in range(len(p), 0, -block):
+        start = max(0, end - block)
+        own = p[start:end]
+        d = np.hypot(own[:, None, 0] - own[None, :, 0], own[:, None, 1] - own[None, :, 1])
+        out[start:end] = np.triu(d).max(1)
+        if len(hull):
+            out[start:end] = np.maximum(out[start:end], np.hypot(own[:, None, 0] - hull[None, :, 0], own[:, None, 1] - hull[None, :, 1]).max(1))
+        hull = _hull(np.concatenate([own, hull]))
+    return out
+
+
+def escape_distances(df: DataFrame) -> DataFrame:
     """Distances that a quarter, a half and three quarters of a trajectory's positions are left behind by: quantiles of the farthest later
-    distance from each position. Of longer trajectories `rows` positions count, those of the smallest hash, so a row's array is bounded."""
-    w = Window.partitionBy("n").orderBy(F.xxhash64("row_id"), "row_id")
-    kept = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= rows)
-    p = kept.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("t", "row_id", "x", "y"))).alias("p"))
-    far = F.expr("transform(p, (a, i) -> coalesce(array_max(transform(slice(p, i + 2, size(p)), b -> sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))), 0D))")
-    m = p.select("n", F.explode(far).alias("m"))
-    return m.groupBy("n").agg(*(F.percentile("m", F.lit(1 - q)).alias(f"escape_{k}") for q, k in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+    distance from each position. A trajectory's positions meet in one task, as three numbers each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("t", "ascending"), ("row_id", "ascending")])
+        far = _farthest_later(np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], 1))
+        return pa.table({"n": table.column("n").slice(0, 1), **{f"escape_{k}": [float(np.quantile(far, 1 - q))] for q, k in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))}})
+
+    rows = df.select("n", "t", "row_id", F.col("x").cast("double"), F.col("y").cast("double")).where("x is not null and y is not null")
+    return rows.groupBy("n").applyInArrow(run, f"n {dict(df.dtypes)['n']}, escape_q1 double, escape_median double, escape_q3 double")
 
 
 def per_duration(features: DataFrame, names: Sequence[str], root: bool = False) -> DataFrame:

@@ -92,21 +92,28 @@ def point_adjacency(assigned: DataFrame, edges: DataFrame, radius: float) -> Dat
     return left.join(right, ["j", "u", "v"]).where("a < b").withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("distance") <= radius).select("a", "b", "distance")
 
 
-def sign_groups(edges: DataFrame, values: DataFrame, rounds: int = 200) -> DataFrame:
+def least_reachable(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """nodes (node) and undirected edges (i, j) -> (node, least): the least node that each one reaches. Labels spread to neighbours and halve their paths
+    by jumping, so a chain of n nodes takes about 2 log2(n) rounds; raises if `rounds` don't settle it."""
+    edges = checkpointed(edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    label, last = nodes.select("node", F.col("node").alias("least")), None
+    for _ in range(rounds):
+        near = edges.join(label.select(F.col("node").alias("j"), "least"), "j").groupBy(F.col("i").alias("node")).agg(F.min("least").alias("near"))
+        low = label.join(near, "node", "left").select("node", "least", F.least("least", F.coalesce("near", "least")).alias("low"))
+        hung = low.groupBy(F.col("least").alias("node")).agg(F.min("low").alias("hung"))  # what any follower of a label found holds for the label too
+        low = low.join(hung, "node", "left").select("node", F.least("low", F.coalesce("hung", "low")).alias("low"))
+        up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))
+        label = checkpointed(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("least")))
+        now = label.agg(F.count("*"), F.sum(F.xxhash64("node", "least").cast("decimal(38,0)"))).first()
+        if now == last:
+            return label
+        last = now
+    raise RuntimeError(f"labels not settled after {rounds} rounds")
+
+
+def sign_groups(edges: DataFrame, values: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected groups of cells whose value has the same sign: (cell, group), the group being its smallest cell. Cells of null value have
-    none. Labels spread by the least neighbour and halve their paths by jumping."""
+    none. Raises if `rounds` don't settle it."""
     v = values.where("value is not null").select("cell", F.signum("value").alias("s"))
-    e = edges.join(v.select(F.col("cell").alias("i"), F.col("s").alias("si")), "i").join(v.select(F.col("cell").alias("j"), F.col("s").alias("sj")), "j").where("si = sj").select("i", "j").distinct().persist()
-    label = v.select("cell", F.col("cell").alias("group"))
-    total = None
-    for _ in range(rounds):
-        near = e.join(label.select(F.col("cell").alias("j"), "group"), "j").groupBy(F.col("i").alias("cell")).agg(F.min("group").alias("g"))
-        low = label.join(near, "cell", "left").select("cell", F.least("group", F.coalesce("g", "group")).alias("group"))
-        up = low.select(F.col("cell").alias("group"), F.col("group").alias("g"))
-        label = checkpointed(low.join(up, "group", "left").select("cell", F.least("group", F.coalesce("g", "group")).alias("group")))
-        now = label.agg(F.sum("group")).first()[0]
-        if now == total:
-            break
-        total = now
-    e.unpersist()
-    return label
+    e = edges.join(v.select(F.col("cell").alias("i"), F.col("s").alias("si")), "i").join(v.select(F.col("cell").alias("j"), F.col("s").alias("sj")), "j").where("si = sj").select("i", "j")
+    return least_reachable(v.select(F.col("cell").alias("node")), e, rounds).select(F.col("node").alias("cell"), F.col("least").alias("group"))

@@ -161,8 +161,9 @@ def bounded_sample(df: DataFrame, rows: int, seed: int = 0) -> np.ndarray:
     return np.array([(r.x, r.y) for r in got], float).reshape(-1, 2)
 
 
-def drop_small_cells(df: DataFrame, cells: DataFrame, least: int, edges: DataFrame | None = None, recentre: bool = True, rounds: int = 20) -> DataFrame:
-    """Repeats: cells of fewer than `least` points go (of neighbours, only the one of fewer points in a round), points are assigned anew and centres moved."""
+def drop_small_cells(df: DataFrame, cells: DataFrame, least: int, edges: DataFrame | None = None, recentre: bool = True, rounds: int = 200) -> DataFrame:
+    """Repeats: cells of fewer than `least` points go (of neighbours, only the one of fewer points in a round), points are assigned anew and centres moved.
+    Raises if small cells are left after `rounds`."""
     for _ in range(rounds):
         counts = assign.counts(assign.nearest(df, cells), cells)
         low = counts.where(F.col("k") < least).select("cell", "k")
@@ -171,7 +172,7 @@ def drop_small_cells(df: DataFrame, cells: DataFrame, least: int, edges: DataFra
             low = low.join(weaker.select(F.col("i").alias("cell")).distinct(), "cell", "left_anti")
         gone = [r.cell for r in low.select("cell").collect()]
         if not gone:
-            break
+            return cells
         cells = cells.where(~F.col("cell").isin(gone))
         if cells.limit(4).count() < 4:
             raise ValueError("too few cells are left")
@@ -179,7 +180,7 @@ def drop_small_cells(df: DataFrame, cells: DataFrame, least: int, edges: DataFra
             means = assign.nearest(df, cells).groupBy("cell").agg(F.avg("x").alias("m_x"), F.avg("y").alias("m_y"))
             cells = cells.join(means, "cell", "left").withColumns({"c_x": F.coalesce("m_x", "c_x"), "c_y": F.coalesce("m_y", "c_y")}).drop("m_x", "m_y")
         cells = custom_like(cells)
-    return cells
+    raise RuntimeError(f"small cells are left after {rounds} rounds")
 
 
 def custom_like(cells: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfield.functions.columns import COORDS, along, euclidean, in_box, squared
+from stepfield.sources.storage import checkpointed
 
 
 def displacements(df: DataFrame, coords: Sequence[str] = COORDS) -> DataFrame:
@@ -38,19 +39,17 @@ def repaired_steps(df: DataFrame, coords: Sequence[str] = COORDS) -> DataFrame:
     return df.withColumns({f"d{c}": F.when(back, -F.col(f"d{c}")).otherwise(F.col(f"d{c}")) for c in (*coords, "t")})
 
 
-def offsets(counts: DataFrame, key: str, count: str, buckets: int = 1024) -> DataFrame:
-    """counts (key integer, count) with base: the sum of the counts of all smaller keys. Keys are cut into ranges; only the ranges'
-    sums pass through the driver."""
-    low, high = counts.agg(F.min(key), F.max(key)).first()
-    if low is None:
+def offsets(counts: DataFrame, key: str, count: str, buckets: int = 64) -> DataFrame:
+    """counts (key integer, count) with base: the sum of the counts of all smaller keys. Rows are cut into ranges of about equal numbers of rows,
+    however keys cluster; only the ranges' sums pass through the driver."""
+    ranged = checkpointed(counts.repartitionByRange(buckets, key).withColumn("_b", F.spark_partition_id()))
+    sums = {r._b: r.s for r in ranged.groupBy("_b").agg(F.sum(count).alias("s")).collect()}
+    if not sums:
         return counts.withColumn("base", F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // buckets))
-    ranged = counts.withColumn("_b", F.floor((F.col(key) - low) / width))
-    sums = {int(r._b): r.s for r in ranged.groupBy("_b").agg(F.sum(count).alias("s")).collect()}
     before, total = {}, 0
     for b in sorted(sums):
-        before[b], total = total, total + sums[b]
-    start = F.create_map(*(F.lit(v).cast("long") for kv in before.items() for v in kv))
+        before[b], total = total, total + (sums[b] or 0)
+    start = F.create_map(*(x for b, v in before.items() for x in (F.lit(b), F.lit(v).cast("long"))))
     w = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return ranged.withColumn("base", F.element_at(start, F.col("_b")) + F.coalesce(F.sum(count).over(w), F.lit(0))).drop("_b")
 

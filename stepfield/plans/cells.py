@@ -203,14 +203,8 @@ def dilation(spark, sf):
     return G.dilation(G.grid_edges(spark, 10, 5), [22], 3)
 
 
-@query(f"WITH {WALK}, {EDGES}, o AS (SELECT row_id, x, y, {CELL} AS cell FROM p WHERE n < 40), l AS (SELECT i, j FROM e UNION SELECT i, i FROM g) SELECT a.row_id AS a, b.row_id AS b, {r('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', 'distance')} FROM o a JOIN l ON l.i = a.cell JOIN o b ON b.cell = l.j AND a.row_id < b.row_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2")
+@query(f"WITH {WALK}, {EDGES}, o AS (SELECT row_id, x, y, {CELL} AS cell FROM p), l AS (SELECT i, j FROM e UNION SELECT i, i FROM g) SELECT a.row_id AS a, b.row_id AS b, {r('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', 'distance')} FROM o a JOIN l ON l.i = a.cell JOIN o b ON b.cell = l.j AND a.row_id < b.row_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2")
 def point_adjacency(spark, sf):
-    return rounded(G.point_adjacency(on_grid(walk(spark, sf).where("n < 40")), G.grid_edges(spark, 10, 5), 2.0))
-
-
-@query()
-def point_adjacency_all(spark, sf):
-    """All walks; the SQL twin of point_adjacency, whose all-pairs join is slow, covers those of n < 40."""
     return rounded(G.point_adjacency(on_grid(walk(spark, sf)), G.grid_edges(spark, 10, 5), 2.0))
 
 

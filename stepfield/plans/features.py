@@ -200,38 +200,24 @@ def distance_to_centre(spark, sf):
 
 
 @query(
-    f"WITH {WALK}, f AS (SELECT *, CAST(floor(t / 86400e0) AS BIGINT) AS frame FROM p WHERE n < 60) SELECT a.row_id AS a, b.row_id AS b, {r('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', 'distance')} FROM f a JOIN f b ON b.frame = a.frame + 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100"
+    f"WITH {WALK}, f AS (SELECT *, CAST(floor(t / 86400e0) AS BIGINT) AS frame FROM p) SELECT a.row_id AS a, b.row_id AS b, {r('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', 'distance')} FROM f a JOIN f b ON b.frame = a.frame + 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100"
 )
 def next_frame_candidates(spark, sf):
-    df = walk(spark, sf).where("n < 60").withColumn("frame", F.floor(F.col("t") / 86400.0))
-    return rounded(R.next_frame_candidates(df, 10.0))
+    return rounded(_candidates(spark, sf))
 
 
 @query(
-    f"WITH {WALK}, f AS (SELECT *, CAST(floor(t / 86400e0) AS BIGINT) AS frame FROM p WHERE n < 60), c AS (SELECT a.row_id AS a, b.row_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM f a JOIN f b ON b.frame = a.frame + 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100), "
+    f"WITH {WALK}, f AS (SELECT *, CAST(floor(t / 86400e0) AS BIGINT) AS frame FROM p), c AS (SELECT a.row_id AS a, b.row_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM f a JOIN f b ON b.frame = a.frame + 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100), "
     "u AS (SELECT a, b FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1), v AS (SELECT a, b FROM c QUALIFY row_number() OVER (PARTITION BY b ORDER BY d, a) = 1) SELECT u.a, u.b FROM u JOIN v ON u.a = v.a AND u.b = v.b"
 )
 def mutual_links(spark, sf):
-    df = walk(spark, sf).where("n < 60").withColumn("frame", F.floor(F.col("t") / 86400.0))
-    return R.mutual_links(R.next_frame_candidates(df, 10.0)).select("a", "b")
+    return R.mutual_links(_candidates(spark, sf)).select("a", "b")
 
 
 def _candidates(spark, sf):
     return R.next_frame_candidates(walk(spark, sf).withColumn("frame", F.floor(F.col("t") / 86400.0)), 10.0)
 
 
-@query()
-def next_frame_candidates_all(spark, sf):
-    """All walks; next_frame_candidates and its SQL twin cover those of n < 60."""
-    return rounded(_candidates(spark, sf))
-
-
-@query()
-def mutual_links_all(spark, sf):
-    """All walks; mutual_links and its SQL twin cover those of n < 60."""
-    return R.mutual_links(_candidates(spark, sf)).select("a", "b")
-
-
 @query()
 def density_peaks(spark, sf):
     return rounded(R.density_peaks(walk(spark, sf), 10.0, 25.0, 5.0))

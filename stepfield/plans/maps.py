@@ -193,19 +193,23 @@ def infer_d_any_dt(spark, sf):
     return rounded(I.infer_any_dt(on_grid(T.to_translocations(walk(spark, sf))).where("dt > 0"), "dd").select("cell", "k", "diffusivity", "a_x", "a_y"), 9)
 
 
-@query()
-def bayes_factors(spark, sf):
-    """Evidence for a force in each cell, from the step and the diffusivity gradient's signal-to-noise ratios."""
+def _evidence(spark, sf):
     m = I.snr(_moves(spark, sf)).where("k > 1")
     d = I.infer_d(_moves(spark, sf)).select("cell", "diffusivity").join(GRID.cells(spark), "cell")
     both = m.join(V.gradient(d, G.grid_edges(spark, 10, 5), "diffusivity"), "cell", "left").fillna(0.0, ["grad_x", "grad_y"])
-    return rounded(B.bayes_factor(I.spurious_zeta(both, 1.0)).select("cell", "k", "lg_b", "force"), 4)
+    return B.bayes_factor(I.spurious_zeta(both, 1.0))
+
+
+@query()
+def bayes_factors(spark, sf):
+    """Evidence for a force in each cell, from the step and the diffusivity gradient's signal-to-noise ratios."""
+    return rounded(_evidence(spark, sf).select("cell", "k", "lg_b", "force"), 4)
 
 
 @query()
 def force_groups(spark, sf):
-    """Groups of adjacent cells whose evidence has the same sign, and its sum."""
-    m = I.snr(_moves(spark, sf)).where("k > 1").select("cell", F.col("zeta_x").alias("value"))
+    """Groups of adjacent cells whose evidence (lg_b) has the same sign, and its sum."""
+    m = _evidence(spark, sf).select("cell", F.col("lg_b").alias("value"))
     groups = G.sign_groups(G.grid_edges(spark, 10, 5), m)
     return rounded(I.group_sum(m, groups, "value").select("cell", "group", "group_value"), 4)
 

@@ -135,15 +135,8 @@ def negative_dt_repair(spark, sf):
     return rounded(T.repaired_steps(turned).select("n", "row_id", "dx", F.round("dt", 3).alias("dt")))
 
 
-@query(f"WITH {WALK} SELECT s.n, s.row_id, f.source FROM (SELECT n, row_id, x, y, t FROM p WHERE row_id % 3 = 0) s LEFT JOIN (SELECT x, y, t, source FROM p) f ON s.x = f.x AND s.y = f.y AND s.t = f.t")
+@query(f"WITH {WALK} SELECT s.n, s.row_id, f.source FROM (SELECT n, row_id, x, y, t FROM p) s LEFT JOIN (SELECT x, y, t, source FROM p) f ON s.x = f.x AND s.y = f.y AND s.t = f.t")
 def join_by_values(spark, sf):
-    df = walk(spark, sf)
-    return T.join_by_values(df.where("row_id % 3 = 0").select("n", "row_id", "x", "y", "t"), df.select("x", "y", "t", "source")).select("n", "row_id", "source")
-
-
-@query()
-def join_by_values_all(spark, sf):
-    """All rows looked up; join_by_values and its SQL twin look up every third."""
     df = walk(spark, sf)
     return T.join_by_values(df.select("n", "row_id", "x", "y", "t"), df.select("x", "y", "t", "source")).select("n", "row_id", "source")
 
