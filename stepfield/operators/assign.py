@@ -92,8 +92,8 @@ def in_boxes(df: DataFrame, cells: DataFrame) -> DataFrame:
 def knn_points(assigned: DataFrame, points: DataFrame, cells: DataFrame, least: int) -> DataFrame:
     """(row_id, cell): cells of fewer than `least` own points take the `least` nearest points of all; others keep theirs.
 
-    Points are counted by bucket. A small cell widens a square of buckets, doubling, until it holds `least` points; no nearer point lies
-    beyond that square's diagonal, so the points of the buckets within it are the only candidates, ranked in hashed slices first."""
+    Points are counted by bucket, at bucket widths that double. A small cell takes the least width at which the 3 x 3 buckets round it hold
+    `least` points; these lie within their diagonal, so only points no farther away are candidates, ranked in hashed slices first."""
     own = assigned.groupBy("cell").agg(F.count("*").alias("k"))
     small = checkpointed(cells.join(own, "cell", "left").where(F.coalesce("k", F.lit(0)) < least).select("cell", "c_x", "c_y"))
     big = assigned.join(small.select("cell"), "cell", "left_anti").select("row_id", "cell")
@@ -103,22 +103,17 @@ def knn_points(assigned: DataFrame, points: DataFrame, cells: DataFrame, least:
         return big
     width = max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * least / n) / 2, max(x1 - x0, y1 - y0) / 4096, 1e-9)
     bucket = lambda c: F.floor(F.col(c) / width)
-    filled = checkpointed(placed.groupBy(bucket("x").alias("_i"), bucket("y").alias("_j")).agg(F.count("*").alias("k")))
-    square = lambda df, r: df.withColumn("_i", F.explode(F.sequence(bucket("c_x") - r, bucket("c_x") + r))).withColumn("_j", F.explode(F.sequence(bucket("c_y") - r, bucket("c_y") + r)))
-    span = math.ceil(max(x1 - x0, y1 - y0) / width) + 1
-    left, ready, r = small, None, 1
-    while True:
-        if r > span:  # the rest lie farther out than the points' own extent: their squares would be mostly empty
-            far = F.greatest(F.abs(F.col("c_x") - x0), F.abs(F.col("c_x") - x1)) + F.greatest(F.abs(F.col("c_y") - y0), F.abs(F.col("c_y") - y1))
-            now = left.withColumn("_r", far)
-        else:
-            held = square(left, r).join(filled, ["_i", "_j"]).groupBy("cell").agg(F.sum("k").alias("k")).where(F.col("k") >= least)
-            now = left.join(held.select("cell"), "cell", "left_semi").withColumn("_r", F.lit((r + 1) * width * math.sqrt(2)))
-            left = checkpointed(left.join(held.select("cell"), "cell", "left_anti"))
-        ready = now if ready is None else ready.unionByName(now)
-        if r > span or left.isEmpty():
-            break
-        r *= 2
+    levels = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(math.log2(max(x1 - x0, y1 - y0) / width + 1)) + 1))).alias("_l")
+    wider = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_l")))
+    filled = placed.groupBy(bucket("x").alias("_i"), bucket("y").alias("_j")).agg(F.count("*").alias("k"))
+    filled = filled.select("_i", "_j", "k", levels).groupBy("_l", wider("_i").alias("_u"), wider("_j").alias("_v")).agg(F.sum("k").alias("k"))
+    around = F.explode(F.expr("flatten(transform(sequence(-1,1), i -> transform(sequence(-1,1), j -> named_struct('i', i, 'j', j))))")).alias("_o")
+    looked = small.select("cell", bucket("c_x").alias("_i"), bucket("c_y").alias("_j"), levels).select("cell", "_l", wider("_i").alias("_u"), wider("_j").alias("_v"), around)
+    looked = looked.select("cell", "_l", (F.col("_u") + F.col("_o.i")).alias("_u"), (F.col("_v") + F.col("_o.j")).alias("_v"))
+    enough = looked.join(filled, ["_l", "_u", "_v"]).groupBy("cell", "_l").agg(F.sum("k").alias("k")).where(F.col("k") >= least).groupBy("cell").agg(F.min("_l").alias("_l"))
+    # cells with no such square lie outside the points, or ask for more than there are: their radius reaches all
+    far = F.greatest(F.abs(F.col("c_x") - x0), F.abs(F.col("c_x") - x1)) + F.greatest(F.abs(F.col("c_y") - y0), F.abs(F.col("c_y") - y1))
+    ready = checkpointed(small.join(enough, "cell", "left").withColumn("_r", F.coalesce(F.pow(F.lit(2.0), F.col("_l")) * (2 * width * math.sqrt(2)), far)))
     corners = [F.col(f"c_{c}") + s * F.col("_r") for c in ("x", "y") for s in (-1, 1)]
     boxes = ready.select("cell", "c_x", "c_y", "_r", *(F.greatest(F.least(e, F.lit(hi)), F.lit(lo)).alias(n) for e, n, lo, hi in zip(corners, ("x_min", "x_max", "y_min", "y_max"), (x0, x0, y0, y0), (x1, x1, y1, y1), strict=True)))
     d = F.hypot(F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y"))
