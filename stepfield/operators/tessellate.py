@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stepfield.functions.columns import COORDS
 from stepfield.operators import assign
+from stepfield.sources.storage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -90,32 +91,37 @@ def kmeans(df: DataFrame, centres: Sequence[Sequence[float]], rounds: int = 50,
 
 
 def quadtree(df: DataFrame, min_count: int, max_count: int | None = None, max_depth: int = 10) -> DataFrame:
-    """Leaves of midpoint splits of the bounding box: path, box, count. A box of more than min_count points is split if a quarter
-    has more than max_count points or all quarters more than min_count. Counts come from one pass at the largest depth."""
+    """Leaves of midpoint splits of the bounding box: cell, centre, box. A box of more than min_count points is split if a quarter has
+    more than max_count points or all quarters more than min_count. Boxes of the largest depth are counted in one pass, and all larger
+    ones summed from them; a box is reached if all boxes that hold it are split. `cell` numbers all boxes of smaller depths first, then
+    places in their own depth, so leaves' numbers have gaps."""
     max_count = max_count or 10 * min_count
     x0, x1, y0, y1 = df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if x0 is None or y0 is None:
+        return df.sparkSession.createDataFrame([], "cell int, c_x double, c_y double, volume double, x_min double, x_max double, y_min double, y_max double")
     n = 1 << max_depth
     cut = [F.least(F.floor((F.col(c) - a) / ((b - a) / n or 1.0)), F.lit(n - 1)).cast("int").alias(k) for c, a, b, k in (("x", x0, x1, "i"), ("y", y0, y1, "j"))]
-    fine = df.select(*cut).groupBy("i", "j").count()
-    counts: dict = {}
-    for depth in range(max_depth, -1, -1):
-        s = max_depth - depth
-        level = fine.groupBy(F.shiftright("i", s).alias("i"), F.shiftright("j", s).alias("j")).agg(F.sum("count").alias("k"))
-        counts[depth] = {(r.i, r.j): r.k for r in level.where(F.col("k") > min_count).collect()}
-    leaves, stack = [], [(0, 0, 0)]
-    while stack:
-        d, i, j = stack.pop()
-        k = counts[d].get((i, j), 0)
-        quarters = [(d + 1, 2 * i + a, 2 * j + b) for a in (0, 1) for b in (0, 1)]
-        sizes = [counts.get(d + 1, {}).get(q[1:], 0) for q in quarters]
-        if d < max_depth and k > min_count and (max(sizes) > max_count or min(sizes) > min_count):
-            stack += quarters
-        else:
-            w, h = (x1 - x0) / (1 << d), (y1 - y0) / (1 << d)
-            leaves.append((d, i, j, x0 + i * w, x0 + (i + 1) * w, y0 + j * h, y0 + (j + 1) * h))
-    leaves.sort()
-    rows = [(c, (a + b) / 2, (e + f) / 2, (b - a) * (f - e), a, b, e, f) for c, (_, _, _, a, b, e, f) in enumerate(leaves)]
-    return df.sparkSession.createDataFrame(rows, "cell int, c_x double, c_y double, volume double, x_min double, x_max double, y_min double, y_max double")
+    fine = df.where("x is not null and y is not null").select(*cut).groupBy("i", "j").agg(F.count("*").alias("k"))
+
+    def above(boxes, depth, **kept):
+        """A row for every depth up to a box's own: the box there that holds it."""
+        up = F.expr(f"explode(transform(sequence(0, {depth}), s -> named_struct('d', {depth} - s, 'i', shiftright(i, s), 'j', shiftright(j, s))))")
+        return boxes.select(up.alias("o"), *(F.col(c).alias(k) for k, c in kept.items())).select("o.*", *kept)
+
+    counts = checkpointed(above(fine, max_depth, k="k").groupBy("d", "i", "j").agg(F.sum("k").alias("k")))
+    quarters = counts.where("d > 0").groupBy((F.col("d") - 1).alias("d"), F.shiftright("i", 1).alias("i"), F.shiftright("j", 1).alias("j")).agg(F.max("k").alias("most"), F.min("k").alias("least"), F.count("*").alias("filled"))
+    wide = (F.col("most") > max_count) | ((F.col("filled") == 4) & (F.col("least") > min_count))
+    split = counts.where(F.col("k") > min_count).join(quarters.where(wide), ["d", "i", "j"]).select("d", "i", "j")
+    held = above(split, "d", own="d", own_i="i", own_j="j").join(split, ["d", "i", "j"])
+    reached = checkpointed(held.groupBy("own", "own_i", "own_j").agg(F.count("*").alias("c")).where("c = own + 1").select(F.col("own").alias("d"), F.col("own_i").alias("i"), F.col("own_j").alias("j")))
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))).alias("o")
+    root = df.sparkSession.createDataFrame([(0, 0, 0)], "d int, i int, j int")
+    leaves = root.unionByName(reached.select("d", "i", "j", around).select((F.col("d") + 1).alias("d"), (F.col("i") * 2 + F.col("o.a")).alias("i"), (F.col("j") * 2 + F.col("o.b")).alias("j"))).join(reached, ["d", "i", "j"], "left_anti")
+    side = F.expr("shiftleft(1, d)")
+    w, h = F.lit(x1 - x0) / side, F.lit(y1 - y0) / side
+    cell = ((F.expr("shiftleft(1, 2 * d)") - 1) / 3 + F.col("i") * side + F.col("j")).cast("int")
+    box = {"x_min": x0 + F.col("i") * w, "x_max": x0 + (F.col("i") + 1) * w, "y_min": y0 + F.col("j") * h, "y_max": y0 + (F.col("j") + 1) * h}
+    return leaves.select(cell.alias("cell"), (x0 + (F.col("i") + 0.5) * w).alias("c_x"), (y0 + (F.col("j") + 0.5) * h).alias("c_y"), (w * h).alias("volume"), *(e.alias(c) for c, e in box.items()))
 
 
 def self_organising_map(sample: np.ndarray, nx: int, ny: int, rounds: int = 5, a: float = 0.1, b: float = 100.0, gamma: float = 0.5, seed: int = 0) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stepfield.operators import assign
 from stepfield.sources.storage import checkpointed
 
-GROUP, PER_BUCKET, ROUNDS = 512, 16, 64
+GROUP, PER_BUCKET, ROUNDS = 1024, 48, 64
 POLYGON = "cell long, c_x double, c_y double, v_x array<double>, v_y array<double>, side array<long>, done boolean"
 _NAMES = [c.split()[0] for c in POLYGON.split(", ")]
 
