@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SIGMA2 = 0.03**2
+from stepfield.sources.storage import checkpointed
+
+SIGMA2, SWEEPS = 0.03**2, 4
 
 
 def statistics(steps: DataFrame, *by: str) -> DataFrame:
@@ -119,6 +121,46 @@ def smooth(cells: DataFrame, edges: DataFrame, prior: float, mode: str = "d", si
     return out
 
 
+def smooth_joined(cells: DataFrame, edges: DataFrame, prior: float, mode: str = "d", sigma2: float = SIGMA2, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
+    """The same maps for many cells, in rounds of edge joins: (cell, diffusivity), with drift (mode dd) or force (df) as a_x, a_y. A cell's part
+    of the cost, given its neighbours' last diffusivities, is settled by bisection in one expression; SWEEPS of them are written at a time.
+    Ends when no diffusivity moves by more than `tolerance` of the mean one, and raises if `rounds` don't settle it: a prior that outweighs
+    the steps takes many. Only that one number reaches the driver; cells without steps have no row."""
+    own = cells.where("k > 0").withColumn("v", F.col("volume").cast("double") if "volume" in cells.columns else F.lit(1.0))
+    own = checkpointed(own.select("cell", F.col("k").cast("double").alias("k"), "dt", "m_x", "m_y", (F.col("s") if mode == "d" else _residual()).cast("double").alias("r"), "v"))
+    pairs = edges.select("i", "j").distinct()
+    for c in ("i", "j"):
+        pairs = pairs.join(own.select(F.col("cell").alias(c), F.col("v").alias(f"v_{c}")), c)
+    pull = checkpointed(pairs.select("i", "j", (prior * (F.col("v_i") + F.col("v_j"))).alias("w")))
+    # With scale = d dt + sigma2, the slope of k log(scale) + r / (4 scale) + w (d - near)^2 has the sign of this cubic in scale.
+    mid, s2 = "((b.low + b.high) / 2)", f"{sigma2!r}D"
+    cubic = f"2 * w / (dt * dt) * ({mid} - {s2} - near * dt) * {mid} * {mid} + k * {mid} - r / 4"
+    start = f"named_struct('low', 0D, 'high', greatest({s2} + near * dt, r / (4 * k)))"
+    step = f"(b, n) -> if({cubic} > 0, named_struct('low', b.low, 'high', {mid}), named_struct('low', {mid}, 'high', b.high))"
+    settled = F.expr(f"(aggregate(sequence(1, 60), {start}, {step}, b -> {mid}) - {s2}) / dt")
+
+    def sweep(now):
+        near = pull.join(now.select(F.col("cell").alias("j"), F.col("d").alias("d_j")), "j").groupBy(F.col("i").alias("cell")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("d_j")).alias("wd"))
+        joined = own.select("cell", "k", "dt", "r").join(near, "cell", "left").join(now.select("cell", "d"), "cell").fillna(0.0, ["w"])
+        return joined.withColumn("near", F.coalesce(F.try_divide("wd", "w"), "d")).select("cell", F.col("d").alias("before"), settled.alias("d"))
+
+    now = checkpointed(own.select("cell", ((F.col("r") / (4 * F.col("k")) - sigma2) / F.col("dt")).alias("d")))
+    for _ in range(-(-rounds // SWEEPS)):
+        for _ in range(SWEEPS):
+            now = sweep(now)
+        now = checkpointed(now)
+        moved, mean = now.agg(F.max(F.abs(F.col("d") - F.col("before"))), F.avg(F.abs("d"))).first()
+        if moved is None or moved <= tolerance * mean:
+            break
+    else:
+        raise RuntimeError(f"diffusivities not settled after {rounds} rounds")
+    out = own.join(now.select("cell", F.col("d").alias("diffusivity")), "cell")
+    if mode == "d":
+        return out.select("cell", "diffusivity")
+    per = F.col("k") * F.col("dt") * (F.col("diffusivity") if mode == "df" else F.lit(1.0))
+    return out.select("cell", "diffusivity", (F.col("m_x") / per).alias("a_x"), (F.col("m_y") / per).alias("a_y"))
+
+
 def infer_dv(cells: DataFrame, edges: DataFrame, v_prior: float = 0.05, d_prior: float = 0.05, sigma2: float = SIGMA2, rounds: int = 400) -> list[dict]:
     """Diffusivity and potential: drift is -D grad V, with grad V by least squares over neighbours; penalties on both maps' differences. Cells
     need c_x, c_y. Minimised on the driver by alternating a linear solve for V and Newton steps for D; V is shifted to a minimum of 0."""

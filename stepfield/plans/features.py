@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stepfield.operators import features as X
 from stepfield.operators import roi as R
 from stepfield.plans.common import STEPS, WALK, W, r, rounded, steps, walk
-from stepfield.plans.registry import query
+from stepfield.plans.registry import ORACLE, query
 
 _LAGS = "(VALUES (1),(2),(3),(4),(5),(6),(8),(10)) l(lag)"
 _RANKED = "q AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY t, row_id) AS i FROM p)"
@@ -141,14 +141,41 @@ def escape_distances(spark, sf):
     return rounded(X.escape_distances(walk(spark, sf)), 4)
 
 
-@query()
+#: A pair of corners is an edge of the hull if no position lies right of it, or on its line beyond either end.
+_HULL = (
+    "u AS (SELECT DISTINCT n, x, y FROM p), e AS (SELECT a.n, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM u a JOIN u b ON a.n = b.n AND (a.x <> b.x OR a.y <> b.y)), "
+    "s AS (SELECT e.*, (qx - px) * (c.y - py) - (qy - py) * (c.x - px) AS side, (c.x - px) * (qx - px) + (c.y - py) * (qy - py) AS along, (qx - px) ** 2 + (qy - py) ** 2 AS d2 FROM e JOIN u c ON c.n = e.n), "
+    "h AS (SELECT n, px, py, qx, qy FROM s GROUP BY ALL HAVING min(side) >= -1e-9 AND count(*) FILTER (abs(side) <= 1e-9 AND (along < -1e-9 OR along > d2 + 1e-9)) = 0) "
+)
+
+
+@query(f"WITH {WALK}, {_HULL}, m AS (SELECT n, abs(sum(px * qy - qx * py)) / 2 AS area, sum(sqrt((qx - px) ** 2 + (qy - py) ** 2)) AS perimeter FROM h GROUP BY n) SELECT n, {r('coalesce(area, 0)', 'hull_area', 4)}, {r('coalesce(perimeter, 0)', 'hull_perimeter', 4)} FROM (SELECT DISTINCT n FROM u) LEFT JOIN m USING (n)")
 def convex_hull(spark, sf):
-    return rounded(X.convex_hull(walk(spark, sf)))
+    return rounded(X.convex_hull(walk(spark, sf)), 4)
+
+
+_PDF = (
+    f"WITH {STEPS}, {_LAGGED}, h AS (SELECT n, lag, sqrt(d2) AS d FROM g), m AS (SELECT n, log10(lag) AS u, log10(nullif(avg(d), 0)) AS a, log10(nullif(var_pop(d), 0)) AS b, {_skew('d')} AS s, kurtosis_pop(d) AS k FROM h GROUP BY n, lag) "
+    f"SELECT n, {r('regr_slope(a, u)', 'pdf_mean_alpha')}, {r('regr_slope(b, u)', 'pdf_var_alpha')}, {r('avg(s)', 'pdf_skewness_mean')}, {r('var_pop(s)', 'pdf_skewness_var')}, {r('avg(k)', 'pdf_kurtosis_mean')}, {r('var_pop(k)', 'pdf_kurtosis_var')} FROM m GROUP BY n"
+)
+
 
+@query(_PDF)
+def displacement_fit(spark, sf):
+    """Power laws of the mean distance and of its variance over lags; mean and variance of skewness and kurtosis."""
+    return rounded(X.displacement_pdf_fit(steps(spark, sf)))
 
-@query()
+
+_PARTS = ("step_length_stats", "msd_fit", "drift_norm", "gyration_shape", "efficiency_straightness", "axis_kurtosis", "angle_features", "gaussianity_features", "ergodicity", "escape_distances", "displacement_fit")
+_SPANS = f"SELECT n, count(*) AS size, 0e0 AS t_min, count(*) - 1e0 AS t_max, 1e0 AS dt, TRUE AS is_dt_constant FROM (WITH {WALK} SELECT n FROM p) GROUP BY n"
+#: Digits of features that are large or come from parts rounded so; six otherwise.
+_DIGITS = dict.fromkeys(("step_mean", "step_skewness", "step_kurtosis", "step_min", "step_max", "drift_norm", "axis_kurtosis", "escape_q1", "escape_median", "escape_q3"), 4) | dict.fromkeys(("l1", "l2", "msd_diffusion"), 3) | {"step_var": 2}
+
+
+@query(f"SELECT * FROM ({_SPANS}) " + " ".join(f"LEFT JOIN ({ORACLE[part]}) USING (n)" for part in _PARTS) + f" LEFT JOIN (SELECT * EXCLUDE (step_var) FROM ({ORACLE['step_autocorr']})) USING (n)")
 def all_features(spark, sf):
-    return rounded(X.all_features(steps(spark, sf)))
+    out = X.all_features(steps(spark, sf))
+    return rounded(out.withColumns({c: F.round(c, d) for c, d in _DIGITS.items()}))
 
 
 _ROI = "b AS (SELECT i AS idx, (i % 6) * 70e0 AS x_min, (i % 6) * 70e0 + 80e0 AS x_max, (i // 6) * 30e0 AS y_min, (i // 6) * 30e0 + 25e0 AS y_max FROM range(18) r(i))"
@@ -218,6 +245,12 @@ def _candidates(spark, sf):
     return R.next_frame_candidates(walk(spark, sf).withColumn("frame", F.floor(F.col("t") / 86400.0)), 10.0)
 
 
-@query()
+_PEAKS = (
+    "o AS (SELECT CAST(i AS INT) AS o FROM range(-4, 5) r(i)), w AS (SELECT CAST(round_even(x / 10e0, 0) + a.o AS BIGINT) AS gx, CAST(round_even(y / 10e0, 0) + b.o AS BIGINT) AS gy, x, y FROM p, o a, o b), "
+    "k AS (SELECT gx, gy, sum(1 - ((gx * 10e0 - x) ** 2 + (gy * 10e0 - y) ** 2) / 625e0) AS density FROM w WHERE (gx * 10e0 - x) ** 2 + (gy * 10e0 - y) ** 2 < 625 GROUP BY gx, gy HAVING density >= 5) "
+)
+
+
+@query(f"WITH {WALK}, {_PEAKS} SELECT gx, gy, {r('density')} FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE abs(b.gx - a.gx) <= 2 AND abs(b.gy - a.gy) <= 2 AND (b.density > a.density + 1e-9 OR (b.density >= a.density - 1e-9 AND (b.gx < a.gx OR (b.gx = a.gx AND b.gy < a.gy)))))")
 def density_peaks(spark, sf):
     return rounded(R.density_peaks(walk(spark, sf), 10.0, 25.0, 5.0))

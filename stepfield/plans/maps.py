@@ -193,6 +193,13 @@ def infer_d_any_dt(spark, sf):
     return rounded(I.infer_any_dt(on_grid(T.to_translocations(walk(spark, sf))).where("dt > 0"), "dd").select("cell", "k", "diffusivity", "a_x", "a_y"), 9)
 
 
+@query()
+def smooth_diffusivity(spark, sf):
+    """Joint map of diffusivity and drift under a smoothness prior; tested by the slope of the whole cost, which must vanish."""
+    cells = I.statistics(_moves(spark, sf)).where("k > 1").join(GRID.cells(spark), "cell")
+    return rounded(I.smooth_joined(cells, G.grid_edges(spark, 10, 5), 5e-10, "dd"), 3)
+
+
 def _evidence(spark, sf):
     m = I.snr(_moves(spark, sf)).where("k > 1")
     d = I.infer_d(_moves(spark, sf)).select("cell", "diffusivity").join(GRID.cells(spark), "cell")
@@ -214,7 +221,13 @@ def force_groups(spark, sf):
     return rounded(I.group_sum(m, groups, "value").select("cell", "group", "group_value"), 4)
 
 
-@query()
+def _quadratic(a: str) -> str:
+    """On a grid the axes separate: two neighbours settle slope and curvature; with one, the least norm of both does."""
+    d, near = f"(j{a} - c_{a})", f"FILTER (abs(j{a} - c_{a}) > 1e-9)"
+    return f"coalesce(sum((jv - value) * {d}) {near} / CASE count(*) {near} WHEN 2 THEN sum({d} ** 2) {near} ELSE sum({d} ** 2 + {d} ** 4) {near} END, 0)"
+
+
+@query(f"WITH {WALK}, {CELLS}, {EDGES}, {_MAP}, {_NEAR} SELECT cell, {r(_quadratic('x'), 'grad_x', 4)}, {r(_quadratic('y'), 'grad_y', 4)} FROM x GROUP BY cell")
 def quadratic_gradient(spark, sf):
     return rounded(V.quadratic_gradient(*_map(spark, sf), "value"), 4)
 
