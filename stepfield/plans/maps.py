@@ -227,9 +227,9 @@ def _quadratic(a: str) -> str:
     return f"coalesce(sum((jv - value) * {d}) {near} / CASE count(*) {near} WHEN 2 THEN sum({d} ** 2) {near} ELSE sum({d} ** 2 + {d} ** 4) {near} END, 0)"
 
 
-@query(f"WITH {WALK}, {CELLS}, {EDGES}, {_MAP}, {_NEAR} SELECT cell, {r(_quadratic('x'), 'grad_x', 4)}, {r(_quadratic('y'), 'grad_y', 4)} FROM x GROUP BY cell")
+@query(f"WITH {WALK}, {CELLS}, {EDGES}, {_MAP}, {_NEAR} SELECT cell, {r(_quadratic('x'), 'grad_x')}, {r(_quadratic('y'), 'grad_y')} FROM x GROUP BY cell")
 def quadratic_gradient(spark, sf):
-    return rounded(V.quadratic_gradient(*_map(spark, sf), "value"), 4)
+    return rounded(V.quadratic_gradient(*_map(spark, sf), "value"))
 
 
 @query()
