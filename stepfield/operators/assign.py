@@ -251,3 +251,9 @@ def nested(parents: DataFrame, children: DataFrame) -> DataFrame:
 
     counts = parents.select(F.col("cell").alias("parent")).join(children.groupBy("parent").agg(F.count("*").alias("k")), "parent", "left").fillna(0, ["k"])
     return children.join(offsets(counts, "parent", "k").select("parent", "base"), "parent").withColumn("cell", (F.col("base") + F.row_number().over(Window.partitionBy("parent").orderBy("child")) - 1).cast("int")).drop("base")
+
+
+def where_cells(assigned: DataFrame, holds: Column) -> DataFrame:
+    """Rows of the cells for whose points an aggregate condition holds."""
+    kept = assigned.groupBy("cell").agg(holds.alias("_holds")).where("_holds").select("cell")
+    return assigned.join(kept, "cell", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +16,16 @@ def _near(maps: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     return edges.select("i", "j").join(a, "i").join(b, "j").where("iv is not null and jv is not null")
 
 
-def _sides(axis: str, eps: float) -> dict[str, Column]:
+def gradient_options(eps: float | None = None, angle: float | None = None) -> dict[str, float]:
+    """How neighbours are chosen: by a margin, or else by the opening of a cone about each axis, in units of pi (0.9 if neither is given)."""
+    return {"eps": eps} if eps is not None else {"angle": angle or 0.9}
+
+
+def _sides(axis: str, eps: float, angle: float | None = None) -> dict[str, Column]:
     d = F.col(f"j{axis}") - F.col(f"i{axis}")
+    if angle is not None:
+        d = 1 - F.acos(d / F.hypot(F.col("jx") - F.col("ix"), F.col("jy") - F.col("iy"))) * (2 / math.pi)
+        eps = 1 - angle
     below, above = d < -eps, d > eps
     return {
         f"{axis}u": F.avg(F.when(below, F.col(f"j{axis}"))), f"{axis}v": F.avg(F.when(above, F.col(f"j{axis}"))),
@@ -30,9 +40,10 @@ def _parabola(x0: Column, y0: Column, xu: Column, yu: Column, xv: Column, yv: Co
     return F.when(xu.isNotNull() & xv.isNotNull(), both).when(xu.isNotNull(), su).when(xv.isNotNull(), sv)
 
 
-def gradient(maps: DataFrame, edges: DataFrame, value: str, eps: float = 1e-9) -> DataFrame:
-    """(cell, grad_x, grad_y): along each axis the neighbours below and above are averaged, and a parabola laid through."""
-    near = _near(maps, edges, value).groupBy("i", "ix", "iy", "iv").agg(*(v.alias(k) for a in ("x", "y") for k, v in _sides(a, eps).items()))
+def gradient(maps: DataFrame, edges: DataFrame, value: str, eps: float = 1e-9, angle: float | None = None) -> DataFrame:
+    """(cell, grad_x, grad_y): along each axis the neighbours below and above are averaged, and a parabola laid through. Neighbours count that lie
+    beyond a margin eps, or, given an angle, within cones of angle * pi about the axis."""
+    near = _near(maps, edges, value).groupBy("i", "ix", "iy", "iv").agg(*(v.alias(k) for a in ("x", "y") for k, v in _sides(a, eps, angle).items()))
     c = F.col
     return near.select(c("i").alias("cell"), *(_parabola(c(f"i{a}"), c("iv"), c(f"{a}u"), c(f"{a}yu"), c(f"{a}v"), c(f"{a}yv")).alias(f"grad_{a}") for a in ("x", "y")))
 
@@ -104,6 +115,30 @@ def grid_curl(maps: DataFrame, nx: int, ny: int, fx: str, fy: str, width: float,
     return turn.where("k = 8").select("cell", (F.col("c") / (4 * width * height)).alias("curl"))
 
 
+def rings(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cell, j, tx, ty): the neighbours of a cell that close a ring about it, each with half the chord from the one before to the one after,
+    counter-clockwise. Neighbours are ordered by direction; a ring is closed if each is a neighbour of the next, so cells at the border have
+    none. A window holds one cell's neighbours."""
+    e = edges.select("i", "j").distinct()
+    at = lambda k: cells.select(F.col("cell").alias(k), F.col("c_x").alias(f"{k}x"), F.col("c_y").alias(f"{k}y"))
+    near = e.join(at("i"), "i").join(at("j"), "j").withColumn("turn", F.atan2(F.col("jy") - F.col("iy"), F.col("jx") - F.col("ix")))
+    w, whole = Window.partitionBy("i").orderBy("turn", "j"), Window.partitionBy("i").orderBy("turn", "j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before, after = (lambda c: F.coalesce(F.lag(c).over(w), F.last(c).over(whole))), (lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole)))
+    ring = near.select("i", "j", after("j").alias("next"), *(((after(f"j{a}") - before(f"j{a}")) / 2).alias(f"t{a}") for a in ("x", "y")))
+    ring = ring.join(e.select(F.col("i").alias("j"), F.col("j").alias("next"), F.lit(1).alias("joined")), ["j", "next"], "left")
+    own = Window.partitionBy("i")
+    ring = ring.withColumns({"joints": F.count("joined").over(own), "size": F.count("*").over(own)})
+    return ring.where("size > 2 and joints = size").select(F.col("i").alias("cell"), "j", "tx", "ty")
+
+
+def ring_curl(maps: DataFrame, edges: DataFrame, fx: str, fy: str) -> DataFrame:
+    """(cell, curl): circulation of a field along the ring of neighbours over the area inside it, which is the cell's own volume; for cells of any
+    shape. Neighbours of null field add nothing; a volume of 0 gives 0."""
+    field = maps.select(F.col("cell").alias("j"), F.col(fx).alias("fx"), F.col(fy).alias("fy"))
+    turn = rings(maps, edges).join(field, "j").groupBy("cell").agg(F.sum(F.coalesce(F.col("fx") * F.col("tx") + F.col("fy") * F.col("ty"), F.lit(0.0))).alias("c"))
+    return turn.join(maps.select("cell", "volume"), "cell").select("cell", F.when(F.abs("volume") > 1e-8, F.col("c") / F.col("volume")).otherwise(0.0).alias("curl"))
+
+
 def quadratic_gradient(maps: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """(cell, grad_x, grad_y): least-squares quadratic surface through a cell and its neighbours, in coordinates about the cell, which must lie on
     it; with too few neighbours the surface of least norm. A group is one cell's neighbourhood."""

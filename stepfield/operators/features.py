@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfield.functions.columns import along
@@ -133,6 +133,56 @@ def ergodicity(df: DataFrame, lag: int = 1, omega: float = 1.0) -> DataFrame:
     return e.groupBy("n").agg(*((F.pow(F.avg(F.cos(c)), 2) + F.pow(F.avg(F.sin(c)), 2)).alias(f"ergodicity_{c[1]}") for c in ("dx", "dy")))
 
 
+def _spread(last: Column) -> Column:
+    """At most seven lags from 1 to `last`, evenly spaced and rounded down."""
+    m = F.least(last + 1, F.lit(7))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), m - 1), lambda k: F.when(m > 1, (F.lit(1) + F.floor(k * (last - 1) / F.greatest(m - 1, F.lit(1)))).cast("int")).otherwise(F.lit(1))))
+
+
+def _mean_phase(rows: DataFrame, axes: Sequence[str], omega: float) -> DataFrame:
+    """rows (n, i, last, axes) -> (n, c_<axis>, s_<axis>): mean over lags of the mean cosine and sine of omega times the change over a lag. A row meets
+    the row a lag later by key (n, i), which no trajectory's length makes hot."""
+    spread = rows.select("n", "i", *axes, F.explode(_spread(F.col("last"))).alias("lag")).withColumn("i", F.col("i") + F.col("lag"))
+    later = rows.select("n", "i", *(F.col(a).alias(f"{a}_") for a in axes))
+    d = {a: (F.col(f"{a}_") - F.col(a)) * omega for a in axes}
+    per = spread.join(later, ["n", "i"]).groupBy("n", "lag").agg(*(f(F.avg(g(d[a]))) for a in axes for f, g in ((lambda c, a=a: c.alias(f"c_{a}"), F.cos), (lambda c, a=a: c.alias(f"s_{a}"), F.sin))))
+    return per.groupBy("n").agg(*(F.avg(f"{p}_{a}").alias(f"{p}_{a}") for a in axes for p in "cs"))
+
+
+def ergodicity_breaking(df: DataFrame, omega: float = 2.0) -> DataFrame:
+    """(n, ergo_x, ergo_y, ergo2_x, ergo2_y): two estimators, near 0 for ergodic motion: of steps scaled by their root mean square, and of positions."""
+    w, p, axes = along(), Window.partitionBy("n"), ("x", "y")
+    rows = df.select("n", "t", "row_id", *axes).withColumns({"i": F.row_number().over(w), **{f"d{a}": F.lead(a).over(w) - F.col(a) for a in axes}, **{f"{a}0": F.first(a).over(w) for a in axes}})
+    rows = rows.withColumns({"size": F.count("*").over(p), **{f"r{a}": F.sqrt(F.avg(F.col(f"d{a}") * F.col(f"d{a}")).over(p)) for a in axes}})
+    scaled = rows.where("dx is not null").select("n", "i", (F.col("size") - 2).cast("int").alias("last"), *((F.col(f"d{a}") / F.when(F.col(f"r{a}") < 1e-8, 1.0).otherwise(F.col(f"r{a}"))).alias(a) for a in axes))
+    square = lambda c: F.pow(F.avg(F.cos(c)), 2) + F.pow(F.avg(F.sin(c)), 2)
+    one = _mean_phase(scaled.where("last > 0"), axes, 1.0).join(scaled.groupBy("n").agg(*(square(F.col(a)).alias(f"q_{a}") for a in axes)), "n")
+    one = one.select("n", *(F.hypot(F.col(f"c_{a}") - F.col(f"q_{a}"), F.col(f"s_{a}")).alias(f"ergo_{a}") for a in axes))
+    places = rows.where("size > 1").select("n", "i", (F.col("size") - 1).cast("int").alias("last"), *axes)
+    size = rows.where("size > 1").groupBy("n").agg(F.count("*").alias("size"), *(square((F.col(a) - F.col(f"{a}0")) * omega).alias(f"q_{a}") for a in axes))
+    two = _mean_phase(places, axes, omega).join(size, "n")
+    shift = lambda a: 1 / F.col("size") - F.col(f"q_{a}") / (F.col("size") * (F.col("size") + 1))
+    two = two.select("n", *(F.hypot(F.col(f"c_{a}") + shift(a), F.col(f"s_{a}")).alias(f"ergo2_{a}") for a in axes))
+    return two.join(one, "n", "left")
+
+
+def fractal_slope(df: DataFrame, centres: int = 30, radii: int = 20, largest: float = 0.5) -> DataFrame:
+    """(n, frac_slope): a third of the difference of the fractal spectrum at 1.5 and at -1.5, each the intercept over radii of a logarithm of the mean
+    power of the share of positions within a radius of a centre. The feature looks from at most `centres` positions, those of the least md5 of
+    row_id; all positions count about each of them. Trajectories that never move have none."""
+    places = df.select("n", "row_id", "x", "y").where("x is not null and y is not null")
+    chosen = Window.partitionBy("n").orderBy(F.md5(F.col("row_id").cast("string")), "row_id")
+    at = places.withColumn("q", F.row_number().over(chosen)).where(F.col("q") <= centres).select("n", "q", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    pairs = places.select("n", "x", "y").join(at, "n").select("n", "q", F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")).alias("d"))
+    top = pairs.groupBy("n").agg(F.least(F.max("d"), F.lit(largest)).alias("top")).where("top > 0")
+    r = lambda k: F.col("top") * float(4.0 ** (k / (radii - 1) - 1))
+    within = pairs.join(top, "n").groupBy("n", "top", "q").agg(F.count("*").alias("size"), F.array(*(F.count(F.when(F.col("d") < r(k), 1)) for k in range(radii))).alias("near"))
+    share = within.select("n", "top", "size", F.posexplode("near")).select("n", "pos", (F.col("col") / F.col("size")).alias("z"), (F.col("top") * F.pow(F.lit(4.0), F.col("pos") / (radii - 1) - 1)).alias("r"))
+    d = {s: F.log("r") / (q - 1) * F.log(F.avg(F.pow("z", F.lit(q - 1)))) for s, q in (("low", -1.5), ("high", 1.5))}
+    spectrum = share.groupBy("n", "pos", "r").agg(*(v.alias(s) for s, v in d.items())).where("r <> 1")
+    return spectrum.groupBy("n").agg(((F.regr_intercept("high", "r") - F.regr_intercept("low", "r")) / 3).alias("frac_slope"))
+
+
 def sliding(df: DataFrame, rows: int) -> DataFrame:
     """Mean and deviation of steps over windows of rows about each row; edges use the rows there are."""
     w = along().rowsBetween(-(rows // 2), (rows - 1) // 2)
@@ -183,8 +233,14 @@ def hull_measures(points: np.ndarray) -> tuple[float, float]:
     return abs(float((h[:, 0] * nxt[:, 1] - nxt[:, 0] * h[:, 1]).sum())) / 2, float(np.hypot(*(nxt - h).T).sum())
 
 
+def hull_diameter(points: np.ndarray) -> float:
+    """The largest distance between two positions, which are corners of the hull."""
+    h = _hull(points)
+    return max((float(np.hypot(*(h - q).T).max()) for q in h), default=0.0)
+
+
 def convex_hull(df: DataFrame, key: str = "n") -> DataFrame:
-    """Area and perimeter of the hull of each group's positions. Directional extremes first: a map-side reduction to hulls of slices, so
+    """Area, perimeter and diameter of the hull of each group's positions. Directional extremes first: a map-side reduction to hulls of slices, so
     no task holds a whole group; hulls of hulls are exact."""
 
     def reduce(batches):
@@ -198,12 +254,13 @@ def convex_hull(df: DataFrame, key: str = "n") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([key_] * len(h), b.schema.field(0).type), pa.array(h[:, 0]), pa.array(h[:, 1])], names=[key, "x", "y"])
 
     def measure(table: pa.Table) -> pa.Table:
-        area, perimeter = hull_measures(np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], 1))
-        return pa.table({key: table.column(key).slice(0, 1), "hull_area": [area], "hull_perimeter": [perimeter]})
+        points = np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], 1)
+        area, perimeter = hull_measures(points)
+        return pa.table({key: table.column(key).slice(0, 1), "hull_area": [area], "hull_perimeter": [perimeter], "hull_diameter": [hull_diameter(points)]})
 
     kind = dict(df.dtypes)[key]
     corners = df.select(key, "x", "y").dropna().mapInArrow(reduce, f"{key} {kind}, x double, y double")
-    return corners.groupBy(key).applyInArrow(measure, f"{key} {kind}, hull_area double, hull_perimeter double")
+    return corners.groupBy(key).applyInArrow(measure, f"{key} {kind}, hull_area double, hull_perimeter double, hull_diameter double")
 
 
 def all_features(df: DataFrame, lags: Sequence[int] = LAGS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfield.sources.storage import checkpointed
@@ -289,3 +289,8 @@ def density(counts: DataFrame, volumes: DataFrame, scale: float = 1.0, least: fl
     """Points per volume; cells of no more than the least volume have none."""
     v = F.when(F.col("volume") > least, F.col("volume"))
     return counts.join(volumes.select("cell", "volume"), "cell").select("cell", (F.col("k") / v * scale).alias("density"))
+
+
+def truth(cells: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """Known fields, as expressions of c_x and c_y, at the cells' centres."""
+    return cells.select("cell", *(e.alias(k) for k, e in fields.items()))

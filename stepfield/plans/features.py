@@ -149,7 +149,7 @@ _HULL = (
 )
 
 
-@query(f"WITH {WALK}, {_HULL}, m AS (SELECT n, abs(sum(px * qy - qx * py)) / 2 AS area, sum(sqrt((qx - px) ** 2 + (qy - py) ** 2)) AS perimeter FROM h GROUP BY n) SELECT n, {r('coalesce(area, 0)', 'hull_area', 4)}, {r('coalesce(perimeter, 0)', 'hull_perimeter', 4)} FROM (SELECT DISTINCT n FROM u) LEFT JOIN m USING (n)")
+@query(f"WITH {WALK}, {_HULL}, m AS (SELECT n, abs(sum(px * qy - qx * py)) / 2 AS area, sum(sqrt((qx - px) ** 2 + (qy - py) ** 2)) AS perimeter FROM h GROUP BY n), w AS (SELECT n, max(sqrt((qx - px) ** 2 + (qy - py) ** 2)) AS wide FROM e GROUP BY n) SELECT n, {r('coalesce(area, 0)', 'hull_area', 4)}, {r('coalesce(perimeter, 0)', 'hull_perimeter', 4)}, {r('coalesce(wide, 0)', 'hull_diameter', 4)} FROM (SELECT DISTINCT n FROM u) LEFT JOIN m USING (n) LEFT JOIN w USING (n)")
 def convex_hull(spark, sf):
     return rounded(X.convex_hull(walk(spark, sf)), 4)
 

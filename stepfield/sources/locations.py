@@ -101,6 +101,11 @@ def write_ascii(df: DataFrame, path: str, columns: Iterable[str], header: bool =
     df.select(*columns).write.option("sep", "\t").option("header", header).csv(path)
 
 
+def write_roi(boxes: DataFrame, path: str) -> None:
+    """Regions of interest as the tab-separated bounds that read_roi reads."""
+    write_ascii(boxes, path, ["x_min", "x_max", "y_min", "y_max"])
+
+
 def read_roi(spark: SparkSession, path: str, size: float | None = None, label: str = "roi") -> DataFrame:
     """Regions of interest from tab-separated text: centres (x, y) with a side length, or bounds (x_min, x_max, y_min, y_max)."""
     rows = spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(path)
