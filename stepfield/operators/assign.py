@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfield.operators.boxes import points_in_boxes
-from stepfield.sources.storage import checkpointed
+from stepfield.sources.storage import checkpointed, stored
 
 #: Centres that are tried for every point as one literal array; more are looked up by grid bucket.
 FEW_CENTRES = 4096
@@ -31,14 +31,13 @@ def nearest(df: DataFrame, cells: DataFrame, few: int = FEW_CENTRES) -> DataFram
 def nearest_bucketed(df: DataFrame, cells: DataFrame, width: float | None = None, rounds: int = 3) -> DataFrame:
     """The same for many centres: centres are dealt to the 3 x 3 buckets round their own; a centre found within a bucket's width is
     the nearest, points without one are tried again with buckets twice as wide. What `rounds` leave over is searched by boxes of centres.
-    Points of a null coordinate have a null cell. df needs row_id, and raises if it is not unique."""
+    Points of a null coordinate have a null cell. Rows are numbered inside, so any may repeat."""
     k, x0, x1, y0, y1 = cells.agg(F.count("*"), F.min("c_x"), F.max("c_x"), F.min("c_y"), F.max("c_y")).first()
     if not k:
         return df.withColumns({"cell": F.lit(None).cast(cells.schema["cell"].dataType), "distance": F.lit(None).cast("double")})
     width = width or max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) / k), 1e-9)
     names = df.columns
-    if df.groupBy("row_id").count().where("count > 1").limit(1).count():
-        raise ValueError("row_id is not unique")
+    df = stored(df.withColumn("_row", F.monotonically_increasing_id()))
     some = F.col("x").isNotNull() & F.col("y").isNotNull()
     out = df.where(~some).select(*names, F.lit(None).cast(cells.schema["cell"].dataType).alias("cell"), F.lit(None).cast("double").alias("distance"))
     left = df.where(some)
@@ -48,8 +47,8 @@ def nearest_bucketed(df: DataFrame, cells: DataFrame, width: float | None = None
         around = F.expr("explode(flatten(transform(sequence(-1,1), i -> transform(sequence(-1,1), j -> named_struct('i', i, 'j', j)))))")
         dealt = cells.select("cell", "c_x", "c_y", around.alias("o")).select("cell", "c_x", "c_y", (F.floor(F.col("c_x") / width) + F.col("o.i")).alias("_i"), (F.floor(F.col("c_y") / width) + F.col("o.j")).alias("_j"))
         tried = left.select("*", *b).join(dealt, ["_i", "_j"])
-        best = tried.withColumn("_d", d).groupBy("row_id").agg(F.min(F.struct("_d", "cell")).alias("_b")).where(F.col("_b._d") <= width)
-        marked = checkpointed(left.join(best, "row_id", "left"))
+        best = tried.withColumn("_d", d).groupBy("_row").agg(F.min(F.struct("_d", "cell")).alias("_b")).where(F.col("_b._d") <= width)
+        marked = checkpointed(left.join(best, "_row", "left"))
         out = out.unionByName(marked.where("_b is not null").select(*names, F.col("_b.cell").alias("cell"), F.col("_b._d").alias("distance")))
         left = marked.where("_b is null").drop("_b")
         if left.isEmpty():
@@ -60,7 +59,7 @@ def nearest_bucketed(df: DataFrame, cells: DataFrame, width: float | None = None
 
 def _nearest_by_boxes(df: DataFrame, cells: DataFrame, bounds: tuple, side: int = 32) -> DataFrame:
     """Exact for points anywhere: centres lie in at most side x side boxes; a point is joined with the centres of those boxes alone that may
-    hold one nearer than the farthest corner of another box."""
+    hold one nearer than the farthest corner of another box. Rows are numbered by _row."""
     x0, x1, y0, y1 = bounds
     at = [F.least(F.floor((F.col(c) - a) / ((b - a) / side or 1.0)), F.lit(side - 1)).cast("int") for c, a, b in (("c_x", x0, x1), ("c_y", y0, y1))]
     boxed = cells.select("cell", "c_x", "c_y", (at[0] * side + at[1]).alias("_box"))
@@ -68,10 +67,10 @@ def _nearest_by_boxes(df: DataFrame, cells: DataFrame, bounds: tuple, side: int
     boxes = "array(" + ",".join(f"named_struct('k',{r[0]},'a',{r[1]!r}D,'b',{r[2]!r}D,'c',{r[3]!r}D,'d',{r[4]!r}D)" for r in sorted(rows)) + ")"
     reach = F.expr(f"array_min(transform({boxes}, q -> hypot(greatest(x - q.a, q.b - x), greatest(y - q.c, q.d - y))))")
     near = F.expr(f"transform(filter({boxes}, q -> hypot(greatest(q.a - x, 0D, x - q.b), greatest(q.c - y, 0D, y - q.d)) <= _reach * (1 + 1e-12D)), q -> q.k)")
-    tried = df.withColumn("_reach", reach).withColumn("_box", F.explode(near)).select("row_id", "x", "y", "_box").join(boxed, "_box")
+    tried = df.withColumn("_reach", reach).withColumn("_box", F.explode(near)).select("_row", "x", "y", "_box").join(boxed, "_box")
     d = F.hypot(F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y"))
-    best = tried.groupBy("row_id").agg(F.min(F.struct(d.alias("_d"), "cell")).alias("_b"))
-    return df.join(best, "row_id").withColumns({"cell": F.col("_b.cell"), "distance": F.col("_b._d")}).drop("_b")
+    best = tried.groupBy("_row").agg(F.min(F.struct(d.alias("_d"), "cell")).alias("_b"))
+    return df.join(best, "_row").withColumns({"cell": F.col("_b.cell"), "distance": F.col("_b._d")}).drop("_b")
 
 
 def within(df: DataFrame, cells: DataFrame, radius: float) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepfield.operators.potential import SIGMA2, SWEEPS, infer_dv
 from stepfield.sources.storage import checkpointed
 
-SIGMA2, SWEEPS = 0.03**2, 4
-
 
 def statistics(steps: DataFrame, *by: str) -> DataFrame:
     """Sufficient statistics of a constant time step: k, s (sum of squares), m_x, m_y (sums), dt (mean), dt_max."""
@@ -90,39 +91,9 @@ def infer_any_dt(steps: DataFrame, mode: str = "d", sigma2: float = SIGMA2, jeff
     return steps.select(F.col("cell").cast("int"), "dx", "dy", "dt").groupBy("cell").applyInArrow(run, "cell int, k long, diffusivity double, a_x double, a_y double")
 
 
-def smooth(cells: DataFrame, edges: DataFrame, prior: float, mode: str = "d", sigma2: float = SIGMA2, rounds: int = 200, rate: float = 0.2) -> list[dict]:
-    """Joint maps over cells (statistics() with volume): the per-cell posteriors and `prior` times volume times the squared differences of D
-    between neighbours, minimised on the driver over log D by damped gradient steps. One row per cell reaches the driver."""
-    rows = {r.cell: r for r in cells.collect()}
-    ids = sorted(rows)
-    at = {c: k for k, c in enumerate(ids)}
-    pairs = np.array([(at[e.i], at[e.j]) for e in edges.select("i", "j").collect() if e.i in at and e.j in at], np.int64).reshape(-1, 2)
-    k, s, mx, my, dt = (np.array([float(rows[c][f]) for c in ids]) for f in ("k", "s", "m_x", "m_y", "dt"))
-    v = np.array([float(rows[c]["volume"]) if "volume" in cells.columns else 1.0 for c in ids])
-    r = s if mode == "d" else s - (mx**2 + my**2) / k
-    x = np.log(np.maximum((r / (4 * k) - sigma2) / dt, 1e-9))
-    for _ in range(rounds):
-        d = np.exp(x)
-        scale = d * dt + sigma2
-        slope = (k / scale - r / (4 * scale**2)) * dt * d
-        curve = np.abs((k / scale) * dt * d) + 1e-9
-        diff = d[pairs[:, 0]] - d[pairs[:, 1]]
-        np.add.at(slope, pairs[:, 0], 4 * prior * v[pairs[:, 0]] * diff * d[pairs[:, 0]])
-        np.add.at(curve, pairs[:, 0], 4 * prior * v[pairs[:, 0]] * d[pairs[:, 0]] ** 2)
-        x -= np.clip(rate * slope / curve, -1, 1)
-    d = np.exp(x)
-    out = []
-    for c, n in at.items():
-        row = {"cell": c, "diffusivity": float(d[n])}
-        if mode != "d":
-            f = 1 / (k[n] * dt[n]) / (d[n] if mode == "df" else 1)
-            row |= {"a_x": float(mx[n] * f), "a_y": float(my[n] * f)}
-        out.append(row)
-    return out
-
-
 def smooth_joined(cells: DataFrame, edges: DataFrame, prior: float, mode: str = "d", sigma2: float = SIGMA2, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
-    """The same maps for many cells, in rounds of edge joins: (cell, diffusivity), with drift (mode dd) or force (df) as a_x, a_y. A cell's part
+    """Joint maps over cells (statistics() with volume): the per-cell posteriors and `prior` times volume times the squared differences of D between
+    neighbours, in rounds of edge joins: (cell, diffusivity), with drift (mode dd) or force (df) as a_x, a_y. A cell's part
     of the cost, given its neighbours' last diffusivities, is settled by bisection in one expression; SWEEPS of them are written at a time.
     Ends when no diffusivity moves by more than `tolerance` of the mean one, and raises if `rounds` don't settle it: a prior that outweighs
     the steps takes many. Only that one number reaches the driver; cells without steps have no row."""
@@ -161,49 +132,6 @@ def smooth_joined(cells: DataFrame, edges: DataFrame, prior: float, mode: str =
     return out.select("cell", "diffusivity", (F.col("m_x") / per).alias("a_x"), (F.col("m_y") / per).alias("a_y"))
 
 
-def infer_dv(cells: DataFrame, edges: DataFrame, v_prior: float = 0.05, d_prior: float = 0.05, sigma2: float = SIGMA2, rounds: int = 400) -> list[dict]:
-    """Diffusivity and potential: drift is -D grad V, with grad V by least squares over neighbours; penalties on both maps' differences. Cells
-    need c_x, c_y. Minimised on the driver by alternating a linear solve for V and Newton steps for D; V is shifted to a minimum of 0."""
-    rows = {r.cell: r for r in cells.collect()}
-    ids = sorted(rows)
-    at = {c: n for n, c in enumerate(ids)}
-    n = len(ids)
-    near: list[list[int]] = [[] for _ in ids]
-    for e in edges.select("i", "j").collect():
-        if e.i in at and e.j in at:
-            near[at[e.i]].append(at[e.j])
-    k, s, mx, my, dt, cx, cy = (np.array([float(rows[c][f]) for c in ids]) for f in ("k", "s", "m_x", "m_y", "dt", "c_x", "c_y"))
-    gx, gy, lap = np.zeros((n, n)), np.zeros((n, n)), np.zeros((n, n))
-    for i, js in enumerate(near):
-        if not js:
-            continue
-        delta = np.stack([cx[js] - cx[i], cy[js] - cy[i]], 1)
-        inverse = np.linalg.pinv(delta)
-        for g, w in ((gx, inverse[0]), (gy, inverse[1])):
-            g[i, js] += w
-            g[i, i] -= w.sum()
-        lap[i, i] += len(js)
-        lap[i, js] -= 1
-    d = np.maximum((s / (4 * k) - sigma2) / dt, 1e-9)
-    v = np.zeros(n)
-    for _ in range(max(1, rounds // 20)):
-        scale = d * dt + sigma2
-        w = k * (d * dt) ** 2 / (2 * scale)
-        a = gx.T * w @ gx + gy.T * w @ gy + v_prior * lap + 1e-9 * np.eye(n)
-        b = -(gx.T @ (d * dt * mx / (2 * scale)) + gy.T @ (d * dt * my / (2 * scale)))
-        v = np.linalg.solve(a, b)
-        vx, vy = gx @ v, gy @ v
-        for _ in range(20):
-            scale = d * dt + sigma2
-            r = s + 2 * d * dt * (mx * vx + my * vy) + k * (d * dt) ** 2 * (vx**2 + vy**2)
-            slope = (k / scale - r / (4 * scale**2) + (2 * (mx * vx + my * vy) + 2 * k * d * dt * (vx**2 + vy**2)) / (4 * scale)) * dt + 2 * d_prior * (lap @ d)
-            curve = np.abs(k / scale**2) * dt**2 + 2 * d_prior * np.diag(lap) + 1e-12
-            d = np.maximum(d - 0.3 * slope / curve, 1e-9)
-    v -= v.min() if n else 0
-    fx, fy = -gx @ v, -gy @ v
-    return [{"cell": c, "diffusivity": float(d[i]), "potential": float(v[i]), "force_x": float(fx[i]), "force_y": float(fy[i])} for c, i in at.items()]
-
-
 def snr(steps: DataFrame) -> DataFrame:
     """Per cell: k, mean step, biased variance, that of all other cells, and zeta_total = mean / sqrt(variance), for cells of more than one step. One shuffle
     to per-cell sums; the totals are one row."""
@@ -248,7 +176,7 @@ def merge_small(counts: DataFrame, cells: DataFrame, edges: DataFrame, least: in
 
 
 #: Modes by name, as plug-ins are looked up.
-MODES = {"d": infer_d, "dd": infer_dd, "ddrift": infer_dd, "df": infer_df, "unsmooth.d": infer_d, "unsmooth.dd": infer_dd, "unsmooth.df": infer_df, "snr": snr, "d.conj_prior": conjugate_map, "smooth.d": smooth, "dv": infer_dv}
+MODES = {"d": infer_d, "dd": infer_dd, "ddrift": infer_dd, "df": infer_df, "unsmooth.d": infer_d, "unsmooth.dd": infer_dd, "unsmooth.df": infer_df, "snr": snr, "d.conj_prior": conjugate_map, "smooth.d": smooth_joined, "smooth.dd": partial(smooth_joined, mode="dd"), "smooth.df": partial(smooth_joined, mode="df"), "dv": infer_dv}
 
 
 def group_sum(maps: DataFrame, groups: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,7 @@ from stepfield.operators import derive as V
 from stepfield.operators import graph as G
 from stepfield.operators import infer as I
 from stepfield.operators import trajectory as T
+from stepfield.operators.tessellate import Grid
 from stepfield.plans.common import CELL, CELLS, EDGES, GRID, MOVES, STEPS, WALK, on_grid, r, rounded, steps, walk
 from stepfield.plans.registry import query
 
@@ -238,3 +239,20 @@ def spherical_density(spark, sf):
     df = on_grid(walk(spark, sf))
     volumes = I.spherical_volume(df, G.grid_edges(spark, 10, 5))
     return rounded(I.density(A.counts(df, GRID.cells(spark)), volumes, least=1e-9), 6)
+
+
+@query()
+def potential_map(spark, sf):
+    """Diffusivity and potential together on a grid of ten cells; tested by the slopes of the whole cost, which must vanish. The prior of D is in units
+    of the table's own, large, diffusivities."""
+    grid = Grid(0.0, 0.0, 100.0, 50.0, 5, 2)
+    moves = T.to_translocations(steps(spark, sf)).withColumn("cell", grid.cell())
+    cells = I.statistics(moves).where("k > 1").join(grid.cells(spark), "cell")
+    return rounded(I.infer_dv(cells, G.grid_edges(spark, 5, 2), 1.0, 5e-10, tolerance=0.05), 2)
+
+
+@query()
+def smooth_forces(spark, sf):
+    """Joint map of diffusivity and force under a smoothness prior; tested by the slope of the whole cost, which must vanish."""
+    cells = I.statistics(_moves(spark, sf)).where("k > 1").join(GRID.cells(spark), "cell")
+    return rounded(I.MODES["smooth.df"](cells, G.grid_edges(spark, 10, 5), 5e-10), 3)

@@ -28,3 +28,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """df written as Parquet to the shared folder and read again. Unlike a checkpoint it is computed once, and the optimizer carries nothing over from
+    the plan before, which in long loops of expressions would grow from round to round."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -111,22 +111,6 @@ def test_closed_form_is_the_optimum(spark, mode):
         assert numeric.a_x == pytest.approx(closed.drift_x, rel=1e-5)
 
 
-def test_smooth_and_potential_modes(spark):
-    rng = np.random.default_rng(4)
-    rows = [(c, *(d * rng.standard_normal(2)).tolist()) for c, d in ((0, 0.1), (1, 0.2), (2, 0.3)) for _ in range(300)]
-    steps = spark.createDataFrame(rows, "cell int, dx double, dy double").withColumn("dt", F.lit(0.05))
-    cells = infer.statistics(steps).withColumns({"c_x": F.col("cell").cast("double"), "c_y": F.lit(0.0), "volume": F.lit(1.0)})
-    edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1)], "i int, j int")
-    free = {r["cell"]: r["diffusivity"] for r in infer.smooth(cells, edges, 0.0)}
-    exact = {r.cell: r.diffusivity for r in infer.infer_d(steps).collect()}
-    for c in exact:
-        assert free[c] == pytest.approx(exact[c], rel=1e-3)
-    tied = [r["diffusivity"] for r in infer.smooth(cells, edges, 1e4)]
-    assert max(tied) - min(tied) < max(free.values()) - min(free.values())
-    dv = infer.infer_dv(cells, edges)
-    assert len(dv) == 3 and min(r["potential"] for r in dv) == 0
-
-
 def test_bayes_factor_fixture():
     assert 10 ** bayes.log10_factor((0.7, 0.4), (0.8, 0.6), 20, 0.64, 0.95 * 0.64, 0.01) == pytest.approx(0.2974282533, rel=1e-6)
     assert bayes.minimal_steps((0.7, 0.4), (0.0, 0.0), 5, 0.64, 0.64) > 5
