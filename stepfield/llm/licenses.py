@@ -1,8 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
 A block is a window of as many consecutive words as 1 / `threshold` times the template's own, over line ends, so wrapped notices
-are found and words scattered over a long line are not. A template is found in a block that holds at least `threshold` of the
-template's distinct words, all of those that it requires, and none of those that tell its siblings (templates of one family) apart.
+are found and words scattered over a long line are not. A template is found in every block that holds at least `threshold` of the
+template's distinct words; `found` has each label with its best containment, and leaves none out. Labels come from what is found: where
+blocks of different labels overlap, the one of the higher containment counts, of equal ones that of more words, of equal ones both.
 Template words are ordered by the number of texts of the whole corpus that hold them, rarest first. A text with such a block must
 hold one of the first |T| - a + 1 words of the template (prefix; a: the words it needs) and at least a words (length); and
 a first common word at places i and j leaves at most 1 + min(rest of T, rest of the text's template words) common words
@@ -28,46 +29,47 @@ from stepfield.llm.common import bounded_batches
 THRESHOLD = 0.8
 #: Phrases and the labels that they prove.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Fixed values: (label, family, required words, notice). Several notices may have one label. Texts of public licenses.
+#: Fixed values: (label, notice). Several notices may have one label. Texts of public licenses.
 TEMPLATES = (
-    ("mit", "mit", "mit", "Released under the MIT License"),
-    ("mit", "mit", "deal restriction", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+    ("mit", "The MIT License"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
         files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
         sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""),
-    ("apache-2", "apache", "apache 2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "apache", "apache 2", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+    ("apache-2", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
         You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the
         License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""),
-    ("cc-by-nc", "cc", "cc nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "cc", "cc sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by", "cc", "cc by", "Licensed under CC BY 4.0"),
-    ("cc-by-nc", "cc", "noncommercial commons", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-sa", "cc", "sharealike commons", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-nd", "cc", "noderivatives commons", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
-    ("cc-by", "cc", "attribution commons", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc0", "cc0", "waived copyright", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    ("gpl-3", "gpl", "gnu general 3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "gpl", "gnu general", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+    ("cc-by-nc", "CC BY-NC 4.0"),
+    ("cc-by-sa", "CC BY-SA 4.0"),
+    ("cc-by", "CC BY 4.0"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", "GNU General Public License"),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
         the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
         WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""),
-    ("gpl", "gpl", "gnu general", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("lgpl", "gpl", "gnu lesser", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("agpl", "gpl", "gnu affero", "Licensed under the GNU Affero General Public License"),
-    ("agpl", "gpl", "gnu affero", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"),
-    ("mpl-2", "mpl", "mozilla 2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("bsd", "bsd", "redistribution binary", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
         Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
         copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
-    ("bsd", "bsd", "redistribution binary", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "isc", "fee purpose", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("zlib", "zlib", "acknowledgment altered", """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it
         freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in
         a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such"""),
-    ("unlicense", "unlicense", "unencumbered", "This is free and unencumbered software released into the public domain"),
-    ("proprietary", "proprietary", "all rights reserved", "All rights reserved"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("proprietary", "All rights reserved"),
 )
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
-RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, found string"
 
 
 def words(data: bytes) -> list[bytes]:
@@ -76,20 +78,18 @@ def words(data: bytes) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Templates as word lists, rarest first; the words each needs, requires and must not meet; its window's length; rank of each
-    template word; prefix word -> (template, place) pairs."""
+    """Templates as word lists, rarest first; the words each needs; its window's length; rank of each template word; prefix word ->
+    (template, place) pairs."""
 
     labels: list[str]
     sets: list[list[bytes]]
     need: list[int]
-    required: list[frozenset[bytes]]
-    foreign: list[frozenset[bytes]]
     span: list[int]
     rank: dict[bytes, int]
     prefix: dict[bytes, list[tuple[int, int]]]
 
     def candidates(self, distinct: set[bytes]) -> list[int]:
-        """The templates that a text of these words may hold a block of: prefix, length and positional filters, then the words it requires."""
+        """The templates that a text of these words may hold a block of: prefix, length and positional filters."""
         held = sorted(distinct & self.rank.keys(), key=self.rank.__getitem__)
         seen, out = set(), []
         for j, w in enumerate(held):
@@ -97,40 +97,51 @@ class Index:
                 if t in seen or len(distinct) < self.need[t] or 1 + min(len(self.sets[t]) - i - 1, len(held) - j - 1) < self.need[t]:
                     continue
                 seen.add(t)
-                if self.required[t] <= distinct and sum(x in distinct for x in self.sets[t]) >= self.need[t]:
+                if sum(x in distinct for x in self.sets[t]) >= self.need[t]:
                     out.append(t)
         return out
 
-    def found(self, ws: list[bytes]) -> dict[int, float]:
-        """The templates that are found in a block of the text, and their best containment."""
+    def blocks(self, ws: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
+        """For each template found its blocks (first word, last word, distinct words): at every word of the template the window that ends there."""
         templates = self.candidates(set(ws))
-        if not templates:
-            return {}
-        held, out = [(p, w) for p, w in enumerate(ws) if w in self.rank], {}
+        held, out = [(p, w) for p, w in enumerate(ws) if w in self.rank] if templates else [], {}
         for t in templates:
-            mine, foreign, required, span, need = frozenset(self.sets[t]), self.foreign[t], self.required[t], self.span[t], self.need[t]
-            places = [(p, w) for p, w in held if w in mine or w in foreign]
-            inside, bad, left, best = Counter(), 0, 0, 0
-            for place, w in places:
-                if w in mine:
-                    inside[w] += 1
-                else:
-                    bad += 1
-                while place - places[left][0] >= span:
-                    gone = places[left][1]
-                    if gone in mine:
-                        inside[gone] -= 1
-                        if not inside[gone]:
-                            del inside[gone]
-                    else:
-                        bad -= 1
+            mine, span, need = frozenset(self.sets[t]), self.span[t], self.need[t]
+            own = [(p, w) for p, w in held if w in mine]
+            inside, left = Counter(), 0
+            for place, w in own:
+                inside[w] += 1
+                while place - own[left][0] >= span:
+                    gone = own[left][1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
                     left += 1
-                if len(inside) >= need and not bad and all(x in inside for x in required):
-                    best = max(best, len(inside))
-            if best:
-                out[t] = best / len(mine)
+                if len(inside) >= need:
+                    out.setdefault(t, []).append((own[left][0], place, len(inside)))
         return out
 
+    def labelled(self, blocks: dict[int, list[tuple[int, int, int]]]) -> set[str]:
+        """The labels of blocks that no better block of another label overlaps."""
+        out = set()
+        for t, own in blocks.items():
+            rivals = [(n / len(self.sets[k]), n, a, b) for k, other in blocks.items() if self.labels[k] != self.labels[t] for a, b, n in other]
+            if not rivals:
+                out.add(self.labels[t])
+                continue
+            best = _highest_over(rivals, max(b for *_, b in own + [(0, r[3]) for r in rivals]) + 1)
+            if any((n / len(self.sets[t]), n) >= best(a, b) for a, b, n in own):
+                out.add(self.labels[t])
+        return out
+
+
+def _highest_over(rivals: list[tuple[float, int, int, int]], end: int):
+    """(first, last) -> the highest (containment, words) of the rivals (containment, words, first, last) that overlap these places."""
+    at = [(0.0, 0)] * end
+    for c, n, a, b in sorted(rivals):
+        at[a : b + 1] = [(c, n)] * (b + 1 - a)
+    return lambda a, b: max(at[a : b + 1])
+
 
 def build_index(templates, frequency: dict[bytes, int], threshold: float = THRESHOLD) -> Index:
     of = [words(text.encode()) for *_, text in templates]
@@ -138,13 +149,11 @@ def build_index(templates, frequency: dict[bytes, int], threshold: float = THRES
     rank = {w: r for r, w in enumerate(every)}
     sets = [sorted(set(ws), key=rank.__getitem__) for ws in of]
     need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in sets]
-    required = [frozenset(words(r.encode())) for _, _, r, _ in templates]
-    foreign = [frozenset(w for k, (label, family, _, _) in enumerate(templates) if family == mine[1] and label != mine[0] for w in required[k]) - set(sets[t]) for t, mine in enumerate(templates)]
     prefix = defaultdict(list)
     for t, s in enumerate(sets):
         for i, w in enumerate(s[: len(s) - need[t] + 1]):
             prefix[w].append((t, i))
-    return Index([label for label, *_ in templates], sets, need, required, foreign, [math.ceil(len(ws) / threshold) for ws in of], rank, dict(prefix))
+    return Index([label for label, *_ in templates], sets, need, [math.ceil(len(ws) / threshold) for ws in of], rank, dict(prefix))
 
 
 def word_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
@@ -186,18 +195,21 @@ def scan(docs: DataFrame, phrases=None, templates=TEMPLATES, threshold: float =
         ws = words(data)
         found = places(b" " + b" ".join(ws) + b" ", needles)
         base = {base_labels[p] for _, p in found}
-        score, labels = float(bool(base)), set(base)
+        labels, contained = set(base), {}
         if not first.isdisjoint(ws):
-            for t, c in index.found(ws).items():
-                labels.add(index.labels[t])
-                score = max(score, c)
-        return len(ws), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted(base)), ",".join(sorted(labels)), score
+            blocks = index.blocks(ws)
+            labels |= index.labelled(blocks)
+            for t, own in blocks.items():
+                contained[index.labels[t]] = max(contained.get(index.labels[t], 0.0), max(n for *_, n in own) / len(index.sets[t]))
+        score = 1.0 if base else max(contained.values(), default=0.0)
+        held = ",".join(f"{label}:{c:.4f}" for label, c in sorted(contained.items()))
+        return len(ws), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, held
 
     def run(batches):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string())
         for b in batches:
             got = [one(data or b"") for data in b.column(1).cast(pa.binary()).to_pylist()]
-            columns = list(zip(*got, strict=True)) if got else [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+            columns = list(zip(*got, strict=True)) if got else [[]] * 8
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found"])
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)

@@ -35,19 +35,31 @@ def index():
 
 def test_siblings_are_told_apart(index):
     for text, label in LABELS.items():
-        assert {index.labels[t] for t in index.found(licenses.words(text.encode()))} == {label}, text
-    both = " and, for the data, ".join(list(LABELS)[1:3])
-    assert {index.labels[t] for t in index.found(licenses.words(both.encode()))} == {"cc-by", "cc-by-nc"}
+        assert index.labelled(index.blocks(licenses.words(text.encode()))) == {label}, text
+    both = " and, for the data, which took the better part of some other year to collect, ".join(list(LABELS)[1:3])
+    assert index.labelled(index.blocks(licenses.words(both.encode()))) == {"cc-by", "cc-by-nc"}
+
+
+def test_any_one_word_may_be_missing(index):
+    """Every template of at least five words is found, by its own containment, whichever of its words is left out."""
+    tried = 0
+    for t, (label, text) in enumerate(licenses.TEMPLATES):
+        ws = licenses.words(text.encode())
+        for gone in set(ws) if len(set(ws)) >= 5 else ():
+            found = index.blocks([w for w in ws if w != gone])
+            assert max(n for *_, n in found[t]) == len(set(ws)) - 1, (label, gone)
+            tried += 1
+    assert tried > 300
 
 
 def test_clean_lines_have_no_label(index):
-    """Also shuffled words of the notices themselves: 1 of 500 texts has a label."""
+    """Also shuffled words of the notices themselves: of 500 texts few hold 80 % of one by chance."""
     for text in CLEAN:
-        assert not index.found(licenses.words(text.encode())), text
+        assert not index.blocks(licenses.words(text.encode())), text
     rng = np.random.default_rng(1)
     every = [w for *_, t in licenses.TEMPLATES for w in t.lower().split()]
-    hits = sum(bool(index.found(licenses.words(" ".join(rng.choice(every, 60)).encode()))) for _ in range(500))
-    assert hits <= 2
+    hits = sum(bool(index.blocks(licenses.words(" ".join(rng.choice(every, 60)).encode()))) for _ in range(500))
+    assert hits <= 10
 
 
 def test_blocks_against_brute_force(index):
@@ -55,8 +67,8 @@ def test_blocks_against_brute_force(index):
     every = [w.decode() for *_, t in licenses.TEMPLATES for w in licenses.words(t.encode())]
     for _ in range(80):
         ws = rng.choice([*every, *["other"] * 20], 40).tolist()
-        ws[10:10] = [w.decode() for w in licenses.words(licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))][3].encode()) if rng.random() < 0.9]
-        got = sorted({index.labels[t] for t in index.found([w.encode() for w in ws])})
+        ws[10:10] = [w.decode() for w in licenses.words(licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))][1].encode()) if rng.random() < 0.9]
+        got = sorted(index.labelled(index.blocks([w.encode() for w in ws])))
         assert ",".join(got) == slow_license(" ".join(ws), {})[5]
 
 
