@@ -22,9 +22,13 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 PART = "array<struct<type:string,text:string,ref:string,units:bigint>>"
 #: Tokens that a placeholder expands to: a fixed number and a number for each unit (image tiles, audio seconds, pages).
 EXPANSION = {"image": (1, 256), "audio": (1, 50), "document": (1, 600)}
-#: Endings of links, and the links.
+#: Endings of links; what a link may hold; what it may end with. A link ends with its ending, or with ?units= and the number of its units; punctuation may
+#: follow, but no more of a path.
 ENDINGS = {"image": "png|jpg|jpeg|gif|webp", "audio": "mp3|wav|ogg|flac", "document": "pdf|doc|docx|odt"}
-LINK = r"https?://[^\x00-\x20<>\"'()\[\]|]+\.(" + "|".join(ENDINGS.values()) + ")"
+_OUTSIDE = r"\x00-\x20<>\"'()\[\]|"
+BARE_LINK = rf"https?://[^{_OUTSIDE}]+\.(?:{'|'.join(ENDINGS.values())})(?:\?units=[0-9]{{1,6}})?"
+LINK_STOP = rf"[.,;:!?]*(?:[{_OUTSIDE}]|$)"
+LINK = rf"{BARE_LINK}(?={LINK_STOP})"
 PLACEHOLDER = rf"<\|({'|'.join(EXPANSION)})_[0-9]+\|>"
 
 
@@ -40,12 +44,13 @@ def typed_parts(text: Column) -> Column:
     none = F.lit(None)
 
     def made(kind: Column, own: Column, ref: Column) -> Column:
-        return F.struct(kind.alias("type"), own.alias("text"), ref.alias("ref"), none.cast("bigint").alias("units"))
+        units = F.regexp_extract(ref, r"\?units=([0-9]+)$", 1)
+        return F.struct(kind.alias("type"), own.alias("text"), ref.alias("ref"), F.when(units != "", units.cast("bigint")).alias("units"))
 
     def kind(link: Column) -> Column:
         out = F.lit(None).cast("string")
         for name, ends in ENDINGS.items():
-            out = F.when(link.rlike(rf"\.({ends})$"), name).otherwise(out)
+            out = F.when(link.rlike(rf"\.({ends})(\?units=[0-9]+)?$"), name).otherwise(out)
         return out
 
     def one(piece: Column, i: Column) -> Column:

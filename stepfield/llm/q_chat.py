@@ -31,23 +31,24 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_chat_formatting": op5_chat_formatting}
-_KIND = "CASE " + " ".join(f"WHEN regexp_matches(link, '[.]({ends})$') THEN '{kind}'" for kind, ends in chat.ENDINGS.items()) + " END"
-_COST = "CASE kind " + " ".join(f"WHEN '{kind}' THEN {fixed + unit}" for kind, (fixed, unit) in chat.EXPANSION.items()) + " END"
-_LINK = "'" + chat.LINK.replace("'", "''") + "'"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(link, '[.]({ends})([?]units=[0-9]+)?$') THEN '{kind}'" for kind, ends in chat.ENDINGS.items()) + " END"
+_COST = "CASE kind " + " ".join(f"WHEN '{kind}' THEN {fixed} + units * {unit}" for kind, (fixed, unit) in chat.EXPANSION.items()) + " END"
+#: A link and what stops it: this dialect can't look ahead.
+_LINK = "'(" + chat.BARE_LINK.replace("'", "''") + ")(" + chat.LINK_STOP.replace("'", "''") + ")'"
 ORACLE = {
     "op5_chat_formatting": rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-l AS (SELECT conv_id, unnest(regexp_extract_all(text, {_LINK})) AS link, generate_subscripts(regexp_extract_all(text, {_LINK}), 1) AS i FROM t WHERE contains(text, '://')),
-k AS (SELECT conv_id, i, {_KIND} AS kind FROM l),
+l AS (SELECT conv_id, unnest(regexp_extract_all(text, {_LINK}, 1)) AS link, generate_subscripts(regexp_extract_all(text, {_LINK}, 1), 1) AS i FROM t WHERE contains(text, '://')),
+k AS (SELECT conv_id, i, {_KIND} AS kind, coalesce(CAST(nullif(regexp_extract(link, '[?]units=([0-9]+)$', 1), '') AS BIGINT), 1) AS units FROM l),
 a AS (SELECT conv_id, count(*) AS n, sum({_COST}) AS tokens, sum(length('<|' || kind || '_' || i || '|>') - 1) AS more FROM k GROUP BY conv_id),
 g AS (SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  sum(length(role) + length(regexp_replace(regexp_replace(text, {_LINK}, chr(1), 'g'), '<(\\*)\|', '<\\\1|', 'g')) + 24) AS chars
+  sum(length(role) + length(regexp_replace(regexp_replace(text, {_LINK}, chr(1) || '\2', 'g'), '<(\\*)\|', '<\\\1|', 'g')) + 24) AS chars
 FROM t GROUP BY conv_id)
 SELECT g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, CAST(chars + coalesce(more, 0) AS BIGINT) AS formatted_chars,
   CAST(coalesce(n, 0) AS BIGINT) AS n_attachments, CAST(coalesce(tokens, 0) AS BIGINT) AS expanded_tokens

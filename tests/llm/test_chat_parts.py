@@ -68,3 +68,25 @@ def test_query_and_sql_on_edge_rows(spark, folder):
 
 def test_query_on_an_empty_table(spark, folder):
     assert [r.conv_id for r in q_chat.op5_chat_formatting(spark, f"{folder}/none").collect()] == [-1]
+
+
+ENDS = {
+    "http://a.b/report.docx now": ["http://a.b/report.docx"], "http://a.b/x.png/index.html": [], "f at http://a.b/f.docs": [], "(http://a.b/x.jpeg)": ["http://a.b/x.jpeg"], "http://a.b/x.png, then http://a.b/y.mp3.": ["http://a.b/x.png", "http://a.b/y.mp3"],
+    "http://a.b/x.png?tiles=2": [], "http://a.b/x.png?units=12!": ["http://a.b/x.png?units=12"], "http://a.b/x.pdf#page": [], "http://a.b/x.png\nhttp://a.b/x.doc": ["http://a.b/x.png", "http://a.b/x.doc"],
+}
+
+
+def test_endings_and_units(spark, tmp_path):
+    rows = [(i, 0, "user", t) for i, t in enumerate(ENDS)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    made = chat.read_back(chat.format_conversations(df.select("conv_id", "turn", "role", chat.typed_parts(F.col("text")).alias("parts"))))
+    got = {r.conv_id: r for r in made.collect()}
+    for i, (text, refs) in enumerate(ENDS.items()):
+        assert [a.ref for a in got[i].attachments] == refs and got[i].turns[0].text == text
+    assert got[6].expanded_tokens == 1 + 12 * 256 and got[0].expanded_tokens == 601
+    df.write.parquet(f"{tmp_path}/ends/conversations.parquet")
+    found = q_chat.op5_chat_formatting(spark, f"{tmp_path}/ends")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/ends/conversations.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({q_chat.ORACLE['op5_chat_formatting']})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want)
