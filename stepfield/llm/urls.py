@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfield.llm import gbt
-from stepfield.llm.common import bounded_batches, written
+from stepfield.llm.common import bounded_batches, free_name, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRAIN_ROWS = 20_000
@@ -136,16 +136,19 @@ def add_probability(df: DataFrame, model: UrlModel, column: str = "block_probabi
     width, forest, prior, common = len(df.columns), model.forest, model.prior, model.common
     at = [c.lower() for c in df.columns].index("url")
     top, two = suffix_columns(F.col("url"))
-    marked = df.select("*", F.struct(top.alias("top"), two.alias("two")).alias("_suffix"))
+    own, key, far, found = (free_name(df, c) for c in ("_suffix", "_key", "_far", "_found"))
+    marked = df.select("*", F.struct(top.alias("top"), two.alias("two")).alias(own))
     none = F.lit(None).cast("struct<ones:bigint,n:bigint>")
-    usual = F.col("_suffix.top").isin(list(common)) & F.col("_suffix.two").isin(list(common)) if common else F.lit(model.suffixes is None)
-    parts = marked.where(usual).select("*", none.alias("_top"), none.alias("_two"))
+    names = {k: free_name(df, f"_{k}") for k in ("top", "two")}
+    usual = F.col(f"{own}.top").isin(list(common)) & F.col(f"{own}.two").isin(list(common)) if common else F.lit(model.suffixes is None)
+    parts = marked.where(usual).select("*", *(none.alias(c) for c in names.values()))
     if model.suffixes is not None:
         other = marked.where(~usual)
-        for k in ("top", "two"):
-            rare = model.suffixes.where(~F.col("suffix").isin(list(common)) if common else F.lit(True)).select(F.col("suffix").alias(f"_{k}_key"), F.struct("ones", "n").alias(f"_{k}"))
-            key = F.when(F.col(f"_suffix.{k}").isin(list(common)) if common else F.lit(False), F.concat(F.lit(" "), F.xxhash64("url").cast("string"))).otherwise(F.col(f"_suffix.{k}"))  # common ones match nothing, apart
-            other = other.withColumn("_key", key).join(rare, F.col("_key") == F.col(f"_{k}_key"), "left").drop("_key", f"_{k}_key")
+        for k, name in names.items():
+            rare = model.suffixes.where(~F.col("suffix").isin(list(common)) if common else F.lit(True)).select(F.col("suffix").alias(far), F.struct("ones", "n").alias(found))
+            suffix = F.col(f"{own}.{k}")
+            held = F.when(suffix.isin(list(common)) if common else F.lit(False), F.concat(F.lit(" "), F.xxhash64("url").cast("string"))).otherwise(suffix)  # common ones match nothing, apart
+            other = other.withColumn(key, held).join(rare, F.col(key) == F.col(far), "left").drop(key, far).withColumnRenamed(found, name)
         parts = parts.unionByName(other)
 
     def score(batches):
