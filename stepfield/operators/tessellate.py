@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stepfield.functions.columns import COORDS
 from stepfield.operators import assign
-from stepfield.sources.storage import checkpointed
+from stepfield.sources.storage import checkpointed, stored
 
 
 @dataclass(frozen=True)
@@ -176,19 +176,14 @@ def drop_small_cells(df: DataFrame, cells: DataFrame, least: int, edges: DataFra
         if edges is not None:
             weaker = edges.join(low.select(F.col("cell").alias("i"), F.col("k").alias("ki")), "i").join(low.select(F.col("cell").alias("j"), F.col("k").alias("kj")), "j").where("kj < ki or (kj = ki and j < i)")
             low = low.join(weaker.select(F.col("i").alias("cell")).distinct(), "cell", "left_anti")
-        gone = [r.cell for r in low.select("cell").collect()]
-        if not gone:
+        gone = stored(low.select("cell"))
+        if gone.isEmpty():
             return cells
-        cells = cells.where(~F.col("cell").isin(gone))
+        cells = cells.join(gone, "cell", "left_anti")
         if cells.limit(4).count() < 4:
             raise ValueError("too few cells are left")
         if recentre:
             means = assign.nearest(df, cells).groupBy("cell").agg(F.avg("x").alias("m_x"), F.avg("y").alias("m_y"))
             cells = cells.join(means, "cell", "left").withColumns({"c_x": F.coalesce("m_x", "c_x"), "c_y": F.coalesce("m_y", "c_y")}).drop("m_x", "m_y")
-        cells = custom_like(cells)
+        cells = stored(cells)
     raise RuntimeError(f"small cells are left after {rounds} rounds")
-
-
-def custom_like(cells: DataFrame) -> DataFrame:
-    """Cells as a driver-side table (they are few), which cuts lineage between rounds."""
-    return cells.sparkSession.createDataFrame(cells.orderBy("cell").collect(), cells.schema)

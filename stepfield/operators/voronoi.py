@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepfield.operators import assign
-from stepfield.sources.storage import checkpointed
+from stepfield.sources.storage import checkpointed, stored
 
 GROUP, PER_BUCKET, ROUNDS = 512, 16, 64
 POLYGON = "cell long, c_x double, c_y double, v_x array<double>, v_y array<double>, side array<long>, done boolean"
@@ -103,7 +103,11 @@ def polygons(cells: DataFrame, box: tuple[float, float, float, float], group: in
     x0, x1, y0, y1 = box
     inside = F.col("c_x").between(x0, x1) & F.col("c_y").between(y0, y1)
     centres = checkpointed(cells.where(inside).groupBy("c_x", "c_y").agg(F.min("cell").cast("long").alias("cell")))
-    now = checkpointed(_first_polygons(centres, box, group))
+    return _settled(checkpointed(_first_polygons(centres, box, group)), centres, rounds)
+
+
+def _settled(now: DataFrame, centres: DataFrame, rounds: int) -> DataFrame:
+    """Polygons of which some are not done, cut until no centre is nearer to a corner than its own."""
     out = now.where("done")
     for _ in range(rounds):
         open_ = now.where("not done")
@@ -118,6 +122,25 @@ def polygons(cells: DataFrame, box: tuple[float, float, float, float], group: in
     raise RuntimeError(f"polygons not settled after {rounds} rounds")
 
 
+def without(cells: DataFrame, gone: DataFrame, box: tuple[float, float, float, float], rounds: int = ROUNDS) -> DataFrame:
+    """polygons() of the centres left when those of `gone` (cell) are deleted, mended from the polygons before: only cells that had a side towards a
+    deleted one are cut again, from the box by the neighbours they keep, then by each other, as a cell's new neighbours are among these.
+    All other polygons stay as they are."""
+    x0, x1, y0, y1 = box
+    gone = gone.select("cell").distinct()
+    left = cells.join(gone, "cell", "left_anti")
+    touched = stored(left.select("cell", F.explode("side").alias("by")).join(gone.withColumnRenamed("cell", "by"), "by").select("cell").distinct())
+    again = stored(left.join(touched, "cell").select("cell", "c_x", "c_y", "side"))
+    sides = again.select(F.col("cell").alias("owner"), F.explode("side").alias("cell")).where("cell >= 0")
+    kept = stored(sides.join(left.select("cell", "c_x", "c_y"), "cell"))
+    by = kept.groupBy(F.col("owner").alias("cell")).agg(F.collect_list(F.struct("cell", "c_x", "c_y")).alias("by"))
+    whole = [F.array(*map(F.lit, v)).alias(c) for c, v in (("v_x", (x0, x1, x1, x0)), ("v_y", (y0, y0, y1, y1)))]
+    started = again.select("cell", "c_x", "c_y", *whole, F.array(*map(F.lit, (-1, -2, -3, -4))).cast("array<long>").alias("side")).join(by, "cell", "left")
+    now = stored(started.mapInArrow(_cut_again, POLYGON).withColumn("done", F.lit(False)))
+    centres = stored(again.select("cell", "c_x", "c_y").unionByName(kept.select("cell", "c_x", "c_y")).distinct())
+    return left.join(touched, "cell", "left_anti").unionByName(_settled(now, centres, rounds))
+
+
 def ridges(cells: DataFrame) -> DataFrame:
     """polygons() -> (i, j, ridge, label): cells that share an edge within the box, both directions, and the edge's length."""
     k = F.explode(F.sequence(F.lit(0), F.size("side") - 1)).alias("k")

@@ -66,3 +66,22 @@ def test_point_densities(spark):
     assert sum(r.k for r in own) == 60 and abs(sum(r.area for r in own) - 3.0) < 1e-9
     wide = {(r.x, r.y): r for r in voronoi.point_densities(df, BOX, 1).collect()}
     assert all(wide[r.x, r.y].area > r.area and wide[r.x, r.y].k > r.k for r in own)
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_deleted_cells_are_mended_as_if_cut_anew(spark, grid):
+    rng = np.random.default_rng(12)
+    at = [(float(k // 7), float(k % 7)) for k in range(49)] if grid else rng.uniform(0, 6, (60, 2)).tolist()
+    box = (-0.5, 6.5, -0.5, 6.5)
+    rows = [(k, *c) for k, c in enumerate(at)]
+    schema = "cell long, c_x double, c_y double"
+    gone = {8, 9, 10, 16, 24, 40, 48, 3}
+    before = voronoi.polygons(spark.createDataFrame(rows, schema), box).cache()
+    mended = voronoi.without(before, spark.createDataFrame([(k,) for k in [*gone, 8, 777]], "cell long"), box).cache()
+    anew = voronoi.polygons(spark.createDataFrame([r for r in rows if r[0] not in gone], schema), box)
+    area = lambda cells: {r.cell: r.volume for r in voronoi.volumes(cells).collect()}
+    edges = lambda cells: {(r.i, r.j): r.ridge for r in voronoi.ridges(cells).collect()}
+    assert area(mended) == pytest.approx(area(anew)) and edges(mended) == pytest.approx(edges(anew))
+    assert sum(area(mended).values()) == pytest.approx(49)
+    assert not voronoi.without(before, spark.createDataFrame(rows, schema), box).count()
+    assert area(voronoi.without(before, spark.createDataFrame([], "cell long"), box)) == pytest.approx(area(before))
