@@ -175,9 +175,9 @@ def test_language_model_edges(spark, docs, empty, shared):
     rows = q_lm.lm.score(docs).collect()
     assert len(rows) == docs.count() and all(np.isfinite(r.score) and r.score <= 0 for r in rows)
     assert q_lm.lm.score(empty).count() == 0
-    test_only = spark.createDataFrame([(1, "a b")], "doc_id long, text string") if zlib.crc32(b"1") % 5 == 1 else None
-    if test_only is not None:
-        assert q_lm.lm.score(test_only).first().base_score == 0.0
+    assert zlib.crc32(b"3") % 5 == 1
+    row = q_lm.lm.score(spark.createDataFrame([(3, "a b")], "doc_id long, text string")).first()  # no training rows
+    assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0) and row.score <= 0
 
 
 def test_pipeline(spark, sf, shared):
