@@ -41,8 +41,11 @@ def degree(edges: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.select("cell").join(edges.groupBy(F.col("i").alias("cell")).agg(F.count("*").alias("degree")), "cell", "left").fillna(0, ["degree"])
 
 
-def neighbours(edges: DataFrame, cell: int) -> DataFrame:
-    return edges.where(F.col("i") == cell).select("j", "label")
+def neighbours(edges: DataFrame, cells: int | DataFrame) -> DataFrame:
+    """(j, label) of the neighbours of a cell, or (i, j, label) of those of every `cell` of a table."""
+    if isinstance(cells, DataFrame):
+        return edges.join(cells.select(F.col("cell").alias("i")).distinct(), "i", "left_semi").select("i", "j", "label")
+    return edges.where(F.col("i") == cells).select("j", "label")
 
 
 def space_time_edges(edges: DataFrame, cells: DataFrame, segments: int, past: int = -1, future: int = -2) -> DataFrame:
@@ -69,14 +72,23 @@ def set_label(edges: DataFrame, i: int, j: int, label: int | None) -> DataFrame:
     return rest if label is None else rest.unionByName(edges.sparkSession.createDataFrame([(i, j, label), (j, i, label)], edges.schema))
 
 
-def dilation(edges: DataFrame, start: list[int], steps: int) -> DataFrame:
-    """(cell, distance) of the cells within a number of steps of the start."""
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(c, 0) for c in start], "cell int, distance int")
-    front = seen
+def set_labels(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Adds, relabels or (null label) removes the edges of `changes` (i, j, label), in both directions; each of them must be there once."""
+    both = changes.select("i", "j", "label").unionByName(changes.select(F.col("j").alias("i"), F.col("i").alias("j"), "label"))
+    return edges.join(both, ["i", "j"], "left_anti").select("i", "j", "label").unionByName(both.where("label is not null"))
+
+
+def dilation(edges: DataFrame, start: list[int] | DataFrame, steps: int) -> DataFrame:
+    """(cell, distance) of the cells within a number of steps of the start, a list or a table with `cell`. Each step's new cells are written, so plans don't
+    grow with the steps."""
+    if not isinstance(start, DataFrame):
+        start = edges.sparkSession.createDataFrame([(c,) for c in start], "cell int")
+    edges = checkpointed(edges.select("i", "j"))
+    seen = front = checkpointed(start.select("cell", F.lit(0).alias("distance")).distinct())
     for k in range(1, steps + 1):
-        new = edges.join(front.select(F.col("cell").alias("i")), "i").select(F.col("j").alias("cell")).distinct().join(seen.select("cell"), "cell", "left_anti").withColumn("distance", F.lit(k))
-        seen, front = seen.unionByName(new), new
+        near = edges.join(front.select(F.col("cell").alias("i")), "i").select(F.col("j").alias("cell")).distinct()
+        front = checkpointed(near.join(seen.select("cell"), "cell", "left_anti").withColumn("distance", F.lit(k)))
+        seen = seen.unionByName(front)
     return seen
 
 

@@ -165,44 +165,6 @@ def equal_count_segments(spark, sf):
     return rounded(A.equal_count_segments(steps(spark, sf), 1000))
 
 
-@query(f"WITH {EDGES} SELECT i, j FROM e")
-def grid_edges(spark, sf):
-    return G.grid_edges(spark, 10, 5).select("i", "j")
-
-
-@query(f"WITH {EDGES} SELECT a.i, b.i AS j FROM g a JOIN g b ON greatest(abs(a.gx - b.gx), abs(a.gy - b.gy)) = 1")
-def grid_edges_diagonal(spark, sf):
-    return G.grid_edges(spark, 10, 5, diagonal=True).select("i", "j")
-
-
-@query(f"WITH {EDGES} SELECT a.i, b.j, count(*) AS paths FROM e a JOIN e b ON a.j = b.i WHERE a.i <> b.j AND NOT EXISTS (SELECT 1 FROM e WHERE e.i = a.i AND e.j = b.j) GROUP BY ALL HAVING count(*) >= 2")
-def diagonal_edges(spark, sf):
-    return G.two_hops(G.grid_edges(spark, 10, 5), 2)
-
-
-@query(f"WITH {EDGES} SELECT i, j FROM e WHERE i % 4 > 0 AND j % 4 > 0")
-def edge_label_filter(spark, sf):
-    return G.usable(G.grid_edges(spark, 10, 5), _cells(spark).withColumn("label", F.col("cell") % 4)).select("i", "j")
-
-
-@query(f"WITH {EDGES} SELECT i AS cell, count(*) AS degree FROM e GROUP BY i")
-def cell_degree(spark, sf):
-    return G.degree(G.grid_edges(spark, 10, 5), _cells(spark))
-
-
-@query(
-    f"WITH {EDGES}, s AS (SELECT CAST(i AS INT) AS s FROM range(4) r(i)) SELECT s AS seg_i, i, s AS seg_j, j, 1 AS label FROM e, s "
-    "UNION ALL SELECT s, i, s - 1, i, -1 FROM g, s WHERE s > 0 UNION ALL SELECT s, i, s + 1, i, -2 FROM g, s WHERE s < 3"
-)
-def space_time_edges(spark, sf):
-    return G.space_time_edges(G.grid_edges(spark, 10, 5), _cells(spark), 4)
-
-
-@query(f"WITH {EDGES} SELECT i AS cell, CAST(abs(gx - 4) + abs(gy - 2) AS INT) AS distance FROM g WHERE abs(gx - 4) + abs(gy - 2) <= 3")
-def dilation(spark, sf):
-    return G.dilation(G.grid_edges(spark, 10, 5), [22], 3)
-
-
 @query(f"WITH {WALK}, {EDGES}, o AS (SELECT row_id, x, y, {CELL} AS cell FROM p), l AS (SELECT i, j FROM e UNION SELECT i, i FROM g) SELECT a.row_id AS a, b.row_id AS b, {r('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', 'distance')} FROM o a JOIN l ON l.i = a.cell JOIN o b ON b.cell = l.j AND a.row_id < b.row_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2")
 def point_adjacency(spark, sf):
     return rounded(G.point_adjacency(on_grid(walk(spark, sf)), G.grid_edges(spark, 10, 5), 2.0))

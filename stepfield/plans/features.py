@@ -196,16 +196,6 @@ def roi_union_crop(spark, sf):
     return R.crop_union(walk(spark, sf), _boxes(spark)).select("row_id")
 
 
-@query(f"WITH {_ROI} SELECT a.idx AS i, b.idx AS j, {r('(least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min)) * (least(a.y_max, b.y_max) - greatest(a.y_min, b.y_min)) / 2000e0', 'overlap')} FROM b a JOIN b ON a.idx < b.idx AND a.x_min <= b.x_max AND b.x_min <= a.x_max AND a.y_min <= b.y_max AND b.y_min <= a.y_max")
-def roi_overlap_pairs(spark, sf):
-    return rounded(R.overlaps(_boxes(spark)))
-
-
-@query(f"WITH {_ROI} SELECT idx, idx // 6 * 6 AS region FROM b")
-def roi_support_regions(spark, sf):
-    return R.support(_boxes(spark))
-
-
 @query(f"WITH {WALK} SELECT row_id, count(*) OVER (PARTITION BY source ORDER BY t RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS recent FROM p")
 def trailing_range_count(spark, sf):
     return R.trailing_counts(walk(spark, sf), 21600.0).select("row_id", "recent")

@@ -124,13 +124,6 @@ def cells_by_predicate(spark, sf):
     return A.where_cells(on_grid(walk(spark, sf)), (F.max("x") - F.min("x") > 49) & (F.count("*") % 2 == 1)).select("row_id", "cell")
 
 
-@query(f"WITH {CELLS} SELECT cell, {r('0.1 + 0.05 * sin(c_x / 80)', 'diffusivity')}, {r('-(c_x - 250) / 100', 'force_x')}, {r('-(c_y - 50) / 20', 'force_y')} FROM c")
-def truth_map(spark, sf):
-    """A known field at the centres of cells."""
-    x, y = F.col("c_x"), F.col("c_y")
-    return rounded(I.truth(GRID.cells(spark), {"diffusivity": 0.1 + 0.05 * F.sin(x / 80), "force_x": -(x - 250) / 100, "force_y": -(y - 50) / 20}))
-
-
 @query(
     f"WITH {WALK}, s AS (SELECT avg(sqrt(dx * dx + dy * dy)) AS s FROM (SELECT x - lag(x) OVER {W} AS dx, y - lag(y) OVER {W} AS dy FROM p)), k AS (SELECT count(*) AS k FROM p) "
     f"SELECT {r('0.8 * s', 'min_distance', 4)}, {r('2 * s', 'avg_distance', 4)}, CAST(20 AS BIGINT) AS min_location_count, CAST(80 AS BIGINT) AS avg_location_count, {r('20e0 / k', 'min_probability', 4)}, {r('80e0 / k', 'avg_probability', 4)} FROM s, k"

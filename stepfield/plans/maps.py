@@ -183,11 +183,6 @@ def merge_small_cells(spark, sf):
     return I.merge_small(A.counts(on_grid(walk(spark, sf)), cells), cells, G.grid_edges(spark, 10, 5), 220)
 
 
-@query(f"WITH {EDGES} SELECT i AS cell, gx = 0 AS low_x, gx = 9 AS high_x, gy = 0 AS low_y, gy = 4 AS high_y FROM g")
-def border_cells(spark, sf):
-    return I.border_cells(GRID.cells(spark), G.grid_edges(spark, 10, 5))
-
-
 @query()
 def infer_d_any_dt(spark, sf):
     """Irregular durations: the numerical optimum of each cell."""

@@ -62,11 +62,6 @@ def point_densities(spark, sf):
 _HEX = "h AS (SELECT CAST(i AS INT) AS cell, (i % 8) * 80e0 + ((i // 8) % 2) * 40e0 AS c_x, (i // 8) * (120e0 / sqrt(3)) AS c_y FROM range(24) r(i))"
 
 
-@query(f"WITH {_HEX} SELECT a.cell AS i, b.cell AS j FROM h a JOIN h b ON a.cell <> b.cell AND abs(sqrt((a.c_x - b.c_x) ** 2 + (a.c_y - b.c_y) ** 2) - 80) < 1e-6")
-def hexagon_edges(spark, sf):
-    return G.hexagon_edges(S.hexagons(spark, 0.0, 0.0, 500.0, 100.0, 40.0)).select("i", "j")
-
-
 _LEVELS, _LEAST, _MOST = 4, 20, 60
 _QUAD = (
     f"b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p), "
@@ -116,25 +111,6 @@ def nested_cells(spark, sf):
     return A.nested(GRID.cells(spark), _children(spark, sf)).select("parent", "child", "k", "cell")
 
 
-@query(f"WITH {EDGES} SELECT i, j FROM e UNION ALL SELECT i + 50, j + 50 FROM e")
-def nested_edges(spark, sf):
-    """Two parts' graphs side by side."""
-    one = G.grid_edges(spark, 10, 5)
-    return G.offset_union([(one, 50), (one, 50)]).select("i", "j")
-
-
-@query(f"WITH {EDGES}, u AS (SELECT i, j, CASE WHEN i + j = 1 THEN 7 ELSE 1 END AS label FROM e WHERE NOT (i + j = 45 AND abs(i - j) = 1)) SELECT i, j, label FROM u UNION ALL SELECT * FROM (VALUES (0, 49, 3), (49, 0, 3)) v(i, j, label)")
-def edge_relabelled(spark, sf):
-    """An edge relabelled, one removed, one added."""
-    e = G.set_label(G.grid_edges(spark, 10, 5), 0, 1, 7)
-    return G.set_label(G.set_label(e, 22, 23, None), 0, 49, 3)
-
-
-@query(f"WITH {EDGES} SELECT j, 1 AS label FROM e WHERE i = 22")
-def neighbours_of_cell(spark, sf):
-    return G.neighbours(G.grid_edges(spark, 10, 5), 22)
-
-
 @query(f"WITH {WALK}, a AS (SELECT {CELL} AS cell, count(*) AS k FROM p GROUP BY 1) SELECT count(*) AS cells, sum(k)::BIGINT AS k FROM a WHERE cell % 2 = 0")
 def sign_group_sizes(spark, sf):
     """A checkerboard's signs on the grid's diagonal neighbours: one group of even cells."""

@@ -150,7 +150,6 @@ def test_hull():
 
 
 def test_roi(spark):
-    assert roi.merged([(0, 1, 0, 1), (0.1, 1.1, 0, 1), (5, 6, 5, 6)]) == [(0, 1.1, 0, 1), (5, 6, 5, 6)]
     boxes = spark.createDataFrame([(0, 0.0, 1.0, 0.0, 1.0), (1, 1.0, 2.0, 0.0, 1.0), (2, 3.0, 4.0, 0.0, 1.0)], "idx long, x_min double, x_max double, y_min double, y_max double")
     assert {r.idx: r.region for r in roi.support(boxes).collect()} == {0: 0, 1: 0, 2: 2}
 
