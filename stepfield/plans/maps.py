@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepfield.operators import assign as A
-from stepfield.operators import bayes as B
 from stepfield.operators import derive as V
 from stepfield.operators import graph as G
 from stepfield.operators import infer as I
@@ -196,27 +195,6 @@ def smooth_diffusivity(spark, sf):
     return rounded(I.smooth_joined(cells, G.grid_edges(spark, 10, 5), 5e-10, "dd"), 3)
 
 
-def _evidence(spark, sf):
-    m = I.snr(_moves(spark, sf)).where("k > 1")
-    d = I.infer_d(_moves(spark, sf)).select("cell", "diffusivity").join(GRID.cells(spark), "cell")
-    both = m.join(V.gradient(d, G.grid_edges(spark, 10, 5), "diffusivity"), "cell", "left").fillna(0.0, ["grad_x", "grad_y"])
-    return B.bayes_factor(I.spurious_zeta(both, 1.0))
-
-
-@query()
-def bayes_factors(spark, sf):
-    """Evidence for a force in each cell, from the step and the diffusivity gradient's signal-to-noise ratios."""
-    return rounded(_evidence(spark, sf).select("cell", "k", "lg_b", "force"), 4)
-
-
-@query()
-def force_groups(spark, sf):
-    """Groups of adjacent cells whose evidence (lg_b) has the same sign, and its sum."""
-    m = _evidence(spark, sf).select("cell", F.col("lg_b").alias("value"))
-    groups = G.sign_groups(G.grid_edges(spark, 10, 5), m)
-    return rounded(I.group_sum(m, groups, "value").select("cell", "group", "group_value"), 4)
-
-
 def _quadratic(a: str) -> str:
     """On a grid the axes separate: two neighbours settle slope and curvature; with one, the least norm of both does."""
     d, near = f"(j{a} - c_{a})", f"FILTER (abs(j{a} - c_{a}) > 1e-9)"
