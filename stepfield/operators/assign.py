@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,16 +94,25 @@ def in_boxes(df: DataFrame, cells: DataFrame) -> DataFrame:
 def knn_points(assigned: DataFrame, points: DataFrame, cells: DataFrame, least: int) -> DataFrame:
     """(row_id, cell): cells of fewer than `least` own points take the `least` nearest points of all; others keep theirs.
 
-    Points are counted by bucket, at bucket widths that double. A small cell takes the least width at which the 3 x 3 buckets round it hold
+    Points are counted by bucket, at bucket widths that double; the first width suits the middle 98 % along each axis, so points far out don't widen it. A small cell takes the least width at which the 3 x 3 buckets round it hold
     `least` points; these lie within their diagonal, so only points no farther away are candidates, ranked in hashed slices first."""
     own = assigned.groupBy("cell").agg(F.count("*").alias("k"))
     small = checkpointed(cells.join(own, "cell", "left").where(F.coalesce("k", F.lit(0)) < least).select("cell", "c_x", "c_y"))
     big = assigned.join(small.select("cell"), "cell", "left_anti").select("row_id", "cell")
-    placed = points.select("row_id", "x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    n, x0, x1, y0, y1 = placed.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if not n or small.isEmpty():
+    if small.isEmpty():
         return big
-    width = max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-12) * least / n) / 2, max(x1 - x0, y1 - y0) / 4096, 1e-9)
+    return big.unionByName(_top(_small_candidates(small, points, least), least).select("row_id", "cell"))
+
+
+def _small_candidates(small: DataFrame, points: DataFrame, least: int) -> DataFrame:
+    """(row_id, cell, distance): points that are sure to hold the `least` nearest of each small cell."""
+    placed = points.select("row_id", "x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    core = [F.percentile_approx(c, [0.01, 0.99], 1000) for c in ("x", "y")]
+    n, x0, x1, y0, y1, *core = placed.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y"), *core).first()
+    if not n:
+        return placed.limit(0).select("row_id", F.lit(0).cast(small.schema["cell"].dataType).alias("cell"), F.lit(0.0).alias("distance"))
+    sides = [b - a for a, b in core]
+    width = max(math.sqrt(max(sides[0] * sides[1], 1e-12) * least / n) / 2, max(sides) / 4096, max(x1 - x0, y1 - y0) / 2**40, 1e-9)
     bucket = lambda c: F.floor(F.col(c) / width)
     levels = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(math.log2(max(x1 - x0, y1 - y0) / width + 1)) + 1))).alias("_l")
     wider = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_l")))
@@ -116,8 +128,7 @@ def knn_points(assigned: DataFrame, points: DataFrame, cells: DataFrame, least:
     corners = [F.col(f"c_{c}") + s * F.col("_r") for c in ("x", "y") for s in (-1, 1)]
     boxes = ready.select("cell", "c_x", "c_y", "_r", *(F.greatest(F.least(e, F.lit(hi)), F.lit(lo)).alias(n) for e, n, lo, hi in zip(corners, ("x_min", "x_max", "y_min", "y_max"), (x0, x0, y0, y0), (x1, x1, y1, y1), strict=True)))
     d = F.hypot(F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y"))
-    pairs = points_in_boxes(placed, boxes, ["cell", "c_x", "c_y", "_r"]).withColumn("distance", d).where(F.col("distance") <= F.col("_r"))
-    return big.unionByName(_top(pairs, least).select("row_id", "cell"))
+    return points_in_boxes(placed, boxes, ["cell", "c_x", "c_y", "_r"]).withColumn("distance", d).where(F.col("distance") <= F.col("_r")).select("row_id", "cell", "distance")
 
 
 def _top(pairs: DataFrame, most: Column | int, slices: int = 64) -> DataFrame:
@@ -191,29 +202,53 @@ def in_segments(df: DataFrame, segs: DataFrame) -> DataFrame:
     return points_in_boxes(df, segs.select("seg", F.col("t0").alias("t_min"), F.col("t1").alias("t_max")), ["seg"], ("t",), open_end=True)
 
 
-def time_knn(df: DataFrame, segs: Sequence[tuple[int, float, float]], k: int, buckets: int = 4096) -> DataFrame:
-    """(seg, row_id, rank): the k rows nearest in time to the middle of each segment. Rows are counted in at most `buckets` equal spans of time; each
-    segment takes the rows of the spans round its middle that are sure to hold k, and ranks slices of them first."""
-    timed = df.select("row_id", "t").where("t is not null")
-    n, low, high = timed.agg(F.count("*"), F.min("t"), F.max("t")).first()
-    if not n or not segs:
-        return timed.limit(0).select(F.lit(0).alias("seg"), "row_id", F.lit(0).alias("rank"))
-    width = (high - low) / buckets or 1.0
-    filled = {r._b: r.k for r in timed.groupBy(F.least(F.floor((F.col("t") - low) / width), F.lit(buckets - 1)).alias("_b")).agg(F.count("*").alias("k")).collect()}
-    before = [0]
-    for b in range(buckets):
-        before.append(before[-1] + filled.get(b, 0))
+def _spans(timed: DataFrame, buckets: int) -> tuple[list[float], list[int]]:
+    """Edges of spans of time that hold about as many rows each, wherever the rows lie, and the rows before each edge. A time that many rows share is a
+    span by itself."""
+    cuts = timed.agg(F.percentile_approx("t", [i / buckets for i in range(buckets + 1)], 10 * buckets), F.min("t"), F.max("t")).first()
+    if cuts[1] is None:
+        return [], []
+    crowded = {a for a, b in zip(cuts[0], cuts[0][1:], strict=False) if a == b} | {cuts[2]}
+    edges = sorted({cuts[1], *cuts[0], *crowded, *(math.nextafter(t, math.inf) for t in crowded)})
+    at = Bucketizer(splits=[-math.inf, *edges], inputCol="t", outputCol="_b").transform(timed)
+    filled = {int(r._b) - 1: r.k for r in at.groupBy("_b").agg(F.count("*").alias("k")).collect()}
+    return edges, [0, *accumulate(filled.get(b, 0) for b in range(len(edges) - 1))]
+
+
+def _reach(mid: float, k: int, edges: list[float], before: list[int]) -> float:
+    """About the least distance within which whole spans hold k rows."""
+    held = lambda r: before[bisect_right(edges, mid + r) - 1] - before[bisect_left(edges, mid - r)] if edges[0] <= mid + r and mid - r <= edges[-1] else 0
+    low, high = 0.0, max(abs(edges[0] - mid), abs(edges[-1] - mid)) * (1 + 1e-12)
+    for _ in range(100):
+        r = (low + high) / 2
+        low, high = (low, r) if held(r) >= k else (r, high)
+    return high
+
+
+def time_candidates(df: DataFrame, segs: Sequence[tuple[int, float, float]], k: int, buckets: int = 4096) -> DataFrame:
+    """(row_id, cell, distance): for each segment, as `cell`, rows that are sure to hold the k nearest to its middle in time; about k of them and the rows of three
+    spans, of `buckets` of equal count. Of a time that more than a span's rows share, only the k least rows count."""
+    timed = df.select("row_id", F.col("t").cast("double").alias("t")).where("t is not null and not isnan(t)")
+    edges, before = _spans(timed, buckets)
+    if not edges or not segs:
+        return timed.limit(0).select("row_id", F.lit(0).alias("cell"), F.lit(0.0).alias("distance"))
+    shared = [a for a, b, x, y in zip(edges, edges[1:], before, before[1:], strict=False) if b == math.nextafter(a, math.inf) and y - x > k]
+    if shared:
+        same = F.col("t").isin(shared)
+        least = _top(timed.where(same).select("row_id", F.col("t").alias("cell"), F.lit(0.0).alias("distance")), k)
+        timed = timed.where(~same).unionByName(least.select("row_id", F.col("cell").alias("t")))
     ranges = []
     for seg, a, b in segs:
         mid = (a + b) / 2
-        at, r = min(max(math.floor((mid - low) / width), 0), buckets - 1), 0
-        while before[min(buckets, at + r + 1)] - before[max(0, at - r)] < min(k, n):
-            r = 2 * r + 1
-        reach = max(abs(mid - (low + (at - r) * width)), abs(mid - (low + (at + r + 1) * width))) * (1 + 1e-12)
+        reach = _reach(mid, min(k, before[-1]), edges, before)
         ranges.append((seg, mid, mid - reach, mid + reach))
     spans = df.sparkSession.createDataFrame(ranges, "seg int, mid double, t_min double, t_max double")
-    pairs = points_in_boxes(timed, spans, ["seg", "mid"], ("t",)).select("row_id", F.col("seg").alias("cell"), F.abs(F.col("t") - F.col("mid")).alias("distance"))
-    ranked = _top(pairs, k).withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("distance", "row_id")))
+    return points_in_boxes(timed, spans, ["seg", "mid"], ("t",)).select("row_id", F.col("seg").alias("cell"), F.abs(F.col("t") - F.col("mid")).alias("distance"))
+
+
+def time_knn(df: DataFrame, segs: Sequence[tuple[int, float, float]], k: int, buckets: int = 4096) -> DataFrame:
+    """(seg, row_id, rank): the k rows nearest in time to the middle of each segment (ties: the least rows); slices of the candidates are ranked first."""
+    ranked = _top(time_candidates(df, segs, k, buckets), k).withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("distance", "row_id")))
     return ranked.select(F.col("cell").alias("seg"), "row_id", "rank")
 
 

@@ -116,3 +116,40 @@ def test_clustered_keys_have_offsets(spark):
     keys = [*range(500), *(10**15 + k for k in range(500))]
     got = {r.key: r.base for r in trajectory.offsets(spark.createDataFrame([(k, 2) for k in keys], "key long, c long"), "key", "c").collect()}
     assert got == {k: 2 * i for i, k in enumerate(keys)}
+
+
+def test_one_late_row_does_not_widen_the_search(spark):
+    rng = np.random.default_rng(11)
+    t = rng.random(20_000) * 100
+    segs = [(i, 0.2 * i, 0.2 * i + 0.2) for i in range(500)]
+    frame = lambda times: spark.createDataFrame([(i, float(x)) for i, x in enumerate(times)], "row_id long, t double")
+    plain, late = (assign.time_candidates(frame(x), segs, 10).count() for x in (t, np.append(t, 1e9)))
+    assert plain < 20 * 500 and late <= 1.1 * plain
+    tied = np.append(t, np.full(5000, 50.0))  # many rows of one time: only the k least count
+    got = assign.time_candidates(frame(tied), segs, 10)
+    assert got.count() <= 1.5 * plain
+    near = {r.row_id for r in assign.time_knn(frame(tied), [(0, 49.0, 51.0)], 10).collect()}
+    assert near == {int(i) for i in sorted(range(len(tied)), key=lambda i: (abs(tied[i] - 50.0), i))[:10]}
+    assert assign.time_knn(frame([5.0, 5.0, 5.0]), [(0, 1.0, 2.0)], 2).count() == 2
+
+
+def test_one_far_point_does_not_widen_the_search(spark):
+    rng = np.random.default_rng(12)
+    xy = rng.random((20_000, 2)) * 100
+    cells = spark.createDataFrame([(i, float(i % 20) * 5, float(i // 20) * 5) for i in range(400)], "cell int, c_x double, c_y double")
+    found = []
+    for places in (xy, np.vstack([xy, [[1e8, -1e8]]])):
+        points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(places)], "row_id long, x double, y double")
+        found.append(assign._small_candidates(cells, points, 10).count())
+    assert found[1] <= 1.5 * found[0] and found[0] < 400 * 400
+
+
+def test_many_centres_with_one_far(spark):
+    rng = np.random.default_rng(13)
+    centres = np.vstack([rng.random((600, 2)) * 10, [[1e7, 1e7]]])
+    xy = rng.random((3000, 2)) * 10
+    cells = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(centres)], "cell int, c_x double, c_y double")
+    points = spark.createDataFrame([(i % 7, float(x), float(y)) for i, (x, y) in enumerate(xy)], "row_id long, x double, y double")
+    want = np.hypot(xy[:, None, 0] - centres[None, :, 0], xy[:, None, 1] - centres[None, :, 1]).argmin(1)
+    got = {(r.x, r.y): r.cell for r in assign.nearest(points, cells, few=100).collect()}
+    assert got == {(float(x), float(y)): int(c) for (x, y), c in zip(xy, want, strict=True)}
