@@ -35,9 +35,16 @@ def nearest_centre(spark, sf):
     return rounded(_nearest(spark, sf).select("row_id", "cell", "distance"))
 
 
-@query(f"WITH {WALK}, {CELLS} SELECT row_id, {r('min(sqrt((x - c_x) * (x - c_x) + (y - c_y) * (y - c_y)))', 'distance')} FROM p, c GROUP BY row_id")
+#: Places on a lattice of width 1 that hold a location: more centres than a literal array takes.
+_PLACES = "k AS (SELECT DISTINCT CAST(round(x) * 1000 + round(y) AS BIGINT) AS cell, round(x) AS c_x, round(y) AS c_y FROM p)"
+
+
+@query(f"WITH {WALK}, {_PLACES} SELECT row_id, min(s.cell) AS cell, {r('min(s.d)', 'distance')} FROM (SELECT row_id, arg_min({{'cell': cell, 'd': {D}}}, ((x - c_x) * (x - c_x) + (y - c_y) * (y - c_y), cell)) AS s FROM p, k GROUP BY row_id) GROUP BY row_id")
 def nearest_centre_bucketed(spark, sf):
-    return rounded(A.nearest_bucketed(walk(spark, sf), _cells(spark)).select("row_id", "distance"))
+    """The nearest of all places rounded to whole numbers."""
+    df = walk(spark, sf)
+    places = df.select((F.round("x") * 1000 + F.round("y")).cast("long").alias("cell"), F.round("x").alias("c_x"), F.round("y").alias("c_y")).distinct()
+    return rounded(A.nearest_bucketed(df, places).select("row_id", "cell", "distance"))
 
 
 _HEX = "h AS (SELECT CAST(i AS INT) AS cell, (i % 8) * 80e0 + ((i // 8) % 2) * 40e0 AS c_x, (i // 8) * (120e0 / sqrt(3)) AS c_y FROM range(24) r(i))"
@@ -105,11 +112,6 @@ def nearest_of_several(spark, sf):
     return A.one_cell(A.within(walk(spark, sf), _cells(spark), 40.0))
 
 
-@query(f"WITH {WALK}, o AS (SELECT {CELL} AS cell FROM p WHERE x < 300) SELECT c AS cell, count(o.cell) AS k FROM (SELECT CAST(i AS INT) AS c FROM range(50) r(i)) LEFT JOIN o ON o.cell = c GROUP BY c")
-def location_count_zero_filled(spark, sf):
-    return A.counts(on_grid(walk(spark, sf).where("x < 300")), _cells(spark))
-
-
 @query(f"WITH {WALK} SELECT {CELL} AS cell, count(*) AS k, {r('avg(x)', 'm_x', 4)}, {r('avg(y)', 'm_y', 4)} FROM p GROUP BY 1")
 def cell_centroids(spark, sf):
     return rounded(A.centroids(on_grid(walk(spark, sf))), 4)

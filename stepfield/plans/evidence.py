@@ -101,11 +101,9 @@ def steps_for_evidence(spark, sf):
 
 @query()
 def evidence_bounds(spark, sf):
-    """Total forces, along the spurious one, between which the evidence speaks against a force by a factor of two. No SQL: bracketed roots; tested by what the evidence is
-    there."""
-    m = _forces(spark, sf).withColumn("norm", F.hypot("spurious_x", "spurious_y")).where("norm > 0")
-    across = (F.col("zeta_x") * F.col("spurious_y") - F.col("zeta_y") * F.col("spurious_x")) / F.col("norm")
-    m = m.withColumns({"spurious_along": F.col("norm"), "zeta_across": across})
+    """Total forces, were they along the spurious one, between which the evidence speaks against a force by a factor of two. No SQL: bracketed roots; tested by what the
+    evidence is there."""
+    m = _forces(spark, sf).withColumns({"spurious_along": F.hypot("spurious_x", "spurious_y"), "zeta_across": F.lit(0.0)})
     return rounded(B.force_roots(m, 0.5).select("cell", "root_low", "root_high"))
 
 

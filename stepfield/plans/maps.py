@@ -63,11 +63,14 @@ def infer_df_jeffreys(spark, sf):
 
 
 @query(
-    f"WITH {WALK}, {MOVES}, s AS (SELECT *, CAST(floor((t - 1704067200e0) / 604800e0) AS INT) AS seg FROM d), m AS (SELECT seg, {CELL} AS cell, count(*) AS k, sum(dx * dx + dy * dy) AS s, avg(dt) AS dt, max(dt) AS dt_max FROM s WHERE seg < 4 GROUP BY ALL) "
+    f"WITH {WALK}, {MOVES}, s AS (SELECT *, CAST(floor((t - 1704067200e0) / 604800e0) AS INT) AS seg FROM d), m AS (SELECT seg, {CELL} AS cell, count(*) AS k, sum(dx * dx + dy * dy) AS s, avg(dt) AS dt, max(dt) AS dt_max FROM s GROUP BY ALL) "
     f"SELECT seg, cell, k, {r(_bound('(s / (4e0 * k) - 9e-4) / dt'), 'diffusivity', 9)} FROM m"
 )
 def infer_d_by_week(spark, sf):
-    moves = A.windows(on_grid(T.to_translocations(walk(spark, sf))), 1704067200.0, 1704067200.0 + 4 * 604800, 604800.0)
+    """Diffusivity by week, over all weeks from the first Monday of 2024 on that hold steps."""
+    moves, start, week = on_grid(T.to_translocations(walk(spark, sf))), 1704067200.0, 604800.0
+    last = moves.agg(F.max("t")).first()[0] or start
+    moves = A.windows(moves, start, start + week * (1 + (last - start) // week), week)
     return rounded(I.infer_d(moves, I.SIGMA2, False, "seg", "cell").select("seg", "cell", "k", "diffusivity"), 9)
 
 

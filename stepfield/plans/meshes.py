@@ -153,12 +153,10 @@ def roi_squares(spark, sf):
     return R.crop_union(walk(spark, sf), roi).groupBy("n").agg(F.count("*").alias("k"))
 
 
-@query(f"WITH {WALK} SELECT CAST(1 AS BIGINT) AS n, row_id, {r('sqrt((x - px) ** 2 + (y - py) ** 2)', 'step', 4)} FROM (SELECT *, lag(x) OVER (ORDER BY t, row_id) AS px, lag(y) OVER (ORDER BY t, row_id) AS py FROM p WHERE n = 1)")
+@query(f"WITH {WALK} SELECT CAST(1 AS BIGINT) AS n, row_id, {r('sqrt((x - px) ** 2 + (y - py) ** 2)', 'step', 4)} FROM (SELECT *, lag(x) OVER (ORDER BY t, row_id) AS px, lag(y) OVER (ORDER BY t, row_id) AS py FROM p)")
 def one_particle_steps(spark, sf):
-    """One source's locations as a single particle's trajectory, with its steps."""
-    w = C.along()
-    df = R.one_particle(walk(spark, sf).where("n = 1"))
-    return rounded(df.select("n", "row_id", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)).alias("step")), 4)
+    """All locations as a single particle's trajectory, with its steps."""
+    return rounded(R.steps_in_order(R.one_particle(walk(spark, sf))).select("n", "row_id", "step"), 4)
 
 
 @query(

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from stepfield.plans.common import CELL, GRID, WALK, r, rounded
 from stepfield.plans.registry import query
+from stepfield.sources.storage import folder
 from stepfield.streaming import windows
 
 
 @query(f"WITH {WALK} SELECT CAST(floor(t / 86400) AS BIGINT) AS day, {CELL} AS cell, count(*) AS k, {r('avg(x)', 'm_x')} FROM p GROUP BY 1, 2")
 def streamed_cell_counts(spark, sf):
-    """Counts per cell and day from a file stream over the events, run to its end; the result is as large as its windows, not the stream."""
+    """Counts per cell and day from a file stream over the events, run to its end; changed counts are written batch by batch."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
     instant = F.expr("timestamp_micros(cast(cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(18,6)) * 1000000 as bigint))")
     places = stream.select(instant.alias("ts"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y")).withColumn("cell", GRID.cell())
-    name = f"stream_{uuid.uuid4().hex}"
-    windows.cell_counts(places, "1 day", late="2 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    path = folder(spark, "stream")
+    found = windows.kept(windows.cell_counts(places, "1 day", late="2 days"), f"{path}/rows", f"{path}/progress", ["window", "cell"])
     day = F.floor(F.unix_seconds("window.start") / 86400)
-    return rounded(spark.table(name).select(day.alias("day"), "cell", "k", "m_x"))
+    return rounded(found.select(day.alias("day"), "cell", "k", "m_x"))

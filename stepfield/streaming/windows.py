@@ -22,3 +22,17 @@ def cell_statistics(stream: DataFrame, width: str, late: str = "1 hour", time: s
     return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("window"), "cell").agg(
         F.count("*").alias("k"), F.sum(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("s"), F.sum("dx").alias("m_x"), F.sum("dy").alias("m_y"), F.avg("dt").alias("dt"), F.max("dt").alias("dt_max")
     )
+
+
+def kept(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Runs an aggregated stream over what its source holds now; each batch's changed rows are written below `path`, under the batch's number, so a batch run
+    again after a failure replaces its own. Returns the newest row of each key; nothing of the result passes through the driver."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    newest = spark.read.parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return newest.select(*keys, *(F.col(f"_v.{c}").alias(c) for c in values))
