@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +189,47 @@ def sliding(df: DataFrame, rows: int) -> DataFrame:
     return _stepped(df).withColumns({"step_mean": F.avg("step").over(w), "step_std": F.stddev_pop("step").over(w)})
 
 
+def row_windows(df: DataFrame, rows: int, step: int = 1) -> DataFrame:
+    """Every window of `rows` successive rows of a trajectory, at starts 0, step, ... below its size less `rows`, as a trajectory of its own: n becomes `n:start`, so any
+    feature applies to it. A row is copied into rows / step windows at most."""
+    own = df.withColumns({"_i": F.row_number().over(along()) - 1, "_size": F.count("*").over(Window.partitionBy("n"))})
+    first = F.greatest(F.ceil((F.col("_i") - (rows - 1)) / step), F.lit(0))
+    last = F.floor(F.least(F.col("_i"), F.col("_size") - rows - 1) / step)
+    dealt = own.where(first <= last).withColumn("_w", F.explode(F.sequence(first, last)))
+    return dealt.withColumn("n", F.concat_ws(":", F.col("n").cast("string"), (F.col("_w") * step).cast("string"))).select(*df.columns)
+
+
+def _by_window(df: DataFrame, feature: Callable[[DataFrame], DataFrame], rows: int, step: int) -> DataFrame:
+    """The feature of every window: (n, start, ...)."""
+    found = feature(row_windows(df, rows, step))
+    start = F.substring_index("n", ":", -1).cast("int")
+    n = F.expr("substring(n, 1, length(n) - length(substring_index(n, ':', -1)) - 1)").cast(df.schema["n"].dataType)
+    return found.select(n.alias("n"), start.alias("start"), *(c for c in found.columns if c != "n"))
+
+
+def feature_vector(df: DataFrame, feature: Callable[[DataFrame], DataFrame], rows: int, step: int = 1) -> DataFrame:
+    """(n, i, ...): a feature (trajectories -> a row for each n) of windows of `rows` rows, at each window's middle row i = start + rows // 2; rows before the first middle take the first
+    window's values, rows after the last one the last window's. Trajectories of at most `rows` rows have none."""
+    size = df.groupBy("n").agg(F.count("*").cast("int").alias("_size"))
+    found = _by_window(df, feature, rows, step).join(size, "n")
+    end = ((F.col("_size") - rows - 1) / step).cast("int") * step
+    low = F.when(F.col("start") == 0, 0).otherwise(F.col("start") + rows // 2)
+    at = F.when((F.col("start") == 0) | (F.col("start") == end), F.sequence(low, F.when(F.col("start") == end, F.col("_size") - 1).otherwise(F.lit(rows // 2)))).otherwise(F.array(low))
+    return found.withColumn("i", F.explode(at)).select("n", "i", *(c for c in found.columns if c not in ("n", "start", "_size")))
+
+
+def mean_by_scale(df: DataFrame, feature: Callable[[DataFrame], DataFrame], scales: Sequence[int]) -> DataFrame:
+    """(n, rows, ...): for each scale, the feature's mean over all windows of so many rows, over its value for the whole trajectory (null where that is 0)."""
+    whole = feature(df)
+    names = [c for c in whole.columns if c != "n"]
+    whole = whole.select("n", *(F.col(c).alias(f"_{c}") for c in names))
+    out = None
+    for k in scales:
+        one = _by_window(df, feature, k, 1).groupBy("n").agg(*(F.avg(c).alias(c) for c in names)).withColumn("rows", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out.join(whole, "n").select("n", "rows", *((F.col(c) / F.nullif(F.col(f"_{c}"), F.lit(0.0))).alias(c) for c in names))
+
+
 def resampled(df: DataFrame, points: int) -> DataFrame:
     """Trajectories at `points` evenly spaced times, linear between locations."""
     w = along()
@@ -245,13 +286,15 @@ def convex_hull(df: DataFrame, key: str = "n") -> DataFrame:
 
     def reduce(batches):
         for b in batches:
-            keys, x, y = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            groups: dict = {}
-            for k, key_ in enumerate(keys):
-                groups.setdefault(key_, []).append(k)
-            for key_, at in groups.items():
-                h = _hull(np.stack([x[at], y[at]], 1))
-                yield pa.RecordBatch.from_arrays([pa.array([key_] * len(h), b.schema.field(0).type), pa.array(h[:, 0]), pa.array(h[:, 1])], names=[key, "x", "y"])
+            x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            code = b.column(0).dictionary_encode()
+            at = code.indices.to_numpy()
+            order = np.argsort(at, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []
+            hulls = [_hull(np.stack([x[rows], y[rows]], 1)) for rows in parts]
+            corners = np.concatenate([*hulls, np.zeros((0, 2))])
+            names = code.dictionary.take(pa.array(np.repeat([at[rows[0]] for rows in parts], [len(h) for h in hulls]).astype("int64")))
+            yield pa.RecordBatch.from_arrays([names, pa.array(corners[:, 0]), pa.array(corners[:, 1])], names=[key, "x", "y"])
 
     def measure(table: pa.Table) -> pa.Table:
         points = np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], 1)
@@ -263,10 +306,10 @@ def convex_hull(df: DataFrame, key: str = "n") -> DataFrame:
     return corners.groupBy(key).applyInArrow(measure, f"{key} {kind}, hull_area double, hull_perimeter double, hull_diameter double")
 
 
-def all_features(df: DataFrame, lags: Sequence[int] = LAGS) -> DataFrame:
-    """Every feature, joined on n; all parts share the partitioning by n."""
+def all_features(df: DataFrame, lags: Sequence[int] = LAGS, largest: float = 0.5) -> DataFrame:
+    """Every feature, joined on n; all parts share the partitioning by n. `largest` bounds the radii of the fractal slope."""
     out = spans(df)
-    for part in (step_moments(df), msd_fit(df, lags), drift(df), displacement_pdf_fit(df, lags), gyration(df), efficiency(df), axis_kurtosis(df), angle_features(df), step_autocorrelation(df), gaussianity_features(df, lags), ergodicity(df), escape_distances(df)):
+    for part in (step_moments(df), msd_fit(df, lags), drift(df), displacement_pdf_fit(df, lags), gyration(df), efficiency(df), axis_kurtosis(df), angle_features(df), step_autocorrelation(df), gaussianity_features(df, lags), ergodicity(df), escape_distances(df), convex_hull(df), ergodicity_breaking(df), fractal_slope(df, largest=largest)):
         out = out.join(part.select("n", *(c for c in part.columns if c not in out.columns)), "n", "left")
     return out
 

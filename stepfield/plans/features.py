@@ -166,18 +166,6 @@ def displacement_fit(spark, sf):
     return rounded(X.displacement_pdf_fit(steps(spark, sf)))
 
 
-_PARTS = ("step_length_stats", "msd_fit", "drift_norm", "gyration_shape", "efficiency_straightness", "axis_kurtosis", "angle_features", "gaussianity_features", "ergodicity", "escape_distances", "displacement_fit")
-_SPANS = f"SELECT n, count(*) AS size, 0e0 AS t_min, count(*) - 1e0 AS t_max, 1e0 AS dt, TRUE AS is_dt_constant FROM (WITH {WALK} SELECT n FROM p) GROUP BY n"
-#: Digits of features that are large or come from parts rounded so; six otherwise.
-_DIGITS = dict.fromkeys(("step_mean", "step_skewness", "step_kurtosis", "step_min", "step_max", "drift_norm", "axis_kurtosis", "escape_q1", "escape_median", "escape_q3"), 4) | dict.fromkeys(("l1", "l2", "msd_diffusion"), 3) | {"step_var": 2}
-
-
-@query(f"SELECT * FROM ({_SPANS}) " + " ".join(f"LEFT JOIN ({ORACLE[part]}) USING (n)" for part in _PARTS) + f" LEFT JOIN (SELECT * EXCLUDE (step_var) FROM ({ORACLE['step_autocorr']})) USING (n)")
-def all_features(spark, sf):
-    out = X.all_features(steps(spark, sf))
-    return rounded(out.withColumns({c: F.round(c, d) for c, d in _DIGITS.items()}))
-
-
 _ROI = "b AS (SELECT i AS idx, (i % 6) * 70e0 AS x_min, (i % 6) * 70e0 + 80e0 AS x_max, (i // 6) * 30e0 AS y_min, (i // 6) * 30e0 + 25e0 AS y_max FROM range(18) r(i))"
 
 

@@ -156,3 +156,40 @@ def roi_files(spark, sf):
     locations.write_roi(boxes, path)
     kept = [F.col(c).cast("double").alias(c) for c in ("x_min", "x_max", "y_min", "y_max")]
     return points_in_boxes(walk(spark, sf), locations.read_roi(spark, path).select(*kept), ["x_min", "y_min"]).groupBy("x_min", "y_min").agg(F.count("*").alias("k"))
+
+
+_PARTS = ("step_length_stats", "msd_fit", "drift_norm", "gyration_shape", "efficiency_straightness", "axis_kurtosis", "angle_features", "gaussianity_features", "ergodicity", "escape_distances", "displacement_fit", "convex_hull", "ergodicity_breaking", "fractal_slope")
+_SPANS = f"SELECT n, count(*) AS size, 0e0 AS t_min, count(*) - 1e0 AS t_max, 1e0 AS dt, TRUE AS is_dt_constant FROM (WITH {WALK} SELECT n FROM p) GROUP BY n"
+#: Digits of features that are large or come from parts rounded so; six otherwise.
+_DIGITS = dict.fromkeys(("step_mean", "step_skewness", "step_kurtosis", "step_min", "step_max", "drift_norm", "axis_kurtosis", "escape_q1", "escape_median", "escape_q3", "hull_area", "hull_perimeter", "hull_diameter", "frac_slope"), 4) | dict.fromkeys(("l1", "l2", "msd_diffusion"), 3) | {"step_var": 2}
+
+
+@query(f"SELECT * FROM ({_SPANS}) " + " ".join(f"LEFT JOIN ({ORACLE[part]}) USING (n)" for part in _PARTS) + f" LEFT JOIN (SELECT * EXCLUDE (step_var) FROM ({ORACLE['step_autocorr']})) USING (n)")
+def all_features(spark, sf):
+    out = X.all_features(steps(spark, sf), largest=200.0)
+    return rounded(out.withColumns({c: F.round(c, d) for c, d in _DIGITS.items()}))
+
+
+_WINDOW = "v AS (SELECT n, CAST(row_number() OVER (PARTITION BY n ORDER BY t, row_id) - 1 AS INT) AS start, CAST(count(*) OVER (PARTITION BY n) AS INT) AS size, avg(step) OVER (PARTITION BY n ORDER BY t, row_id ROWS BETWEEN 1 FOLLOWING AND {after} FOLLOWING) AS step_mean FROM s)"
+_STEPPED = f"s AS (SELECT *, sqrt((x - lag(x) OVER {W}) ** 2 + (y - lag(y) OVER {W}) ** 2) AS step FROM p)"
+
+
+def _mean_step(df):
+    return X.step_moments(df).select("n", "step_mean")
+
+
+@query(
+    f"WITH {STEPS}, {_STEPPED}, {_WINDOW.format(after=6)}, m AS (SELECT * FROM v WHERE start < size - 7) SELECT n, i, {r('step_mean', digits=4)} FROM (SELECT n, unnest(range(CASE WHEN start = 0 THEN 0 ELSE start + 3 END, CASE WHEN start = size - 8 THEN size ELSE start + 4 END))::INT AS i, step_mean FROM m)"
+)
+def feature_vector(spark, sf):
+    """Mean steps of windows of seven rows, at every row."""
+    return rounded(X.feature_vector(steps(spark, sf), _mean_step, 7), 4)
+
+
+@query(
+    f"WITH {STEPS}, {_STEPPED}, w AS (SELECT n, avg(step) AS whole FROM s GROUP BY n) "
+    + " UNION ALL ".join(f"SELECT n, {k} AS rows, {r('avg(step_mean) / nullif(any_value(whole), 0)', 'step_mean')} FROM ({'WITH ' + _WINDOW.format(after=k - 1)} SELECT * FROM v) JOIN w USING (n) WHERE start < size - {k} GROUP BY n" for k in (3, 9, 27))
+)
+def feature_by_scale(spark, sf):
+    """Mean steps of windows of 3, 9 and 27 rows over those of whole trajectories."""
+    return rounded(X.mean_by_scale(steps(spark, sf), _mean_step, [3, 9, 27]))
