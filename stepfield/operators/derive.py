@@ -151,3 +151,12 @@ def quadratic_gradient(maps: DataFrame, edges: DataFrame, value: str) -> DataFra
 
     near = _near(maps, edges, value).select(F.col("i").cast("int"), *(F.col(c).cast("double") for c in ("ix", "iy", "iv", "jx", "jy", "jv")))
     return near.groupBy("i").applyInArrow(fit, "cell int, grad_x double, grad_y double")
+
+
+def inner_area(cells: DataFrame, edges: DataFrame, distance: int = 1) -> DataFrame:
+    """(cell, area): the volumes of a cell and of all cells fewer than `distance` steps away, which a contour at that distance has inside."""
+    near = edges.select("i", "j").distinct()
+    inside = cells.select("cell", F.col("cell").alias("j"))
+    for _ in range(distance - 1):
+        inside = inside.unionByName(inside.withColumnRenamed("j", "i").join(near, "i").select("cell", "j")).distinct()
+    return inside.join(cells.select(F.col("cell").alias("j"), "volume"), "j").groupBy("cell").agg(F.sum("volume").alias("area"))

@@ -306,6 +306,14 @@ def convex_hull(df: DataFrame, key: str = "n") -> DataFrame:
     return corners.groupBy(key).applyInArrow(measure, f"{key} {kind}, hull_area double, hull_perimeter double, hull_diameter double")
 
 
+def shape_features(df: DataFrame) -> DataFrame:
+    """The features of a trajectory's shape: hull, gyration and its asymmetries, efficiency, straightness and kurtosis along the main axis."""
+    out = gyration(df)
+    for part in (efficiency(df), axis_kurtosis(df), convex_hull(df)):
+        out = out.join(part.select("n", *(c for c in part.columns if c not in out.columns)), "n", "left")
+    return out
+
+
 def all_features(df: DataFrame, lags: Sequence[int] = LAGS, largest: float = 0.5) -> DataFrame:
     """Every feature, joined on n; all parts share the partitioning by n. `largest` bounds the radii of the fractal slope."""
     out = spans(df)

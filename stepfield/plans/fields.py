@@ -170,6 +170,15 @@ def all_features(spark, sf):
     return rounded(out.withColumns({c: F.round(c, d) for c, d in _DIGITS.items()}))
 
 
+_SHAPE = ("gyration_shape", "efficiency_straightness", "axis_kurtosis", "convex_hull")
+
+
+@query(f"SELECT * FROM ({ORACLE[_SHAPE[0]]}) " + " ".join(f"LEFT JOIN ({ORACLE[part]}) USING (n)" for part in _SHAPE[1:]))
+def shape_features(spark, sf):
+    out = X.shape_features(walk(spark, sf))
+    return rounded(out.withColumns({c: F.round(c, d) for c, d in _DIGITS.items() if c in out.columns}))
+
+
 _WINDOW = "v AS (SELECT n, CAST(row_number() OVER (PARTITION BY n ORDER BY t, row_id) - 1 AS INT) AS start, CAST(count(*) OVER (PARTITION BY n) AS INT) AS size, avg(step) OVER (PARTITION BY n ORDER BY t, row_id ROWS BETWEEN 1 FOLLOWING AND {after} FOLLOWING) AS step_mean FROM s)"
 _STEPPED = f"s AS (SELECT *, sqrt((x - lag(x) OVER {W}) ** 2 + (y - lag(y) OVER {W}) ** 2) AS step FROM p)"
 

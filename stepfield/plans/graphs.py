@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepfield.operators import assign as A
+from stepfield.operators import derive as V
 from stepfield.operators import graph as G
 from stepfield.operators import infer as I
 from stepfield.operators import roi as R
@@ -197,3 +198,20 @@ def roi_groups(spark, sf):
 def location_count_zero_filled(spark, sf):
     """Counts of the fine grid's cells, empty ones included."""
     return A.counts(walk(spark, sf).withColumn("cell", FINE.cell()), FINE.cells(spark))
+
+
+@query(
+    f"WITH {WALK}, {_BUSY}, a AS (SELECT cell, cell AS j FROM u UNION SELECT i, j FROM e UNION SELECT a.i, b.j FROM e a JOIN e b ON b.i = a.j) "
+    f"SELECT a.cell, {r('sum(u.k / 25e0)', 'area')} FROM a JOIN u ON u.cell = a.j GROUP BY a.cell"
+)
+def inner_areas(spark, sf):
+    """What a contour three steps about each busy cell has inside, cells counting by their density."""
+    df = walk(spark, sf)
+    return rounded(V.inner_area(_busy(df).select("cell", (F.col("k") / 25.0).alias("volume")), _edges(df), 3))
+
+
+@query(f"WITH {WALK}, {_box_sql(10.0)} SELECT row_id, count(*) AS boxes, min(idx) AS first_box, max(idx) AS last_box FROM p JOIN b ON x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max GROUP BY row_id")
+def roi_union_index(spark, sf):
+    """Locations in any box, once, with the boxes that each is in."""
+    out = R.crop_union_indexed(walk(spark, sf), _boxes(spark, sf, 10.0))
+    return out.select("row_id", F.size("boxes").cast("long").alias("boxes"), F.array_min("boxes").alias("first_box"), F.array_max("boxes").alias("last_box"))
