@@ -98,7 +98,7 @@ def knn_points(assigned: DataFrame, points: DataFrame, cells: DataFrame, least:
     `least` points; these lie within their diagonal, so only points no farther away are candidates, ranked in hashed slices first."""
     own = assigned.groupBy("cell").agg(F.count("*").alias("k"))
     small = checkpointed(cells.join(own, "cell", "left").where(F.coalesce("k", F.lit(0)) < least).select("cell", "c_x", "c_y"))
-    big = assigned.join(small.select("cell"), "cell", "left_anti").select("row_id", "cell")
+    big = assigned.where("cell is not null").join(small.select("cell"), "cell", "left_anti").select("row_id", "cell")
     if small.isEmpty():
         return big
     return big.unionByName(_top(_small_candidates(small, points, least), least).select("row_id", "cell"))
@@ -205,7 +205,8 @@ def in_segments(df: DataFrame, segs: DataFrame) -> DataFrame:
 def _spans(timed: DataFrame, buckets: int) -> tuple[list[float], list[int]]:
     """Edges of spans of time that hold about as many rows each, wherever the rows lie, and the rows before each edge. A time that many rows share is a
     span by itself."""
-    cuts = timed.agg(F.percentile_approx("t", [i / buckets for i in range(buckets + 1)], 10 * buckets), F.min("t"), F.max("t")).first()
+    shares = ",".join(f"{i / buckets!r}D" for i in range(buckets + 1))
+    cuts = timed.agg(F.expr(f"percentile_approx(t, array({shares}), {10 * buckets})"), F.min("t"), F.max("t")).first()
     if cuts[1] is None:
         return [], []
     crowded = {a for a, b in zip(cuts[0], cuts[0][1:], strict=False) if a == b} | {cuts[2]}
