@@ -8,7 +8,8 @@ digits as one blank; q-grams are 8 bytes of UTF-8, so a q-gram is one 64-bit int
 
 Three exact ways keep frequent q-grams from multiplying rows. Of q-grams with over HOT places, a passage leaves out as many as its
 bound can be lowered by, to no less than half. A passage that repeats a q-gram more than REPEATS times is counted by text place
-alone, without diagonals, and aligned with whole stretches of the text. Shared q-grams are counted in slices of SLICE rows. Passages of
+alone, without diagonals, and aligned with whole stretches of the text. Passages of LONG bytes or more are aligned by integers of a bit a diagonal, on the
+diagonals that unharmed pieces leave for 8 edits, then for more, so that they cost their length times the edits they have, not their square. Shared q-grams are counted in slices of SLICE rows. Passages of
 under `least` bytes, too short for the lemma, are looked up whole, at word boundaries and without edits, by one automaton.
 
 The passages are a query set: texts are never shuffled or compared with each other, each task looks its texts up in an
@@ -37,6 +38,8 @@ Q = 8
 EDITS, LEAST_BYTES = 0.1, 32
 #: Places beyond which a q-gram may be left out, repeats of a q-gram within a passage beyond which diagonals are not counted, and rows counted at a time.
 HOT, REPEATS, SLICE = 64, 16, 1 << 21
+#: Bytes from which a passage is aligned by itself instead of with others, few edits first, and places of one of its pieces beyond which the piece counts everywhere.
+LONG, OFTEN = 1024, 8
 BLOCK_BYTES = 8 << 20
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 22)
@@ -207,19 +210,86 @@ def _stretches(at: np.ndarray, slot: np.ndarray, starts: np.ndarray, index: Inde
     return out
 
 
-def _best_place(item: bytes, text: bytes) -> tuple[int, int]:
-    """The least edits of an item at any place of a text, and the first end of such a place."""
+def _number(flags: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def _costs(left: int, up: int, down: int, width: int) -> np.ndarray:
+    """The costs of a row from the one at its left end and the steps by +1 and -1 to its right."""
+    bits = [np.unpackbits(np.frombuffer(x.to_bytes(-(-width // 8), "little"), np.uint8), count=width, bitorder="little").astype(np.int32) for x in (up, down)]
+    return np.concatenate([[left], left + np.cumsum(bits[0] - bits[1])])
+
+
+def _band(item: bytes, window: bytes, width: int, most: int) -> tuple[int, int]:
+    """The least edits of an item in a window, over alignments on its first `width` diagonals that may begin on any of them, and the first end of such a
+    place; stops, with minus the bytes done as the end, when all cost more than `most`. A row of the table is two integers of a bit a diagonal (steps of +1 and of -1), advanced by
+    arithmetic on whole integers, a byte of the item at a time."""
+    m, full = len(item), (1 << width) - 1
+    codes = np.frombuffer(window[: m + width].ljust(m + width, b"\0"), np.uint8)
+    up = down = left = 0
+    block = min(m, max(1024, width))
+    for base in range(0, m, block):
+        part = item[base : base + block]
+        near = codes[base : base + len(part) + width]
+        equal = {c: _number(near == c) for c in set(part)}
+        for i, c in enumerate(part):
+            same = equal[c] >> i
+            straight = ((((same & up) + up) ^ up) | same | down) & full
+            rise, fall = down | (full ^ (straight | up)), straight & up
+            left += 1 - (straight & 1)
+            straight >>= 1
+            up, down = fall | (full ^ (straight | rise)), rise & straight
+            if i & 1023 == 1023 and _costs(left, up, down, width).min() > most:
+                return most + 1, -(base + i + 1)
+    cost = _costs(left, up, down, width)
+    return int(cost.min()), m + int(cost.argmin())
+
+
+def _spans(item: bytes, text: bytes, edits: int) -> list[tuple[int, int]]:
+    """Ranges of diagonals that hold every alignment of the item with at most so many edits. Of 2 edits + 1 pieces of the item more than half are unharmed, their
+    diagonals lie no farther apart than the edits, and the alignment leaves them by no more than the edits. Pieces with over OFTEN places count everywhere."""
+    size = len(item) // (2 * edits + 1)
+    pieces: dict[bytes, list[int]] = {}
+    for own in range(0, size * (2 * edits + 1), size):
+        pieces.setdefault(item[own : own + size], []).append(own)
+    heads = np.frombuffer(b"".join(x[:Q] for x in pieces), "<u8")
+    places: dict[bytes, list[int]] = {}
+    for at in np.flatnonzero(np.isin(_grams(text), heads)).tolist():
+        if (piece := text[at : at + size]) in pieces:
+            places.setdefault(piece, []).append(at)
+    need = edits + 1 - sum(len(pieces[x]) for x, at in places.items() if len(at) > OFTEN)
+    if need < 1:
+        return [(-edits, len(text) + edits + 1)]
+    diagonals = np.sort(np.array([t - own for x, at in places.items() if len(at) <= OFTEN for t in at for own in pieces[x]], np.int64))
+    last = np.searchsorted(diagonals, diagonals + edits, side="right")
+    spans: list[tuple[int, int]] = []
+    for first in np.flatnonzero(last - np.arange(len(last)) >= need).tolist():
+        low, high = int(diagonals[first]) - edits, int(diagonals[last[first] - 1]) + edits + 1
+        spans[-1:] = [(spans[-1][0], high)] if spans and spans[-1][1] >= low else [*spans[-1:], (low, high)]
+    return spans
+
+
+def _best_place(item: bytes, text: bytes, budget: int | None = None) -> tuple[int, int]:
+    """The least edits of an item at any place of a text, and the first end of such a place; if they exceed the budget, any number above it. Few edits are
+    tried first, on the diagonals that pieces of the item leave for them, so a long passage costs its length times the edits that it has."""
     if (at := text.find(item)) >= 0:
         return 0, at + len(item)
-    t, slope = np.frombuffer(text, np.uint8), np.arange(len(text) + 1, dtype=np.int32)
-    cost = np.zeros(len(text) + 1, np.int32)
-    for i, c in enumerate(item, 1):
-        new = cost + 1
-        np.minimum(new[1:], cost[:-1] + (t != c), out=new[1:])
-        new[0] = i
-        cost = np.minimum.accumulate(new - slope) + slope
-    end = int(cost.argmin())
-    return int(cost[end]), end
+    most = len(item) if budget is None else budget
+    edits = 8 if len(item) >= LONG else most
+    while True:
+        few = edits < most and len(item) // (2 * edits + 1) >= Q
+        edits = edits if few else most
+        best, guess = (edits + 1, 0), 4 * edits
+        for low, high in _spans(item, text, edits) if few else [(-edits, len(text) + edits + 1)]:
+            got, end = _band(item, b"\0" * max(0, -low) + text[max(0, low) : high + len(item)], high - low, edits)
+            if end < 0:  # stopped at byte -end: about as many edits a byte are expected of the rest
+                guess = min(guess, max(2 * edits, edits * 5 * len(item) // (4 * -end)))
+            elif got > edits:
+                guess = min(guess, got)
+            best = min(best, (got, max(0, min(low + end, len(text)))))
+        if best[0] <= edits or not few:
+            return best
+        edits = max(edits + 1, guess)
 
 
 def _align(windows: list[bytes], items: list[bytes], bands: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -253,18 +323,29 @@ def find(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int
     at, slot = _hits(buffer, index)
     best: dict[tuple[int, int], tuple[int, int]] = {(t, i): (0, end) for t, p in enumerate(plain) for i, end in index.short_places(p).items()}
     for text, item, low, high in _stretches(at, slot, starts, index):
-        edits, end = _best_place(index.items[item], plain[text][max(0, low) : high])
+        edits, end = _best_place(index.items[item], plain[text][max(0, low) : high], int(index.budget[item]))
         if edits <= index.budget[item]:
             best[text, item] = min(best.get((text, item), (1 << 30, 0)), (edits, max(0, low) + end))
-    open_regions = []
+    open_regions, long_regions = [], {}
     for text, item, diagonal in _regions(at, slot, starts, index):
         k, m = int(max(1, index.budget[item])), len(index.items[item])
         low, start, size = diagonal - k, int(starts[text]), len(plain[text])
         exact = buffer.find(index.items[item], max(start, low), min(start + size, low + m + 5 * k))
         if exact >= 0:
             best[text, item] = min(best.get((text, item), (1 << 30, 0)), (0, exact + m - start))
+        elif m >= LONG:
+            long_regions.setdefault((text, item), []).append(low - start)
         else:
             open_regions.append((text, item, low - start))
+    for (text, item), lows in long_regions.items():
+        k, m = int(index.budget[item]), len(index.items[item])
+        lows = np.unique(lows)
+        cuts = np.flatnonzero(np.diff(lows) > 4 * k) + 1
+        for own in np.split(lows, cuts):  # bands that overlap are one stretch
+            low = max(0, int(own[0]))
+            edits, end = _best_place(index.items[item], plain[text][low : max(0, int(own[-1]) + m + 4 * k)], k)
+            if edits <= k:
+                best[text, item] = min(best.get((text, item), (1 << 30, 0)), (edits, low + end))
     for b in range(0, len(open_regions), 1024):
         part = [r for r in open_regions[b : b + 1024] if (r[0], r[1]) not in best or best[r[0], r[1]][0] > 0]
         if not part:

@@ -88,3 +88,53 @@ def test_best_place_is_the_edit_distance():
     for _ in range(60):
         item, text = ("".join(rng.choice(list("ab "), n)).encode() for n in (9, 40))
         assert decontaminate._best_place(item, text)[0] == edit_distance_in(item, text)
+
+
+def table_of_costs(item, text):
+    """(least edits, first end) by the whole table."""
+    t, slope = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    cost = np.zeros(len(text) + 1, np.int64)
+    for i, c in enumerate(item, 1):
+        new = cost + 1
+        np.minimum(new[1:], cost[:-1] + (t != c), out=new[1:])
+        new[0] = i
+        cost = np.minimum.accumulate(new - slope) + slope
+    return int(cost.min()), int(cost.argmin())
+
+
+@pytest.mark.parametrize("often", [0, 8])
+def test_long_passages_against_the_whole_table(monkeypatch, often):
+    """With few edits tried first, on narrowed diagonals: the least edits and the first end, up to the budget and never below it."""
+    monkeypatch.setattr(decontaminate, "LONG", 30)
+    monkeypatch.setattr(decontaminate, "OFTEN", often)
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(300)]
+    say = lambda k: " ".join(rng.choice(words, k))
+    for n in range(120):
+        item = say(rng.integers(20, 200)) if n % 4 else "ab" * int(rng.integers(20, 200))
+        k, s = len(item) // 10, list(item)
+        for at in rng.choice(len(s), rng.integers(0, k + 3), replace=False):
+            s[at] = rng.choice(["", "k", s[at] + "k"])
+        twice = "".join(s) if n % 3 == 0 else ""
+        text = f"{say(rng.integers(0, 90))} {''.join(s)} {say(rng.integers(0, 90))} {twice}".encode()
+        want, got = table_of_costs(item.encode(), text), decontaminate._best_place(item.encode(), text, k)
+        assert got == want if want[0] <= k else got[0] > k
+
+
+def test_edited_copies_of_a_long_passage_take_little_time():
+    """Passages of 20 and 100 kB, copies with a word in sixty changed, and unrelated texts of the same words."""
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(2, 9))) for _ in range(5000)])
+    p = 1 / np.arange(1, 5001)
+    for n, copies, seconds in ((3000, 8, 4), (17000, 4, 8)):
+        passage = rng.choice(words, n, p=p / p.sum())
+        texts = [" ".join(rng.choice(words, n, p=p / p.sum()))]
+        for _ in range(copies):
+            copy = passage.copy()
+            copy[rng.choice(n, n // 60, replace=False)] = rng.choice(words, n // 60)
+            texts.append("before " + " ".join(copy) + " behind")
+        index = decontaminate.build_index([(1, decontaminate.normalise(" ".join(passage)))])
+        began = time.process_time()
+        got = decontaminate.find(texts, index)
+        assert time.process_time() - began < seconds
+        assert [t for t, *_ in got] == list(range(1, copies + 1)) and all(0 < e <= n // 60 * 9 and w == n for _, _, e, w in got)
