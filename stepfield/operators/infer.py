@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepfield.operators.durations import infer_any_dt  # noqa: F401
 from stepfield.operators.potential import SIGMA2, SWEEPS, infer_dv
 from stepfield.sources.storage import checkpointed
 
@@ -54,43 +55,6 @@ def infer_df(steps: DataFrame, sigma2: float = SIGMA2, jeffreys: bool = False, *
     return out.withColumns({f"force_{c}": F.col(f"m_{c}") / (k * F.col("dt") * F.col("diffusivity")) for c in ("x", "y")})
 
 
-def _newton(dx: np.ndarray, dy: np.ndarray, dt: np.ndarray, sigma2: float, mode: str, jeffreys: bool) -> tuple[float, float, float]:
-    """(D, drift x, drift y) for steps of any durations: bisection on log D of the profile posterior's slope, from a bracketing scan."""
-    mean = dt.mean()
-
-    def fit(d: float) -> tuple[float, float, float]:
-        s = d * dt + sigma2
-        w = 1 / s
-        a = ((w * dt * dx).sum() / (w * dt * dt).sum(), (w * dt * dy).sum() / (w * dt * dt).sum()) if mode != "d" else (0.0, 0.0)
-        cost = np.log(4 * np.pi * s).sum() + (((dx - a[0] * dt) ** 2 + (dy - a[1] * dt) ** 2) / (4 * s)).sum()
-        if jeffreys:
-            cost += 2 * np.log(d * mean + sigma2) - (2 * np.log(d) if mode == "df" else 0)
-        return (cost, *a)
-
-    rough = max((dx**2 + dy**2).sum() / (4 * dt.sum()), 1e-12)
-    grid = np.geomspace(rough * 1e-6, rough * 1e2, 81)
-    at = int(np.argmin([fit(d)[0] for d in grid]))
-    low, high = np.log(grid[max(0, at - 1)]), np.log(grid[min(80, at + 1)])
-    g = (5**0.5 - 1) / 2
-    for _ in range(60):
-        a, b = high - g * (high - low), low + g * (high - low)
-        low, high = (low, b) if fit(np.exp(a))[0] < fit(np.exp(b))[0] else (a, high)
-    d = float(np.exp((low + high) / 2))
-    return (d, *fit(d)[1:])
-
-
-def infer_any_dt(steps: DataFrame, mode: str = "d", sigma2: float = SIGMA2, jeffreys: bool = False) -> DataFrame:
-    """The same for steps of unequal durations, cell by cell: mode d, dd or df. A cell's steps meet in one task; cells are small by construction."""
-
-    def run(table: pa.Table) -> pa.Table:
-        dx, dy, dt = (table.column(c).to_numpy() for c in ("dx", "dy", "dt"))
-        d, ax, ay = _newton(dx, dy, dt, sigma2, mode, jeffreys)
-        ax, ay = (ax / d, ay / d) if mode == "df" else (ax, ay)
-        return pa.table({"cell": pa.array([table.column("cell")[0].as_py()], pa.int32()), "k": [len(dx)], "diffusivity": [d], "a_x": [float(ax)], "a_y": [float(ay)]})
-
-    return steps.select(F.col("cell").cast("int"), "dx", "dy", "dt").groupBy("cell").applyInArrow(run, "cell int, k long, diffusivity double, a_x double, a_y double")
-
-
 def smooth_joined(cells: DataFrame, edges: DataFrame, prior: float, mode: str = "d", sigma2: float = SIGMA2, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """Joint maps over cells (statistics() with volume): the per-cell posteriors and `prior` times volume times the squared differences of D between
     neighbours, in rounds of edge joins: (cell, diffusivity), with drift (mode dd) or force (df) as a_x, a_y. A cell's part
