@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stepfield.operators import assign as A
 from stepfield.operators import derive as V
 from stepfield.operators import graph as G
+from stepfield.operators import groups as P
 from stepfield.operators import infer as I
 from stepfield.operators import roi as R
 from stepfield.operators import tessellate as S
@@ -215,3 +216,20 @@ def roi_union_index(spark, sf):
     """Locations in any box, once, with the boxes that each is in."""
     out = R.crop_union_indexed(walk(spark, sf), _boxes(spark, sf, 10.0))
     return out.select("row_id", F.size("boxes").cast("long").alias("boxes"), F.array_min("boxes").alias("first_box"), F.array_max("boxes").alias("last_box"))
+
+
+_STEPS = "CAST(least(floor(({c} - (SELECT min({c}) FROM z)) / (SELECT greatest(max(c_x) - min(c_x), max(c_y) - min(c_y)) FROM z) * 65536e0), 65535) AS BIGINT)"
+
+
+@query(
+    f"WITH {WALK}, {_BUSY}, z AS (SELECT cell, (gx + 0.5) * 5e0 AS c_x, (gy + 0.5) * 5e0 AS c_y FROM u), q AS (SELECT cell, {_STEPS.format(c='c_x')} AS qx, {_STEPS.format(c='c_y')} AS qy FROM z), "
+    "n AS (SELECT cell, sum((((qx >> b) & 1) << (2 * b)) + (((qy >> b) & 1) << (2 * b + 1))) AS code FROM q, (SELECT CAST(i AS INT) AS b FROM range(16) r(i)) GROUP BY cell), "
+    "w AS (SELECT (row_number() OVER (ORDER BY code, cell) - 1) // 40 AS part, cell FROM n), "
+    "m AS (SELECT part, cell, 0 AS distance FROM w UNION ALL SELECT part, e.j, 1 FROM w JOIN e ON e.i = w.cell UNION ALL SELECT part, f.j, 2 FROM w JOIN e ON e.i = w.cell JOIN e f ON f.i = e.j) "
+    "SELECT part, cell, min(distance) AS distance FROM m GROUP BY part, cell"
+)
+def cell_groups(spark, sf):
+    """Busy cells in parts of 40 along a curve, with a margin of two steps."""
+    df = walk(spark, sf)
+    cells = _busy(df).select("cell", ((F.floor(F.col("cell") / 20) + 0.5) * 5.0).alias("c_x"), ((F.col("cell") % 20 + 0.5) * 5.0).alias("c_y"))
+    return P.groups(cells, _edges(df), 40, 2)
