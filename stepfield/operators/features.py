@@ -280,9 +280,9 @@ def hull_diameter(points: np.ndarray) -> float:
     return max((float(np.hypot(*(h - q).T).max()) for q in h), default=0.0)
 
 
-def convex_hull(df: DataFrame, key: str = "n") -> DataFrame:
-    """Area, perimeter and diameter of the hull of each group's positions. Directional extremes first: a map-side reduction to hulls of slices, so
-    no task holds a whole group; hulls of hulls are exact."""
+def hull_corners(df: DataFrame, key: str) -> DataFrame:
+    """(key, x, y): few rows of each group, among them all corners of its hull. Each batch keeps the corners of its own rows, before any shuffle, so no task holds
+    a whole group; hulls of hulls are exact."""
 
     def reduce(batches):
         for b in batches:
@@ -296,14 +296,19 @@ def convex_hull(df: DataFrame, key: str = "n") -> DataFrame:
             names = code.dictionary.take(pa.array(np.repeat([at[rows[0]] for rows in parts], [len(h) for h in hulls]).astype("int64")))
             yield pa.RecordBatch.from_arrays([names, pa.array(corners[:, 0]), pa.array(corners[:, 1])], names=[key, "x", "y"])
 
+    return df.select(key, "x", "y").dropna().mapInArrow(reduce, f"{key} {dict(df.dtypes)[key]}, x double, y double")
+
+
+def convex_hull(df: DataFrame, key: str = "n") -> DataFrame:
+    """Area, perimeter and diameter of the hull of each group's positions, from the corners of hulls of slices."""
+
     def measure(table: pa.Table) -> pa.Table:
         points = np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], 1)
         area, perimeter = hull_measures(points)
         return pa.table({key: table.column(key).slice(0, 1), "hull_area": [area], "hull_perimeter": [perimeter], "hull_diameter": [hull_diameter(points)]})
 
     kind = dict(df.dtypes)[key]
-    corners = df.select(key, "x", "y").dropna().mapInArrow(reduce, f"{key} {kind}, x double, y double")
-    return corners.groupBy(key).applyInArrow(measure, f"{key} {kind}, hull_area double, hull_perimeter double, hull_diameter double")
+    return hull_corners(df, key).groupBy(key).applyInArrow(measure, f"{key} {kind}, hull_area double, hull_perimeter double, hull_diameter double")
 
 
 def shape_features(df: DataFrame) -> DataFrame:

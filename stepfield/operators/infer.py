@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfield.operators.durations import infer_any_dt  # noqa: F401
+from stepfield.operators.features import _hull, hull_corners
 from stepfield.operators.potential import SIGMA2, SWEEPS, infer_dv
 from stepfield.sources.storage import checkpointed
 
@@ -162,14 +163,15 @@ def _ball(p: np.ndarray) -> tuple[np.ndarray, float]:
 
 def spherical_volume(points: DataFrame, edges: DataFrame, dim: int = 2) -> DataFrame:
     """(cell, radius, volume): a ball about each cell's points, enlarged to the nearest point of a neighbouring cell; its area (dim 2) or volume (dim 3).
-    Balls come from one group per cell; the nearest foreign point from a join of neighbours on the cell, reduced to a minimum."""
+    Balls hang on the corners of the cells' hulls alone, taken in order, so they don't depend on the order of rows, and a cell's points don't meet in one task; the
+    nearest foreign point comes from a join of neighbours on the cell, reduced to a minimum."""
 
     def run(table: pa.Table) -> pa.Table:
-        centre, radius = _ball(np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], 1))
+        centre, radius = _ball(_hull(np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], 1)))
         return pa.table({"cell": table.column("cell").slice(0, 1), "b_x": [float(centre[0])], "b_y": [float(centre[1])], "r": [float(radius)]})
 
-    own = points.where("cell is not null and x is not null and y is not null").select(F.col("cell").cast("int").alias("cell"), "x", "y")
-    balls = own.groupBy("cell").applyInArrow(run, "cell int, b_x double, b_y double, r double")
+    own = points.where("cell is not null and x is not null and y is not null").select(F.col("cell").cast("int").alias("cell"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    balls = hull_corners(own, "cell").groupBy("cell").applyInArrow(run, "cell int, b_x double, b_y double, r double")
     near = edges.select(F.col("i").alias("cell"), "j").join(balls, "cell").join(own.withColumnRenamed("cell", "j"), "j")
     foreign = near.groupBy("cell").agg(F.min(F.hypot(F.col("x") - F.col("b_x"), F.col("y") - F.col("b_y"))).alias("d"))
     r = F.greatest("r", F.coalesce("d", "r"))

@@ -190,3 +190,18 @@ def test_spherical_volume(spark):
     edges = spark.createDataFrame([(0, 1), (1, 0)], "i int, j int")
     got = {r.cell: r.radius for r in infer.spherical_volume(points, edges).collect()}
     assert got == {0: pytest.approx(3.0), 1: pytest.approx(2.0), 2: 0.0}
+
+
+def test_balls_hold_all_points_in_any_partitioning(spark):
+    rng = np.random.default_rng(12)
+    rows = [(c, *map(float, p)) for c in range(3) for p in rng.normal(c, 1 + c, (300, 2))] + [(3, 1.0, 1.0)] * 2 + [(4, None, 1.0)]
+    points = spark.createDataFrame(rows, "cell int, x double, y double")
+    none = spark.createDataFrame([], "i int, j int")
+    got = [{r.cell: r.radius for r in infer.spherical_volume(points.repartition(k), none).collect()} for k in (1, 7)]
+    assert got[0] == got[1] and set(got[0]) == {0, 1, 2, 3} and got[0][3] == 0
+    for c in range(3):
+        p = np.array([r[1:] for r in rows if r[0] == c])
+        centre, radius = infer._ball(infer._hull(p))
+        assert got[0][c] == radius and np.hypot(*(p - centre).T).max() <= radius * (1 + 1e-9)
+        far = max(np.hypot(*(p - q).T).max() for q in p)
+        assert far / 2 <= radius <= 1.2 * far / 3**0.5
