@@ -105,20 +105,20 @@ def snr(steps: DataFrame) -> DataFrame:
     k, mx, my, s = (F.lit(x) for x in t)
     per = per.withColumn("variance", (F.col("s") - (F.col("m_x") * F.col("m_x") + F.col("m_y") * F.col("m_y")) / F.col("k")) / F.col("k"))
     ok, ox, oy, os = k - F.col("k"), mx - F.col("m_x"), my - F.col("m_y"), s - F.col("s")
-    per = per.withColumn("prior_variance", (os - (ox * ox + oy * oy) / ok) / ok)
+    per = per.withColumn("prior_variance", (os - (ox * ox + oy * oy) / F.nullif(ok, F.lit(0))) / F.nullif(ok, F.lit(0)))
     zeta = {f"zeta_{c}": F.when((F.col("k") > 1) & (F.col("variance") > 0), F.col(f"m_{c}") / F.col("k") / F.sqrt("variance")) for c in ("x", "y")}
     return per.withColumns(zeta)
 
 
 def spurious_zeta(maps: DataFrame, dt: float) -> DataFrame:
-    """maps with grad_x, grad_y of the diffusivity and variance: zeta_spurious = grad D dt / sqrt(V)."""
-    return maps.withColumns({f"spurious_{c}": F.col(f"grad_{c}") * dt / F.sqrt("variance") for c in ("x", "y")})
+    """maps with grad_x, grad_y of the diffusivity and variance: zeta_spurious = grad D dt / sqrt(V); null where no step varies."""
+    return maps.withColumns({f"spurious_{c}": F.col(f"grad_{c}") * dt / F.sqrt(F.when(F.col("variance") > 0, F.col("variance"))) for c in ("x", "y")})
 
 
 def conjugate_map(maps: DataFrame, dt: float, prior_weight: int = 3, dim: int = 2) -> DataFrame:
-    """snr() maps: the conjugate prior's mode of the diffusivity, with `prior_weight` pseudo-steps of the other cells' variance."""
+    """snr() maps: the conjugate prior's mode of the diffusivity, with `prior_weight` pseudo-steps of the other cells' variance; null where no step varies."""
     eta2 = prior_weight / (F.col("k") + prior_weight)
-    v = 1 + prior_weight / F.col("k") * F.col("prior_variance") / F.col("variance")
+    v = 1 + prior_weight / F.col("k") * F.col("prior_variance") / F.nullif("variance", F.lit(0.0))
     g3 = v + eta2 * (F.col("zeta_x") * F.col("zeta_x") + F.col("zeta_y") * F.col("zeta_y"))
     p = dim * (F.col("k") + prior_weight - 1) / 2 - 1
     return maps.withColumn("map_diffusivity", F.col("k") * F.col("variance") * g3 / (4 * dt * (p + 1)))
