@@ -31,6 +31,12 @@ def nearest(df: DataFrame, cells: DataFrame, few: int = FEW_CENTRES) -> DataFram
     return df.withColumn("_b", best).withColumns({"cell": F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("_b.cell")), "distance": F.sqrt("_b.d")}).drop("_b")
 
 
+def nearest_counts(df: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cell, k): how many points each centre is nearest to, without centres that are nearest to none. Points of one place are looked up once, after a shuffle by place,
+    so the work doesn't hang on how few splits the file of points has; the counts are written, to be read more than once."""
+    return stored(nearest(df.groupBy("x", "y").agg(F.count("*").alias("k")), cells).groupBy("cell").agg(F.sum("k").alias("k")))
+
+
 def nearest_bucketed(df: DataFrame, cells: DataFrame, width: float | None = None, rounds: int = 3) -> DataFrame:
     """The same for many centres: centres are dealt to the 3 x 3 buckets round their own; a centre found within a bucket's width is
     the nearest, points without one are tried again with buckets twice as wide. What `rounds` leave over is searched by boxes of centres.

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stepfield.operators import assign as A
 from stepfield.operators import graph as G
 from stepfield.operators import roi as R
 
@@ -77,3 +78,13 @@ def test_points_are_not_held_in_every_task(spark, places):
     p = [r for r in cells.collect() if r.cell is not None]
     near = lambda a, b: abs(a.cell // 5 - b.cell // 5) + abs(a.cell % 5 - b.cell % 5) <= 1 and np.hypot(a.x - b.x, a.y - b.y) <= 2
     assert {(r.a, r.b) for r in found.collect()} == {(a.row_id, b.row_id) for a in p for b in p if a.row_id < b.row_id and near(a, b)}
+
+
+def test_nearest_counts_look_up_a_place_once(spark, places, monkeypatch):
+    cells = spark.createDataFrame([(0, 0.0, 0.0), (1, 10.0, 5.0), (2, 300.0, 300.0)], "cell int, c_x double, c_y double")
+    want = {r.cell: r["count"] for r in A.nearest(places, cells).groupBy("cell").count().collect()}
+    looked_up = []
+    real = A.nearest
+    monkeypatch.setattr(A, "nearest", lambda df, c: (looked_up.append(df.count()), real(df, c))[1])
+    assert {r.cell: r.k for r in A.nearest_counts(places, cells).collect()} == want
+    assert looked_up == [places.select("x", "y").distinct().count()] and looked_up[0] * 2 < places.count()
