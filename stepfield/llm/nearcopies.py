@@ -6,10 +6,10 @@ classes are candidates if one of these pairs of fingerprints is within the radiu
 in forty-five differs, so a fingerprint differs in 3.4 bits on average (measured) and all KINDS of them seldom in over 4.
 
 Candidates are not links yet: within each candidate component, classes are linked if their minimum hashes of five-word shingles
-(HASHES of them, a byte each) agree in AGREE of all, which two of similarity 0.8 miss with a chance of 0.3 %. A component of at most
-`group_limit` classes is compared whole, within one row. A larger one is compared in buckets of classes that share a band of BAND
-hashes (two of similarity 0.8 share none with a chance of 5e-8); a bucket of more than `group_limit` in slices, each with the
-bucket's least class, cut otherwise in every band. Every set of linked classes keeps one row: the smallest doc_id's.
+(HASHES of them, a byte each) agree in AGREE of all, which two of similarity 0.8 miss with a chance of 0.3 %. They are compared in buckets
+of classes that share a band of BAND hashes (two of similarity 0.8 share none with a chance of 5e-8), whatever the component's size. A bucket
+of more than `group_limit` is compared in slices, each with the bucket's least class; what hangs together with that one is one set, and
+the rest is compared with every slice, so the result is that of the whole bucket. Every set of linked classes keeps one row: the smallest doc_id's.
 
 Defined cases: null text is empty, and empty texts are copies of each other; fewer than five words are one shingle; texts count
 whole; of repeated rows one stays; rows of one doc_id and different texts are texts like others; a null doc_id is larger than any,
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfield.llm.common import bounded_batches, free_name, written
@@ -120,42 +120,65 @@ def candidates(classes: DataFrame, radius: int = RADIUS, bucket_limit: int = BUC
     return found.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+_GROUP = ["component", "t", "key"]
+_FOUND = "component long, t int, key long, a long, b long, rest boolean"
+
+
 def _agreeing(batches):
-    """(nodes, sigs) of a group -> links that connect whatever nodes whose hashes agree in AGREE of all connect."""
+    """(component, t, key, cut, nodes, sigs) of a group -> links that connect whatever nodes whose hashes agree in AGREE of all connect. Of a slice (cut) also
+    its nodes that don't hang together with the bucket's least node, as rows of `rest`."""
     for b in batches:
-        out = [np.zeros((0, 2), np.int64)]
-        for nodes, sigs in zip(b.column(0), b.column(1), strict=True):
-            ids = nodes.values.to_numpy()
-            m = np.frombuffer(b"".join(sigs.as_py()), np.uint8).reshape(len(ids), HASHES)
-            free = np.arange(len(ids))
+        out, keys = [np.zeros((0, 3), np.int64)], []
+        for g, (cut, nodes, sigs) in enumerate(zip(b.column(3).to_pylist(), b.column(4), b.column(5), strict=True)):
+            ids, at = np.unique(nodes.values.to_numpy(), return_index=True)
+            m = np.frombuffer(b"".join(sigs.as_py()), np.uint8).reshape(-1, HASHES)[at]
+            free, held, first = np.arange(len(ids)), len(out), True
             while len(free):
+                if cut and not first:
+                    break
                 stack, free = [int(free[0])], free[1:]
                 while stack and len(free):
                     u = stack.pop()
                     near = (m[free] == m[u]).sum(1) >= AGREE * HASHES
-                    out.append(np.stack([np.full(int(near.sum()), ids[u]), ids[free[near]]], 1))
+                    out.append(np.stack([np.full(int(near.sum()), ids[u]), ids[free[near]], np.zeros(int(near.sum()), np.int64)], 1))
                     stack += free[near].tolist()
                     free = free[~near]
+                first = False
+            if cut:
+                out.append(np.stack([ids[free], ids[free], np.ones(len(free), np.int64)], 1))
+            keys.append(np.full(sum(map(len, out[held:])), g))
         found = np.concatenate(out)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        of = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in range(3)), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2] > 0)], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _compared(members: DataFrame, sigs: DataFrame, by: list[str], cut: Column) -> DataFrame:
+    """members (component, t, key, ..., node) compared within groups of `by`."""
+    groups = members.join(sigs, "node").groupBy(*_GROUP, *by).agg(F.collect_list("node").alias("nodes"), F.collect_list("sig").alias("sigs"))
+    return groups.select(*_GROUP, cut.alias("cut"), "nodes", "sigs").mapInArrow(_agreeing, _FOUND)
 
 
 def verified_links(grouped: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(node, component, sig) -> links (a, b) of nodes of one component whose texts are alike."""
+    """(node, component, sig) -> links (a, b) that connect what pairs of nodes connect that are of one component, share a band and agree in AGREE of all hashes.
+    `group_limit` only says how many are held at once."""
     bounded_batches(grouped.sparkSession)
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
-    sized = written(grouped.join(sizes, "component"), "candidates")
-    small = sized.where(F.col("n") <= group_limit).select("component", F.lit(-1).alias("t"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("slice"), "node", "sig")
-    large = sized.where(F.col("n") > group_limit)
+    grouped = written(grouped.select("component", "node", "sig"), "candidates")
+    sigs, zero = grouped.select("node", "sig"), F.lit(0).cast("bigint")
     keys = F.array(*(F.xxhash64("component", F.substring("sig", 1 + BAND * t, BAND)) for t in range(HASHES // BAND)))
-    dealt = large.select("component", "node", F.posexplode(keys).alias("t", "key"))
-    buckets = written(dealt.groupBy("component", "t", "key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "band-sizes")
+    dealt = grouped.select("component", "node", F.posexplode(keys).alias("t", "key"))
     slices = F.ceil(F.col("n") / group_limit).cast("bigint")
-    own = dealt.join(buckets, ["component", "t", "key"]).where("node <> hub").select("component", "t", "key", F.pmod(F.xxhash64("node", "t"), slices).alias("slice"), "node")
-    hubs = buckets.select("component", "t", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("slice"), F.col("hub").alias("node"))
-    sliced = own.unionByName(hubs).join(large.select("node", "sig"), "node").select("component", "t", "key", "slice", "node", "sig")
-    groups = small.unionByName(sliced).groupBy("component", "t", "key", "slice").agg(F.collect_list("node").alias("nodes"), F.collect_list("sig").alias("sigs"))
-    return groups.select("nodes", "sigs").mapInArrow(_agreeing, "a long, b long")
+    buckets = written(dealt.groupBy(*_GROUP).agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").withColumn("slices", slices), "band-sizes")
+    own = dealt.join(buckets, _GROUP).where("node <> hub").select(*_GROUP, "slices", F.pmod(F.xxhash64("node", "t"), F.col("slices")).alias("slice"), "node")
+    hubs = buckets.select(*_GROUP, "slices", F.explode(F.sequence(zero, F.col("slices") - 1)).alias("slice"), F.col("hub").alias("node"))
+    sliced = own.unionByName(hubs)
+    found = written(_compared(sliced, sigs, ["slices", "slice"], F.col("slices") > 1), "band-links")
+    # what a slice leaves over is compared with every slice of its bucket
+    rest = found.where("rest").select(*_GROUP, F.col("a").alias("node"))
+    blocks = written(rest.groupBy(*_GROUP).agg(F.ceil(F.count("*") / group_limit).cast("bigint").alias("blocks")), "band-rests")
+    every = sliced.join(blocks, _GROUP).select(*_GROUP, "slice", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), "node")
+    left = rest.join(blocks, _GROUP).join(buckets.select(*_GROUP, "slices"), _GROUP).select(*_GROUP, F.explode(F.sequence(zero, F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).alias("block"), "node")
+    again = _compared(every.unionByName(left), sigs, ["slice", "block"], F.lit(False))
+    return found.where("not rest").unionByName(again).select("a", "b")
 
 
 def labelled_classes(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:

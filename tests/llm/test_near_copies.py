@@ -47,6 +47,38 @@ def test_components_in_slices(spark, shared, limit):
     assert got == {i: 0 for i in range(0, 200, 5)} | {900: 900, 901: 900, 902: 902}
 
 
+def test_links_do_not_depend_on_the_limit(spark, shared):
+    """Chains in which only near ones agree, shuffled, and pairs that agree in 70 % without a common band: the same sets at any limit, those of brute force."""
+    rng = np.random.default_rng(4)
+    sigs = [(0, row) for chain in range(2) for row in [rng.integers(0, 256, nearcopies.HASHES)]]
+    for k in range(80):
+        c, row = sigs[-2]
+        row = row.copy()
+        row[24 + rng.choice(104, 9, replace=False)] = rng.integers(0, 256, 9)
+        sigs.append((0, row))
+    for k in range(5):
+        row = rng.integers(0, 256, nearcopies.HASHES)
+        other = row.copy()
+        other[:: nearcopies.BAND] ^= 1
+        sigs += [(1 + k, row), (1 + k, other)]
+    nodes = rng.permutation(len(sigs))
+    rows = [(int(n), c, bytearray(r.astype(np.uint8).tobytes())) for n, (c, r) in zip(nodes, sigs, strict=True)]
+
+    def sets(links):
+        least = {n: n for n, _, _ in rows}
+        for _ in rows:
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    m = {n: (c, np.frombuffer(s, np.uint8)) for n, c, s in rows}
+    banded = lambda x, y: (x == y).reshape(-1, nearcopies.BAND).all(1).any()
+    pairs = [(a, b) for a in m for b in m if a < b and m[a][0] == m[b][0] and banded(m[a][1], m[b][1]) and (m[a][1] == m[b][1]).mean() >= nearcopies.AGREE]
+    df = spark.createDataFrame(rows, "node long, component long, sig binary")
+    for limit in (4, 1024):
+        assert sets([(r.a, r.b) for r in nearcopies.verified_links(df, limit).collect()]) == sets(pairs)
+
+
 def test_recall_and_precision_on_a_table(spark, shared):
     """sf0.01: every pair of similarity 0.8 is in one component, and what a component holds besides is linked through pairs above 0.6."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
